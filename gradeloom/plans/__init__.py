@@ -1 +1,3 @@
-"""gradeloom.plans"""
+"""Registered queries: each module offers QUERIES (name -> callable) and ORACLE (name -> SQL)."""
+
+CORE_MODULES = ["wide_queries"]
