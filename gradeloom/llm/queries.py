@@ -5,10 +5,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import encode, leaks, spans
+from gradeloom.llm import cutoff, encode, languages, leaks, pairs, quota, reading, spans
 from gradeloom.session import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = read(spark, sf_dir, "samples")
+    return pairs.defects(samples, languages.samples_model(samples, read(spark, sf_dir, "graded_items")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = read(spark, sf_dir, "samples")
+    return languages.unnamed_languages(samples, languages.samples_model(samples, read(spark, sf_dir, "graded_items")))
+
+
+def _detected(spark: SparkSession, sf_dir: str, segments: bool) -> DataFrame:
+    samples = read(spark, sf_dir, "samples")
+    model = languages.samples_model(samples, read(spark, sf_dir, "graded_items"))
+    once = samples.where("sample_index is not null").groupBy("sample_index").agg(F.max("question").alias("question"), F.max("answer").alias("answer"))
+    got = languages.detect(once, model, ["sample_index"], ["question", "answer"], segments)
+    sides = [got.select("sample_index", F.lit(f).alias("field_name"), F.posexplode(f).alias("seg_no", "x")) for f in ("question", "answer")]
+    return sides[0].unionByName(sides[1]).select("sample_index", "field_name", "seg_no", "x.*")
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every question and answer with share of words and confidence."""
+    return _detected(spark, sf_dir, False)
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of one language of every question and answer, with confidence."""
+    return _detected(spark, sf_dir, True)
+
+
+def _scale(spark: SparkSession, sf_dir: str) -> reading.Scale:
+    texts = read(spark, sf_dir, "samples").select(F.col("answer").alias("text"))
+    return reading.fit(texts, read(spark, sf_dir, "graded_items"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.demanding(read(spark, sf_dir, "samples"), _scale(spark, sf_dir))
+
+
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent and graded level of every answer."""
+    return reading.levels(read(spark, sf_dir, "samples"), _scale(spark, sf_dir), "sample_index", "answer").distinct()
+
+
+def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    labels = quota.synthetic_labels()
+    rows = quota.usable_rows(read(spark, sf_dir, "synthetic_dataset"), "synth_id", labels)
+    return rows, read(spark, sf_dir, "sample_targets"), list(labels)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, targets, dims = _quota(spark, sf_dir)
+    return quota.requirements(rows, targets, dims).where("deficit > 0").select("dimension", "category")
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, targets, dims = _quota(spark, sf_dir)
+    return quota.draw(rows, quota.plan(rows, targets, dims), "synth_id", dims)
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required, available and sampled rows and the deficit per category."""
+    rows, targets, dims = _quota(spark, sf_dir)
+    sample = quota.draw(rows, quota.plan(rows, targets, dims), "synth_id", dims)
+    return quota.sample_report(quota.requirements(rows, targets, dims), sample, dims)
+
+
+def _cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = cutoff.answer_texts(read(spark, sf_dir, "samples"), "answer")
+    return answers.unionByName(cutoff.reason_texts(read(spark, sf_dir, "eval_results"), read(spark, sf_dir, "runs")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.find_cut(_cut_texts(spark, sf_dir)).select("field_name", "record_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts per source of answers and per judge of reasons."""
+    texts = _cut_texts(spark, sf_dir)
+    return cutoff.cut_rates(texts, cutoff.find_cut(texts))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_column(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -31,9 +112,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_languages, p2_segments, p3_found, p3_levels, p4_found, p4_sample, p4_report, p5_found, p5_rates, p7_ids, p8_found, p8_leaks, p9_found, p9_shares,
+    )
+}
 
 ORACLE = {
+    "p4_found": r"""
+        WITH l AS (SELECT DISTINCT synth_id, unnest([{'d': 'question_type', 'v': metadata.question_type}, {'d': 'difficulty', 'v': metadata.difficulty},
+                     {'d': 'target_pedagogical_state', 'v': metadata.target_pedagogical_state}]) AS x FROM synthetic_dataset),
+             c AS (SELECT x.d AS d, regexp_replace(lower(regexp_replace(x.v, '^\s+|\s+$', '', 'g')), '[\s-]', '_', 'g') AS v, count(DISTINCT synth_id) AS n
+                   FROM l WHERE x.v IS NOT NULL GROUP BY 1, 2)
+        SELECT dimension, category FROM sample_targets t LEFT JOIN c ON c.d = t.dimension AND c.v = regexp_replace(lower(trim(t.category)), '[\s-]', '_', 'g')
+        WHERE coalesce(c.n, 0) < greatest(min_rows, round(target_share * sample_rows))""",
     "p8_found": r"""
         WITH w AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (
                      SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)),
