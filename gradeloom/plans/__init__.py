@@ -1,3 +1,3 @@
 """Registered queries: each module offers QUERIES (name -> callable) and ORACLE (name -> SQL)."""
 
-CORE_MODULES = ["wide_queries"]
+CORE_MODULES = ["lexical_queries", "result_queries", "wide_queries"]

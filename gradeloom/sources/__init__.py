@@ -1 +1 @@
-"""gradeloom.sources"""
+"""Sources and sinks."""
