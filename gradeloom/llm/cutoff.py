@@ -71,31 +71,38 @@ class Tail:
     __slots__ = ("few", "forced", "grams", "mark", "shape", "word")
 
 
-def tail(text: str) -> Tail | None:
+def unmarked(text: str) -> tuple[str, bool, bool, bool]:
+    """The text without what stands behind a cut; whether there was such a mark, a broken character, a gap before it."""
     t = text.rstrip(_blank)
     mark = broken = False
     gap = len(t) < len(text)
     while t:
         c = t[-1]
-        if c == "�":
+        tag = _tag(t)
+        if c == "\ufffd":
             broken = mark = True
-        elif c in "…\\[{<|~^" or (c in "-–—" and len(t) > 1):
-            mark = True
         elif t.endswith("...") and len(t) > 3:
             t = t[:-3].rstrip(_blank)
             mark = True
             continue
+        elif c in "…\\[{<|~^" or (c in "-–—" and len(t) > 1):
+            mark = True
         elif (c in "}]>" and t.count(c) > t.count("{[<"["}]>".index(c)])) or (c in "\"'" and t.count(c) % 2 and (mark or t[-2:-1].isalnum())):
             mark = True
-        elif _tag(t):
-            t = _tag(t).string[: _tag(t).start()].rstrip(_blank)
+        elif tag:
+            t = t[: tag.start()].rstrip(_blank)
             mark = True
             continue
         else:
             break
-        rest = t[:-1]
+        rest = t[:-1] if c in "}]>\"'" else t.rstrip(c)
         t = rest.rstrip(_blank)
         gap = len(t) < len(rest)
+    return t, mark, broken, gap
+
+
+def tail(text: str) -> Tail | None:
+    t, mark, broken, gap = unmarked(text)
     if not t:
         return None
     c = t[-1]
@@ -168,7 +175,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for t, n in Counter(b.column(0).to_pylist()).items():
                 if not t:
                     continue
-                parts = _split(t.lower())
+                parts = _split(unmarked(t)[0].lower())
                 for j, s in enumerate(parts):
                     toks = _token(s)
                     if not toks:

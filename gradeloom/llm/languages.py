@@ -29,6 +29,8 @@ ROUNDS = 3
 PENALTY = 6.0
 #: Weight and bound of what an unknown word says.
 UNKNOWN_WEIGHT, UNKNOWN_BOUND = 0.4, 1.5
+#: What a seed text counts in the first round, against 1 of a labelled row, whose label may be wrong.
+SEED_WEIGHT = 5
 #: Whitespace-separated tokens with a letter that a field needs before anything is reported of it.
 LEAST_WORDS = 5
 
@@ -77,8 +79,9 @@ class Model:
         totals = np.array([max(1, sum(c.values())) for c in counts], float)
         words = sorted(w for w, k in sum(counts, Counter()).items() if k >= 1.5)
         c = np.array([[x[w] for x in counts] for w in words], float).reshape(-1, n)
-        # Sharing a tenth of the mass over all languages keeps stray words of other languages from counting as evidence.
-        p = (c + 0.02 * c.sum(1, keepdims=True) / n + 0.05) / totals
+        # A little of every word's mass goes to all languages, so that stray words of another language weigh little.
+        share = c / totals
+        p = share + 0.02 * share.mean(1, keepdims=True) + 0.05 / totals.mean()
         self.vocab = {w: i + 1 for i, w in enumerate(words)}
         self.matrix = np.vstack([np.zeros((1, n)), np.log(p) - np.log(p).mean(1, keepdims=True)])
         tri: list[Counter] = [Counter() for _ in counts]
@@ -162,24 +165,41 @@ def fit(labelled: DataFrame, seeds: DataFrame | None = None) -> Model:
 
     def take(df: DataFrame, n: int) -> list[tuple[str, str]]:
         x = df.select("text", label_language(F.col("label")).alias("l")).where("text is not null and l is not null")
-        return [(r[0], r[1]) for r in x.orderBy(F.xxhash64("text"), "l").limit(n).collect()]
-
-    rows = (take(seeds, SEED_ROWS) if seeds is not None else []) + take(labelled, FIT_ROWS)
+        # Thin by hash to a few times n first: else every task would send n rows to the driver.
+        total = x.count()
+        h = F.xxhash64("text")
+        if total > 4 * n:
+            x = x.where(F.shiftrightunsigned(h, 1) < F.lit(int((1 << 63) * (2 * n / total))))
+        return [(r[0], r[1]) for r in x.orderBy(h, "l").limit(n).collect()]
+
+    sure = take(seeds, SEED_ROWS) if seeds is not None else []
+    rows = [(t, x, SEED_WEIGHT) for t, x in sure] + [(t, x, 1) for t, x in take(labelled, FIT_ROWS)]
     langs = [x for x in LANGS if any(r[1] == x for r in rows)] or list(LANGS)
     model = Model(langs)
-    counts = [Counter() for _ in langs]
-    for t, x in rows:
-        counts[langs.index(x)].update(w.lower() for w in _words(t))
+
+    def count(into: Counter, text: str, weight: int = 1) -> None:
+        for w in _words(text):
+            into[w.lower()] += weight
+
+    counts: list[Counter] = [Counter() for _ in langs]
+    texts = []
+    for t, x, weight in rows:
+        # A sentence that a text repeats counts once, or one text could outweigh all others.
+        once = list(dict.fromkeys(m.group() for m in _sentence.finditer(t)))
+        texts.append(once)
+        for s in once:
+            count(counts[langs.index(x)], s, weight)
     model.fit(counts)
     for _ in range(ROUNDS - 1):
         new: list[Counter] = [Counter() for _ in langs]
-        for t, _x in rows:
-            spans, sizes, ll = model.sentences(t)
+        for once in texts:
+            joined = "\n".join(once)
+            spans, sizes, ll = model.sentences(joined)
             if not spans:
                 continue
             best, _, post = model.mixture(sizes, ll)
             for (a, b), g in zip(spans, post):
-                new[best[int(g.argmax())]].update(w.lower() for w in _words(t[a:b]))
+                count(new[best[int(g.argmax())]], joined[a:b])
         model.fit(new)
     return model
 

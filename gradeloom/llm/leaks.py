@@ -1,7 +1,7 @@
 """Held-out test items inside a training corpus (problem 8).
 
-Rare n-gram seeds: for every window of ``min_run`` words of every item the rarest of its ``seed_words``-grams, by its
-count over the whole corpus, becomes a seed, so that a document holding the window must hold a seed. Documents and
+Rare n-gram seeds: for every window of ``min_run`` words of every item the rarest of its ``seed_words``-grams, by their
+counts over the whole corpus, become seeds, so that a document holding the window must hold a seed. Documents and
 items meet at seeds; the text around each meeting is aligned with the item by Smith-Waterman over words, which scores
 edited copies, and the longest run of equal consecutive words is measured for the exact question.
 
@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 MIN_RUN = 12
 SEED_WORDS = 6
+#: Besides the rarest gram of a window, grams up to so many times as frequent are seeds too: an edited copy may lack
+#: just the rarest.
+RARE_TIMES = 8
 #: Text of the items in one block: the index built from it takes about 20 times as much.
 BLOCK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -71,14 +74,15 @@ class Items:
         self.gram_of = [np.searchsorted(self.grams, k) for k in keys]
 
     def choose(self, counts: np.ndarray) -> None:
-        """Keep as seeds the rarest gram of every window of min_run words (ties: the first)."""
+        """Keep as seeds the rarest grams of every window of min_run words."""
         places: dict[int, list[tuple[int, int]]] = {}
         span = self.min_run - self.seed_words + 1
         for n, g in enumerate(self.gram_of):
             c = counts[g]
             taken: set[int] = set()
             for s in range(len(g) - span + 1):
-                taken.add(s + int(np.argmin(c[s : s + span])))
+                w = c[s : s + span]
+                taken.update((s + np.flatnonzero(w <= RARE_TIMES * max(1, int(w.min())))).tolist())
             rare = {int(g[p]) for p in taken}
             for p in np.flatnonzero(np.isin(g, list(rare))):
                 places.setdefault(int(g[p]), []).append((n, int(p)))

@@ -49,6 +49,10 @@ def requirements(rows: DataFrame, targets: DataFrame, dimensions: Sequence[str])
 
 def _rake(cells: np.ndarray, index: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
     """Whole counts per cell, at most ``cells``, whose sums per category come as near as possible to ``wanted``."""
+    pairs = [(at, w) for at, w in zip(index, wanted) if len(w)]  # a dimension without targets constrains nothing
+    if not pairs:
+        return np.zeros_like(cells)
+    index, wanted = [at for at, _ in pairs], [w for _, w in pairs]
     t = np.where(cells > 0, cells, 0).astype(float)
     for _ in range(ROUNDS):
         for at, w in zip(index, wanted):
@@ -135,8 +139,10 @@ def synthetic_labels() -> dict[str, Column]:
 
 
 def sample_report(req: DataFrame, sample: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """``requirements`` with the rows that the sample holds per category."""
+    """``requirements`` with the rows that the sample holds per category and what it is short of (unmet: the joint targets
+    may be out of reach where each by itself is not)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("label")) for d in dimensions]))
     got = sample.select(pairs.alias("x")).groupBy(F.col("x.dimension").alias("d"), F.col("x.label").alias("l")).agg(F.count("*").alias("sampled"))
     j = req.join(got, (F.col("dimension") == F.col("d")) & (norm_label(F.col("category")) == F.col("l")), "left")
-    return j.select("dimension", "category", "required", "available", F.coalesce("sampled", F.lit(0)).alias("sampled"), "deficit")
+    out = j.select("dimension", "category", "required", "available", F.coalesce("sampled", F.lit(0)).alias("sampled"), "deficit")
+    return out.withColumn("unmet", F.greatest(F.lit(0), F.col("required") - F.col("sampled")))
