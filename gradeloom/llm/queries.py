@@ -142,4 +142,12 @@ ORACLE = {
              h AS (SELECT doc_id, substring(text, i, 400) AS w FROM s),
              r AS (SELECT DISTINCT doc_id, md5(w) AS w FROM h)
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM r a JOIN r b ON a.w = b.w AND a.doc_id < b.doc_id""",
+    "p9_shares": r"""
+        WITH s AS (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400),
+             h AS (SELECT doc_id, i, md5(substring(text, i, 400)) AS w FROM s),
+             g AS (SELECT w FROM h GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+             c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM h JOIN g USING (w)),
+             x AS (SELECT doc_id, sum(CASE WHEN p IS NULL OR i - p >= 400 THEN 400 ELSE i - p END)::BIGINT AS shared_chars FROM c GROUP BY 1)
+        SELECT d.doc_id, coalesce(length(d.text), 0)::INT AS n_chars, coalesce(x.shared_chars, 0) AS shared_chars,
+          coalesce(x.shared_chars::DOUBLE / nullif(length(d.text), 0), 0.0) AS share FROM documents d LEFT JOIN x USING (doc_id)""",
 }
