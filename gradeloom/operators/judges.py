@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import scoring as K
 from gradeloom.functions import text as X
 from gradeloom.functions.jsontext import payload
+from gradeloom.session import cut
 
 PROMPTS = {
     "faithfulness": 'List every claim of the answer and say for each whether the context supports it.\n\nContext:\n${contexts}\n\nAnswer:\n${answer}\n\nReply with JSON only: {"claims": [{"claim": "...", "supported": true}], "reason": "..."}',
@@ -135,7 +136,8 @@ def lookup(asked: DataFrame, cache: DataFrame, now: float | None = None, ttl: fl
 def ask(misses: DataFrame, judge: Callable[[str, str], str], attempts: int = 5, wait: float = 1.0, at_once: int = 10) -> DataFrame:
     """(key, text, error) of distinct requests, each sent to ``judge(system, prompt)`` with retries and growing waits.
 
-    ``at_once`` bounds the number of tasks and with it the calls in flight.
+    ``at_once`` bounds the number of tasks and with it the calls in flight. The answers are written to the checkpoint
+    folder at once, so that no later action asks again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +157,7 @@ def ask(misses: DataFrame, judge: Callable[[str, str], str], attempts: int = 5,
             yield pd.DataFrame(out, columns=["key", "text", "error"])
 
     once = misses.select("key", "system_prompt", "prompt").dropDuplicates(["key"])
-    return once.repartition(at_once, "key").mapInPandas(run, "key string, text string, error string")
+    return cut(once.repartition(at_once, "key").mapInPandas(run, "key string, text string, error string"))
 
 
 def evaluate(samples: DataFrame, metrics: list[str], cache: DataFrame, model: str, system: str = "", judge: Callable[[str, str], str] | None = None) -> DataFrame:

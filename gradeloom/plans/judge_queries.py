@@ -112,12 +112,13 @@ def ablation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation.slices(_ablated(spark, sf_dir))
+    return ablation.slices(_ablated(spark, sf_dir)).withColumn("rho", F.round("rho", 5))
 
 
 def ablation_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _frame(spark, sf_dir).where("truth is not null").withColumn("gate_failed", F.lit(False))
-    return ablation.ablate(x, ablation.named_grid(spark), "truth")
+    got = ablation.ablate(x, ablation.named_grid(spark), "truth")
+    return got.select("config", "n", F.round("pes_mean", 5).alias("pes_mean"), F.round("rho", 5).alias("rho"))
 
 
 def mathdial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +246,20 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2
 _TOK = r"regexp_extract_all(lower(answer), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]')"
 _IN = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
 
+_PIECES = {"question": "question", "answer": "answer", "ground_truth": "ground_truth", "contexts": "array_to_string(list_transform(contexts, lambda c, i: '[' || (i - 1)::VARCHAR || '] ' || c), chr(10))"}
+
+
+def _prompt_sql(metric: str) -> str:
+    out = "'" + judges.PROMPTS[metric].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for k, v in _PIECES.items():
+        out = out.replace("${" + k + "}", f"' || {v} || '")
+    return out
+
+
+_REQUESTS = f"""SELECT sample_index, metric, sha256('aster-8b::::' || prompt) AS key FROM (
+ SELECT sample_index, 'answer_relevance' AS metric, {_prompt_sql("answer_relevance")} AS prompt FROM {Q.SAMPLES} WHERE answer <> ''
+ UNION ALL SELECT sample_index, 'context_recall', {_prompt_sql("context_recall")} FROM {Q.SAMPLES} WHERE ground_truth <> '' AND len(contexts) > 0)"""
+
 ORACLE = {
     "faithfulness_score": _share_sql("claims", "supported", 1.0),
     "context_precision_score": _share_sql("evaluations", "is_relevant", 1.0),
@@ -268,6 +283,12 @@ ORACLE = {
  FROM {_PES} WHERE faithfulness IS NOT NULL""",
     "ablation_grid": f"{_ABL} SELECT w1, w2, w3, count(*) AS n, round(avg(pes), 5) AS pes_mean, round({_RHO}, 5) AS rho FROM r GROUP BY 1, 2, 3",
     "ablation_topk": f"{_ABL} SELECT w1, w2, w3, round(rho, 5) AS rho FROM (SELECT w1, w2, w3, {_RHO} AS rho FROM r GROUP BY 1, 2, 3) WHERE rho IS NOT NULL ORDER BY round(rho, 10) DESC, w1, w2 LIMIT 10",
+    "ablation_slices": f"{_ABL}, g AS (SELECT w1, w2, w3, round({_RHO}, 5) AS rho FROM r GROUP BY 1, 2, 3) SELECT CASE WHEN w2 < 0.025 THEN 0.0 WHEN abs(w2 - 0.15) < 0.025 THEN 0.15 WHEN abs(w2 - 0.30) < 0.025 THEN 0.30 END::DOUBLE AS slice, w1, w3, rho FROM g WHERE w2 < 0.025 OR abs(w2 - 0.15) < 0.025 OR abs(w2 - 0.30) < 0.025",
+    "ablation_named": f"""WITH f AS (SELECT * FROM {_FRAME} WHERE truth IS NOT NULL), g(config, w1, w2, w3) AS (VALUES {", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in ablation.NAMED.items())}),
+ s AS (SELECT config, truth, round(exp((w1 * ln(greatest(1e-6, coalesce(m1, 0.5))) + w2 * ln(greatest(1e-6, coalesce(m2, 0.5))) + w3 * ln(greatest(1e-6, coalesce(m3, 0.5)))) / (w1 + w2 + w3)), 12) AS pes FROM f CROSS JOIN g),
+ r AS (SELECT *, rank() OVER (PARTITION BY config ORDER BY pes) + (count(*) OVER (PARTITION BY config, pes) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY config ORDER BY truth) + (count(*) OVER (PARTITION BY config, truth) - 1) / 2.0 AS rt FROM s)
+ SELECT config, count(*) AS n, round(avg(pes), 5) AS pes_mean, round({_RHO}, 5) AS rho FROM r GROUP BY 1""",
+    "judge_requests": _REQUESTS,
     "mathdial_parse": f"""SELECT 'mathdial-' || coalesce(qid, '') || '-t' || turn_index AS conversation_id, qid, CASE WHEN turn_index > 0 THEN array_to_string(hist, chr(10)) ELSE coalesce(question, '') END AS question, txt AS answer, move AS teacher_move, {_MOVE} AS move_score,
  coalesce(self_correctness, 'N/A') AS self_correctness, turn_index::INT AS turn_index, total_turns::INT AS total_turns, substring(txt, 1, 200) AS teacher_text
  FROM (SELECT *, list(role || ': ' || txt) OVER (PARTITION BY qid ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist FROM {_TURNS}) WHERE role = 'Teacher' AND length(txt) >= 20 AND {_MOVE} IS NOT NULL""",

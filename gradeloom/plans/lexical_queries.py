@@ -70,6 +70,11 @@ def _rouge_sql(n: int) -> str:
 
 _SENT = rf"""list_filter(list_transform(string_split(regexp_replace(__TEXT__, '([.!?]){Q.SPACE}+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^{Q.SPACE}+|{Q.SPACE}+$', '', 'g')), lambda s: s <> '')"""
 
+_STRIPPED = f"lambda s: regexp_replace(s, '^{Q.SPACE}+|{Q.SPACE}+$', '', 'g')"
+_NEXT = rf"'([.!?]){Q.SPACE}+([A-Z\d\"''(\[])', '\1' || chr(1) || '\2', 'g'"
+_GLUED = rf"'(?i)((?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(X.ABBREVIATIONS)})\.|\d\.)' || chr(1)"
+_PER = rf"list_filter(list_transform(flatten(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, {_NEXT}), {_NEXT}), '\n\s*\n'), lambda p: string_split(regexp_replace(p, {_GLUED}, '\1 ', 'g'), chr(1)))), {_STRIPPED}), lambda s: s <> '')"
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), {_STRIPPED}), lambda s: s <> '')"
 _ART = r"(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])"
 
 QUERIES = {
@@ -113,5 +118,6 @@ ORACLE = {
     "context_block": f"SELECT sample_index, array_to_string(list_transform(contexts, lambda c, i: '[' || (i - 1)::VARCHAR || '] ' || c), chr(10)) AS block FROM {Q.SAMPLES}",
     "html_escape": f"SELECT sample_index, replace(replace(replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM {Q.SAMPLES}",
     "qa_quality_filter": f"SELECT sample_index FROM {Q.SAMPLES} WHERE length(question) >= 10 AND length(answer) >= 2 AND lower(question) <> lower(answer)",
+    "document_sentences": f"SELECT doc_id, len({_SENT.replace('__TEXT__', 'text')})::INT AS n_sentences, CASE WHEN len(got) > 0 THEN len(got) WHEN len(lines) > 0 THEN len(lines) ELSE 1 END::INT AS n_chunk_sentences FROM (SELECT *, {_PER} AS got, {_LINES} AS lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))",
     "fixed_chunks": "SELECT doc_id, (i // 800)::INT AS chunk_no, substring(text, i + 1, 800) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS i FROM documents WHERE text <> '')",
 }

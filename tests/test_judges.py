@@ -146,3 +146,27 @@ def test_generation(spark):
 
     got = synthetic.generate(spark.createDataFrame([("chunk one a",), ("chunk one b",), ("two",)], "chunk string"), judge).collect()
     assert len(got) == 1 and got[0]["ground_truth"] == "Paris" and got[0]["answer"] == "an answer" and len(got[0]["contexts"]) == 2
+
+
+def test_study_runs_and_resumes(spark):
+    from gradeloom.operators import study
+    from gradeloom.sources import dialogues
+
+    turns = "|EOM|".join(f"Teacher: ({m})Could you explain step {i} to me again?|EOM|Student: I would rather not say much." for i, m in enumerate(["probing", "focus", "telling", "generic"] * 3))
+    d = spark.createDataFrame([("1", "P", "S", "W", "Yes", turns)], "qid string, question string, ground_truth string, student_incorrect_solution string, self_correctness string, conversation string")
+    notes = study.study_samples(dialogues.dialogue_samples(d))
+
+    def judge(system, prompt):
+        return '{"state": "A", "confidence": 1, "claims": [{"supported": true}], "score": 1}'
+
+    none = spark.createDataFrame([], "cache_key string, text string, cached_at double")
+    keep = ["conversation_id", "teacher_move", "move_score"]
+    first = study.run(notes, judge, "m", none, keep, limit=5)
+    assert first.count() == 5 and {r["state_code"] for r in first.collect()} == {"A"}
+    whole = study.run(notes, judge, "m", none, keep, earlier=first)
+    rows = whole.collect()
+    assert len(rows) == 12 and all(0 <= r["pes_score"] <= 1 for r in rows)
+    assert {r["sample_index"] for r in study.sample_slice(notes, 3, 2).collect()} == {3, 4}
+    tests = {r["test"] for r in study.validation(whole, "pes_before_gate", "teacher_move", "move_score", study.MOVES).collect()}
+    assert {"spearman", "kruskal", "mannwhitney"} <= tests
+    assert study.validation(whole.where("false"), "pes_before_gate", "teacher_move", "move_score", study.MOVES).count() == 0
