@@ -185,11 +185,14 @@ def shared_members(docs: DataFrame, span: int = SPAN) -> DataFrame:
     The rows are spread by anchor and salt once; both the counting and the selection use that exchange, and a hot
     anchor's rows stay spread over SALTS partitions.
     """
-    spread = anchor_rows(docs, span).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).repartition(F.col("h"), F.col("salt"))
+    rows = anchor_rows(docs, span).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # The join below would add this filter to one of the two uses only, and a semi-join would move below the exchange:
+    # either way it would run twice. ``hot`` has each key once, so an inner join selects the same rows.
+    spread = rows.where("h is not null and salt is not null").repartition(F.col("h"), F.col("salt"))
     part = spread.groupBy("h", "salt").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.max(F.struct("around", "place", "lo", "hi")).alias("any"))
     hot = part.groupBy("h").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.collect_set("salt").alias("salts"), F.max("any").alias("any"))
     hot = hot.where((F.col("d0") < F.col("d1")) & F.col("any").isNotNull()).select("h", F.explode("salts").alias("salt"))
-    return spread.join(hot, ["h", "salt"], "left_semi").drop("salt")
+    return spread.join(hot, ["h", "salt"]).drop("salt")
 
 
 def classes(members: DataFrame) -> DataFrame:
