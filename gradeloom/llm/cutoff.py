@@ -226,7 +226,10 @@ def limits(ends: DataFrame) -> DataFrame:
     w = Window.partitionBy("field_name", "grp", "kind").orderBy("size")
     whole = F.sum("n").over(Window.partitionBy("field_name", "grp", "kind"))
     near = F.coalesce(F.sum("n").over(w.rangeBetween(-15, -4)), F.lit(0)) + F.coalesce(F.sum("n").over(w.rangeBetween(1, 12)), F.lit(0))
-    return by_len.withColumn("usual", near / F.lit(24.0)).withColumn("whole", whole).where((F.col("n") >= SPIKE_SHARE * F.col("whole")) & (F.col("size") >= SPIKE_CHARS) & (F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * (F.col("usual") + 0.25))).select("field_name", "grp", "kind", "size")
+    found = by_len.withColumn("usual", near / F.lit(24.0)).withColumn("whole", whole).where((F.col("n") >= SPIKE_SHARE * F.col("whole")) & (F.col("size") >= SPIKE_CHARS) & (F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * (F.col("usual") + 0.25)))
+    # A limit in one unit shows weaker spikes in the other: the unit with the stronger one is the limit's.
+    top = F.max(F.struct("n", "kind")).over(Window.partitionBy("field_name", "grp"))
+    return found.withColumn("top", top).where(F.col("kind") == F.col("top.kind")).select("field_name", "grp", "kind", "size")
 
 
 def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataFrame | None = None) -> DataFrame:
