@@ -33,3 +33,26 @@ def cache_stats(asked: DataFrame, cache: DataFrame) -> DataFrame:
     n = keys.agg(F.count("*").alias("entries"))
     total = F.nullif(F.col("hits") + F.col("misses"), F.lit(0))
     return hit.crossJoin(F.broadcast(n)).select("hits", "misses", F.coalesce(F.try_divide(F.col("hits"), total), F.lit(0.0)).alias("hit_rate"), "entries")  # one row each
+
+
+def put(answers: DataFrame, path: str, now: float) -> None:
+    """Append answered requests (key, text) to the cache table at ``path``; failed ones are not kept."""
+    rows = answers.where(F.col("text").isNotNull()).select(F.col("key").alias("cache_key"), "text", F.lit(now).alias("cached_at"))
+    rows.write.mode("append").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:  # type: ignore[no-untyped-def]
+    """The latest entry per key; rows without key or text (a broken write) are left out. A missing table is empty."""
+    kind = "cache_key string, text string, cached_at double"
+    try:
+        got = spark.read.schema(kind).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], kind)
+    good = got.where("cache_key is not null and text is not null")
+    return good.groupBy("cache_key").agg(F.max_by("text", "cached_at").alias("text"), F.max("cached_at").alias("cached_at"))
+
+
+def clear(spark, path: str) -> None:  # type: ignore[no-untyped-def]
+    spark.createDataFrame([], "cache_key string, text string, cached_at double").write.mode("overwrite").parquet(path)

@@ -170,3 +170,14 @@ def test_study_runs_and_resumes(spark):
     tests = {r["test"] for r in study.validation(whole, "pes_before_gate", "teacher_move", "move_score", study.MOVES).collect()}
     assert {"spearman", "kruskal", "mannwhitney"} <= tests
     assert study.validation(whole.where("false"), "pes_before_gate", "teacher_move", "move_score", study.MOVES).count() == 0
+
+
+def test_cache_table(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert usage.load(spark, path).count() == 0
+    answers = spark.createDataFrame([("a", "one", None), ("b", None, "down")], "key string, text string, error string")
+    usage.put(answers, path, 1.0)
+    usage.put(answers.withColumn("text", F.lit("two")).where("key = 'a'"), path, 2.0)
+    assert [tuple(r) for r in usage.load(spark, path).collect()] == [("a", "two", 2.0)]
+    usage.clear(spark, path)
+    assert usage.load(spark, path).count() == 0
