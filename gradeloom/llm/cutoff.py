@@ -34,7 +34,7 @@ ENDS, WHOLE = 0.05, 0.3
 #: A length is a limit if at least SPIKE_LEAST different open tails have it, SPIKE_TIMES as many as its neighbours.
 #: and at least SPIKE_SHARE of all different open tails of the source.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_CHARS, SPIKE_SHARE = 4, 6.0, 20, 0.05
-#: A whole text that this many records share is a fixed phrase, and one of fewer words than FEW a value, not a cut text.
+#: A whole text that this many records share may be a fixed phrase, and one of fewer words than FEW is a value, not a cut text.
 COMMON, FEW = 5, 3
 
 _terminal = ".!?。！？"
@@ -68,7 +68,7 @@ def _grams(k: np.ndarray, n: int) -> np.ndarray:
 class Tail:
     """What the end of one text looks like; ``None`` from ``tail`` means a finished text."""
 
-    __slots__ = ("few", "forced", "grams", "mark", "shape", "word")
+    __slots__ = ("few", "forced", "grams", "mark", "shape", "unit", "word")
 
 
 def unmarked(text: str) -> tuple[str, bool, bool, bool]:
@@ -121,13 +121,14 @@ def tail(text: str) -> Tail | None:
     x.shape = not (c.isalnum() or x.forced) or (line != t and _item.fullmatch(line) is not None and not x.forced)
     toks = _token(_split(t)[-1].lower())[-3:]
     x.word = toks[-1] if toks and c.isalnum() and toks[-1].isalpha() else ""
+    x.unit = len(x.word) == 1 or any(d.isdigit() for d in "".join(toks[-2:-1]))
     k = np.array([0] * (3 - len(toks)) + [_key(w) for w in toks], np.uint64)
     x.few = len(_token(t)) < FEW
     x.grams = [int(_grams(k[2:], 1)[-1]), int(_grams(k[1:], 2)[-1]), int(_grams(k, 3)[-1]), int(_grams(k[:2], 2)[-1])]
     return x
 
 
-_TAILS = "field_name string, record_id long, grp string, chars int, bytes int, mark boolean, forced boolean, shape boolean, few boolean, same long, word string, k1 long, k2 long, k3 long, k32 long"
+_TAILS = "field_name string, record_id long, grp string, chars int, bytes int, mark boolean, forced boolean, shape boolean, few boolean, unit boolean, same long, word string, k1 long, k2 long, k3 long, k32 long"
 
 
 def tails(texts: DataFrame) -> DataFrame:
@@ -153,8 +154,8 @@ def tails(texts: DataFrame) -> DataFrame:
             at = pa.array(rows, pa.int64())
             keys = np.array([x.grams for x in found], np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(at) for c in range(3)), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), *(pa.array([getattr(x, a) for x in found], pa.bool_()) for a in ("mark", "forced", "shape", "few")), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array([x.word for x in found], pa.string()), *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(4))],
-                names=["field_name", "record_id", "grp", "chars", "bytes", "mark", "forced", "shape", "few", "same", "word", "k1", "k2", "k3", "k32"],
+                [*(b.column(c).take(at) for c in range(3)), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), *(pa.array([getattr(x, a) for x in found], pa.bool_()) for a in ("mark", "forced", "shape", "few", "unit")), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array([x.word for x in found], pa.string()), *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(4))],
+                names=["field_name", "record_id", "grp", "chars", "bytes", "mark", "forced", "shape", "few", "unit", "same", "word", "k1", "k2", "k3", "k32"],
             )
 
     return texts.select("field_name", "record_id", "grp", "text").mapInArrow(run, _TAILS)
@@ -245,9 +246,12 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
     grams = cut(gram_counts(source.where(F.col("text").isNotNull())))
     nodes = trie_nodes(grams)
 
-    distinct = ends.select("word", "k1", "k2", "k3", "k32").distinct()
-    asked = distinct.select("word", "k1", "k2", "k3", "k32", F.posexplode(F.array("k1", "k2", "k3", "k32")).alias("i", "k"))
-    got = asked.join(grams.drop("word"), "k", "left").groupBy("word", "k1", "k2", "k3", "k32").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
+    # Repetition says nothing about an end: of the rows that end alike, all but one per text are ``extra``.
+    tail_keys = ["word", "unit", "k1", "k2", "k3", "k32"]
+    distinct = ends.groupBy("same", *tail_keys).agg((F.count("*") - 1).alias("extra")).groupBy(*tail_keys).agg(F.sum("extra").alias("extra"))
+    distinct = distinct.withColumn("extra", F.sum("extra").over(Window.partitionBy("k3")))
+    asked = distinct.select(*tail_keys, "extra", F.posexplode(F.array("k1", "k2", "k3", "k32")).alias("i", "k"))
+    got = asked.join(grams.drop("word"), "k", "left").groupBy(*tail_keys, "extra").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
     got = got.join(nodes, "word", "left")
 
     def inside(i: int) -> F.Column:  # occurrences that don't end an open text, which may itself be cut
@@ -256,12 +260,18 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
     def share(i: int) -> F.Column:
         return F.when(inside(i) >= LEAST, F.col(f"{i}_e") / inside(i))
 
-    # Words that mostly follow the two before them end a fixed phrase, even where no stop ever follows.
-    complete = F.coalesce((F.col("2_n") > LEAST) & (F.col("2_n") >= 0.5 * F.col("3_n")), F.lit(False))
+    def follows(copies: F.Column | int) -> F.Column:  # the last word mostly follows the two before it
+        n, before = F.col("2_n") - copies, F.col("3_n") - copies
+        return F.coalesce((n > LEAST) & (n >= 0.5 * before), F.lit(False))
+
+    # Such words end a fixed phrase, even where no stop ever follows, if differing texts hold them. Copies of one text
+    # alone make no phrase, but a unit or symbol of it is then no cut word.
+    complete, settled = follows(F.col("extra")), follows(F.lit(0))
     below = F.coalesce(F.col("below"), F.lit(0))
-    in_word = (F.col("word") != "") & (inside(0) < F.greatest(F.lit(float(KNOWN)), below / 1000.0)) & (below >= KNOWN) & ~complete
+    in_word = (F.col("word") != "") & (inside(0) < F.greatest(F.lit(float(KNOWN)), below / 1000.0)) & (below >= KNOWN) & ~complete & ~(F.col("unit") & settled)
     ended = F.when(complete & (inside(2) < LEAST), F.lit(1.0)).otherwise(F.coalesce(share(2), share(1), share(0)))
-    judged = got.select("word", "k1", "k2", "k3", "k32", ended.alias("ended"), F.coalesce(in_word, F.lit(False)).alias("in_word"))
+    going = F.coalesce(*[F.when(inside(i) >= LEAST, inside(i)) for i in (2, 1, 0)], F.lit(0))
+    judged = got.select(*tail_keys, ended.alias("ended"), going.alias("going"), inside(0).alias("last_n"), F.coalesce(F.col("0_e"), F.lit(0)).alias("last_e"), settled.alias("settled"), F.coalesce(in_word, F.lit(False)).alias("in_word"))
 
     lim = limits(ends)
     keys = ["field_name", "grp"]
@@ -276,10 +286,10 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
         on = F.col("field_name").eqNullSafe(F.col("r_field_name")) & F.col("grp").eqNullSafe(F.col("r_grp")) & (F.col(size) == F.col(f"r_{size}"))
         return left.join(r, on, "left").drop(*[f"r_{c}" for c in (*keys, size)])
 
-    phrases = ends.groupBy("field_name", "same").agg(F.min("record_id").alias("r0"), F.approx_count_distinct("record_id").alias("n")).where((F.col("n") >= COMMON) & F.col("r0").isNotNull()).select("field_name", "same", F.lit(True).alias("common"))
-    ends = ends.join(phrases, ["field_name", "same"], "left").withColumn("plain", F.coalesce(F.col("common"), F.lit(False)) | (F.col("few") & ~F.col("mark")))
+    copies = ends.groupBy("field_name", "same").agg((F.approx_count_distinct("record_id") - 1).alias("copies")).where("copies > 0")
+    ends = ends.join(copies, ["field_name", "same"], "left").withColumn("plain", F.col("few") & ~F.col("mark"))
     out = near(near(ends, at("chars", 1), "chars"), at("bytes", 3), "bytes")
-    out = out.join(judged, ["word", "k1", "k2", "k3", "k32"], "left")
+    out = out.join(judged, tail_keys, "left")
     at_limit = F.coalesce(F.col("r_at_chars"), F.lit(False)) | F.coalesce(F.col("r_at_bytes"), F.lit(False))
     if shortened is not None:
         s = shortened.select("field_name", "record_id").distinct().withColumn("short", F.lit(True))
@@ -287,8 +297,13 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
         short = F.coalesce(F.col("short"), F.lit(False)) & ~F.col("shape")
     else:
         short = F.lit(False)
+    # Copies may be a whole phrase: where they are a fair part of what its last words do, and its last word ends
+    # sentences if they are counted as ends, the n-grams don't speak. Other evidence holds for any number of copies.
+    n = F.coalesce(F.col("copies"), F.lit(0))
+    phrase = ((n >= COMMON - 1) | F.coalesce(F.col("settled"), F.lit(False))) & (n >= ENDS * (F.col("going") + n)) & (F.col("last_e") + n >= ENDS * (F.col("last_n") + n))
+    phrase = F.coalesce(phrase, F.lit(False))
     ended = F.coalesce(F.col("ended"), F.lit(1.0))
-    in_sentence = ~F.col("shape") & ((ended < ENDS) | (F.col("mark") & (F.coalesce(F.col("ended"), F.lit(0.0)) < WHOLE)) | short)
+    in_sentence = ~F.col("shape") & (((ended < ENDS) & ~phrase) | (F.col("mark") & (F.coalesce(F.col("ended"), F.lit(0.0)) < WHOLE)) | short)
     out = out.select("field_name", "record_id", at_limit.alias("at_limit"), (~F.col("plain") & ~F.col("shape") & F.col("in_word")).alias("in_word"), (~F.col("plain") & (F.col("forced") | in_sentence)).alias("in_sentence"))
     found = out.where("at_limit or in_word or in_sentence").where("record_id is not null")
     return found.groupBy("field_name", "record_id").agg(*[F.max(c).alias(c) for c in ("at_limit", "in_word", "in_sentence")])

@@ -87,6 +87,20 @@ def test_cut_texts_are_found_and_whole_ones_are_not(spark):
     assert cutoff.find_cut(df.where("false")).count() == 0
 
 
+def test_copies_of_a_cut_text_are_found(spark):
+    texts = corpus(seed=3)
+    ends = ["a ladder beside the triang", "a ladder (beside the wall", "a ladder beside the Müller clock…", "a ladder of his own beside the"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + 100 * j + i, f"{texts[j]} Bruno measures {e}") for j, e in enumerate(ends) for i in range(40)]
+    whole = ["value from rougeX", "timeout after 60 s"]
+    rows += [(2000 + i, f"rougeX over {i} tokens and some seconds") for i in range(60)] + [(3000 + 100 * j + i, t) for j, t in enumerate(whole) for i in range(40)]
+    df = spark.createDataFrame([("answer", i, None, t) for i, t in rows], "field_name string, record_id long, grp string, text string")
+    ids = {r["record_id"] for r in cutoff.find_cut(df).collect()}
+    assert ids == {1000 + 100 * j + i for j in range(len(ends)) for i in range(40)}
+    short = df.where("record_id = 3").select("field_name", F.explode(F.sequence(F.lit(4000), F.lit(4039))).alias("record_id"), "grp", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+    got = cutoff.find_cut(df.unionByName(short), shortened=short)
+    assert {r["record_id"] for r in got.where("record_id >= 4000").collect()} == set(range(4000, 4040))
+
+
 def test_trie_nodes(spark):
     w = spark.createDataFrame([("measure", 5, 0), ("measured", 2, 0), ("me", 9, 9), ("x", 7, 0)], "word string, n long, opens long")
     got = {r["word"]: r["below"] for r in cutoff.trie_nodes(w).collect()}
