@@ -200,16 +200,20 @@ def classes(members: DataFrame) -> DataFrame:
     return members.groupBy("h", "around").agg(F.min(F.struct("doc_id", "place", "lo", "hi")).alias("one"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
 
 
-def class_windows(docs: DataFrame, cls: DataFrame, span: int = SPAN) -> DataFrame:
-    """(h, around, doc_id, start, w): the full windows of one occurrence of each class, where an anchor has several."""
+def class_windows(docs: DataFrame, cls: DataFrame, span: int = SPAN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(h, around, doc_id, start, w): the full windows of one occurrence of each class, where an anchor has several.
+
+    carry: whole-number columns of ``cls`` that each window is given too.
+    """
     several = cls.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    reps = cls.join(several, "h", "left_semi").select("h", "around", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))
-    by_doc = reps.groupBy("doc_id").agg(F.collect_list("h").alias("h"), F.collect_list("around").alias("around"), F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    reps = cls.join(several, "h", "left_semi").select("h", "around", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), *[F.col(c).cast("long").alias(c) for c in carry])
+    each = ("h", "around", "lo", "hi", *carry)
+    by_doc = reps.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in each])
     joined = docs.where(F.length("text") >= span).select("doc_id", "text").join(by_doc, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("h", "around", "lo", "hi")}
+            cols = {n: b.column(n).to_pylist() for n in each}
             where = 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 lo, hi = np.array(cols["lo"][where], np.int64), np.array(cols["hi"][where], np.int64)
@@ -219,12 +223,12 @@ def class_windows(docs: DataFrame, cls: DataFrame, span: int = SPAN) -> DataFram
                 n = hi - lo + 1
                 start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(cols["h"][where], np.int64), n)), pa.array(np.repeat(np.array(cols["around"][where], np.int64), n)), pa.array(np.full(len(start), i, np.int64)), pa.array(start.astype(np.int32)), pa.array(w[start - a0])],
-                    names=["h", "around", "doc_id", "start", "w"],
+                    [pa.array(np.repeat(np.array(cols["h"][where], np.int64), n)), pa.array(np.repeat(np.array(cols["around"][where], np.int64), n)), pa.array(np.full(len(start), i, np.int64)), pa.array(start.astype(np.int32)), pa.array(w[start - a0]), *(pa.array(np.repeat(np.array(cols[c][where], np.int64), n)) for c in carry)],
+                    names=["h", "around", "doc_id", "start", "w", *carry],
                 )
                 where += 1
 
-    return joined.mapInArrow(run, "h long, around long, doc_id long, start int, w long")
+    return joined.mapInArrow(run, ", ".join(["h long, around long, doc_id long, start int, w long", *[f"{c} long" for c in carry]]))
 
 
 def _groups(docs: DataFrame, span: int) -> DataFrame:
@@ -266,9 +270,18 @@ def shared_intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
     members = cut(shared_members(docs, span))
     cls = classes(members)
     whole = members.join(cls.where("d0 < d1").select("h", "around"), ["h", "around"], "left_semi").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + span).alias("stop"))
-    win = class_windows(docs, cls.select("h", "around", "one", "d0", "d1"), span)
-    often = win.groupBy("h", "w").agg(F.min("around").alias("y0"), F.max("around").alias("y1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("y0 < y1 and d0 < d1").select("h", "w")
-    single = win.join(often, ["h", "w"], "left_semi").select("doc_id", "start", (F.col("start") + span).alias("stop"))
+    # Classes of one document: their windows that stand in another document's class, as offsets from an occurrence's
+    # first window, hold for all their occurrences. Periodic text repeats them (a row may hold several periods).
+    placed = cls.withColumns({"first": F.col("one.lo"), "windows": F.col("one.hi") - F.col("one.lo") + 1})
+    win = class_windows(docs, placed, span, ("d0", "d1", "first", "windows"))
+    often = win.groupBy("h", "w").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("d0 < d1").select("h", "w")
+    at = win.where("d0 = d1").join(often, ["h", "w"], "left_semi").select("h", "around", "windows", (F.col("start") - F.col("first")).alias("at"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy("h", "around").orderBy("at"))
+    runs = at.withColumn("run", run).groupBy("h", "around", "windows", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    held = members.join(runs, ["h", "around"]).where(F.col("lo") + F.col("a") <= F.col("hi"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(hi - lo - a) div windows"))))
+    moved = F.col("lo") + F.col("turn") * F.col("windows")
+    single = held.select("doc_id", (moved + F.col("a")).cast("int").alias("start"), (F.least(moved + F.col("b"), F.col("hi")) + span).cast("int").alias("stop"))
     rows = whole.unionByName(single)
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     far = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -52,6 +52,25 @@ def test_pairs_and_shares_equal_brute_force(spark):
         assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(df, 40).collect()} == share
 
 
+def test_every_occurrence_inside_a_document_counts(spark):
+    random.seed(7)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    p = word(70)
+    texts = [(1, p + word(60) + p), (3, word(50) + p[10:60] + word(50))]
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(frame(spark, texts), 40).collect()} == {1: 100, 3: 50}
+    for i in range(10, 70):
+        q, k, r = word(70), random.randint(0, 25), word(random.randint(3, 60))
+        t = word(random.randint(0, 20)) + q + word(random.randint(0, 50)) + q + random.choice(["", q[5:] + word(30) + q])
+        texts.append((i, t))
+        texts.append((100 + i, random.choice([word(30) + q[k : k + 45] + word(30), q[k:] + q[: 45 + k], t[: len(t) // 2], word(9) + r * 30])))
+        texts.append((200 + i, random.choice([word(20) + r * 9 + word(20) + r * 12, t[len(t) // 3 :], q + word(5) + q[: 50 + k % 20]])))
+    random.shuffle(texts)
+    pairs, share = brute(texts, 40)
+    df = frame(spark, texts)
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(df, 40).collect()} == share
+    assert {tuple(r) for r in spans.shared_pairs(df, 40).collect()} == pairs
+
+
 def test_large_groups_are_paired_in_blocks(spark):
     old, spans.BLOCK = spans.BLOCK, 4
     try:
