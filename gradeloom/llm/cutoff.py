@@ -304,7 +304,7 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
     phrase = F.coalesce(phrase, F.lit(False))
     ended = F.coalesce(F.col("ended"), F.lit(1.0))
     in_sentence = ~F.col("shape") & (((ended < ENDS) & ~phrase) | (F.col("mark") & (F.coalesce(F.col("ended"), F.lit(0.0)) < WHOLE)) | short)
-    out = out.select("field_name", "record_id", at_limit.alias("at_limit"), (~F.col("plain") & ~F.col("shape") & F.col("in_word")).alias("in_word"), (~F.col("plain") & (F.col("forced") | in_sentence)).alias("in_sentence"))
+    out = out.select("field_name", "record_id", at_limit.alias("at_limit"), F.coalesce(F.col("in_word"), F.lit(False)).alias("in_word"), (~F.col("plain") & (F.col("forced") | in_sentence)).alias("in_sentence"))
     found = out.where("at_limit or in_word or in_sentence").where("record_id is not null")
     return found.groupBy("field_name", "record_id").agg(*[F.max(c).alias(c) for c in ("at_limit", "in_word", "in_sentence")])
 

@@ -101,6 +101,13 @@ def test_copies_of_a_cut_text_are_found(spark):
     assert {r["record_id"] for r in got.where("record_id >= 4000").collect()} == set(range(4000, 4040))
 
 
+def test_values_and_list_items_cut_inside_a_word_are_found(spark):
+    texts = [(i, t) for i, t in enumerate(corpus(seed=4))]
+    texts += [(1000, "Multipl"), (1001, "Clara multipl"), (1002, "The worksheet has two steps.\n1) Anna measures\n2) Bruno subtrac"), (1003, "Anna"), (1004, "The worksheet has two steps.\n1) Anna measures\n2) Bruno subtracts")]
+    df = spark.createDataFrame([("answer", i, None, t) for i, t in texts], "field_name string, record_id long, grp string, text string")
+    assert {r["record_id"] for r in cutoff.find_cut(df).collect()} == {1000, 1001, 1002}
+
+
 def test_trie_nodes(spark):
     w = spark.createDataFrame([("measure", 5, 0), ("measured", 2, 0), ("me", 9, 9), ("x", 7, 0)], "word string, n long, opens long")
     got = {r["word"]: r["below"] for r in cutoff.trie_nodes(w).collect()}
