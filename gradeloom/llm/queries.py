@@ -60,7 +60,7 @@ def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, targets, dims = _quota(spark, sf_dir)
-    return quota.requirements(rows, targets, dims).where("deficit > 0").select("dimension", "category")
+    return quota.short_categories(rows, targets, "synth_id", dims).select("dimension", "category")
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ full, and only rows of the bucket at the border are ranked. Categories that cann
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -92,7 +93,12 @@ def _rake(cells: np.ndarray, index: list[np.ndarray], wanted: list[np.ndarray])
 def plan(rows: DataFrame, targets: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """(label..., observed, wanted) per joint cell; a label outside the targets is null."""
     req = [r.asDict() for r in requirements(rows, targets, dimensions).withColumn("l", norm_label(F.col("category"))).orderBy("dimension", "category").collect()]
-    known = {d: [r["l"] for r in req if r["dimension"] == d] for d in dimensions}
+    need: dict[str, dict[str, int]] = {d: {} for d in dimensions}  # spellings of one category: the greatest target holds
+    for r in req:
+        if r["dimension"] in need and r["l"] is not None:
+            have = need[r["dimension"]]
+            have[r["l"]] = max(have.get(r["l"], 0), min(r["required"], r["available"]))
+    known = {d: list(need[d]) for d in dimensions}
     named = rows.select(*[F.when(F.col(d).isin(known[d]), F.col(d)).alias(d) for d in dimensions])
     counted = named.groupBy(*dimensions).agg(F.count("*").alias("observed")).limit(MAX_CELLS + 1).collect()
     if len(counted) > MAX_CELLS:
@@ -100,7 +106,7 @@ def plan(rows: DataFrame, targets: DataFrame, dimensions: Sequence[str]) -> Data
     counted.sort(key=lambda r: tuple(r[d] or "" for d in dimensions))
     cells = np.array([r["observed"] for r in counted], np.int64)
     index = [np.array([known[d].index(r[d]) if r[d] is not None else -1 for r in counted], np.int64) for d in dimensions]
-    wanted = [np.array([min(r["required"], r["available"]) for r in req if r["dimension"] == d], np.int64) for d in dimensions]
+    wanted = [np.array(list(need[d].values()), np.int64) for d in dimensions]
     k = _rake(cells, index, wanted) if len(cells) else cells
     out = [(*[r[d] for d in dimensions], int(r["observed"]), int(x)) for r, x in zip(counted, k)]
     return rows.sparkSession.createDataFrame(out, ", ".join(f"{d} string" for d in dimensions) + ", observed long, wanted long")
@@ -134,6 +140,20 @@ def draw(rows: DataFrame, cells: DataFrame, key: str, dimensions: Sequence[str],
     return whole.unionByName(border)
 
 
+def short_categories(rows: DataFrame, targets: DataFrame, key: str, dimensions: Sequence[str]) -> DataFrame:
+    """``sample_report`` of the target rows that no sample can meet, each dimension by itself.
+
+    A sample is drawn per dimension; a category is short where the sample holds all its usable rows and not enough.
+    """
+    found = []
+    for d in dimensions:
+        t = targets.where(F.col("dimension") == d)
+        found.append(sample_report(requirements(rows, t, [d]), draw(rows, plan(rows, t, [d]), key, [d]), [d]))
+    other = targets.where(~F.coalesce(F.col("dimension").isin(list(dimensions)), F.lit(False)))
+    found.append(sample_report(requirements(rows, other, dimensions), rows.where("false"), dimensions))
+    return reduce(DataFrame.unionByName, found).where("unmet > 0 and sampled = available")
+
+
 def synthetic_labels() -> dict[str, Column]:
     return {d: F.col(f"metadata.{d}") for d in ("question_type", "difficulty", "target_pedagogical_state")}
 

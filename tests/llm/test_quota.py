@@ -40,6 +40,21 @@ def test_small_categories_are_taken_whole_and_reported(spark):
     assert got == {"rare": (3, 7), "common": (90, 0)}
 
 
+def test_p4_found_is_read_off_drawn_samples(spark, tmp_path, monkeypatch):
+    from gradeloom.llm import queries
+
+    meta = "struct<question_type:string,difficulty:string,target_pedagogical_state:string>"
+    data = [(i, (["multi hop", "Simple", "simple"][i % 3] if i < 90 else None, "hard" if i < 5 else "easy", "A")) for i in range(300)]
+    spark.createDataFrame(data + data[:20], f"synth_id long, metadata {meta}").write.parquet(str(tmp_path / "synthetic_dataset.parquet"))
+    t = [("question_type", "Multi-Hop", 0.5, 1, 100), ("question_type", "multi hop", 0.1, 1, 100), ("question_type", "simple", 0.5, 1, 100), ("question_type", "rare", 0.0, 1, 100), ("difficulty", "hard", 0.1, 1, 100), ("difficulty", "easy", 0.9, 1, 100), ("target_pedagogical_state", "a", 0.2, 1, 100), ("nowhere", "x", 0.1, 1, 100)]
+    spark.createDataFrame(t, T).write.parquet(str(tmp_path / "sample_targets.parquet"))
+    drawn, draw = [], quota.draw
+    monkeypatch.setattr(quota, "draw", lambda rows, cells, key, dims, **k: drawn.append(list(dims)) or draw(rows, cells, key, dims, **k))
+    got = sorted(map(tuple, queries.p4_found(spark, str(tmp_path)).collect()))
+    assert got == [("difficulty", "hard"), ("nowhere", "x"), ("question_type", "Multi-Hop"), ("question_type", "rare")]
+    assert drawn == [["question_type"], ["difficulty"], ["target_pedagogical_state"]]
+
+
 def test_empty_tables(spark):
     r = rows(spark, [(1, "x", "y", 0)])
     t = spark.createDataFrame([("kind", "x", 1.0, 1, 5)], T)
