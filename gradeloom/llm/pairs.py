@@ -89,7 +89,17 @@ REFUSALS = {
         r"\b(?:kontext|text|textstellen|material|unterlagen|quellen|abschnitte)\b[^.!?]{0,50}\b(?:nicht|nichts|keine|kein)\b",
     ),
 }
-#: A refusal is short: at most so many words and sentences, and it goes on to no answer.
+# Whole sentences beside a refusal that neither answer nor guide on: apologies, referrals to people, offers.
+ASIDES = (
+    r"(?:i['’]?m|i am|we['’]re|we are)?\s*(?:(?:very|so|really|truly|terribly)\s+)?sorry(?: (?:about|for) (?:that|this|it|(?:the|any) (?:inconvenience|trouble)))?|(?:my|our) apologies|i apologi[sz]e(?: for (?:that|this|(?:the|any) inconvenience))?|unfortunately",
+    r"(?:please )?(?:ask|contact|consult|turn to|speak (?:to|with)|talk to) (?:your|the|a|an|our)? ?(?:\w+ )?(?:teacher|tutor|instructor|professor|lecturer|support|expert|specialist)(?: (?:team|instead|please))?",
+    r"(?:thank you|thanks)(?: for (?:your )?(?:understanding|patience|question|asking))?|(?:please )?let me know if (?:you have|there is|i can help with)[^.!?]*(?:else|other|another)[^.!?]*|(?:please )?(?:feel free to )?ask (?:me )?(?:something else|another question)",
+    r"(?:mi dispiace|scusa|scusami|mi scuso|purtroppo)(?: (?:molto|tanto))?|(?:chiedi|rivolgiti|si rivolga|domanda) (?:al|alla|a) (?:\w+ )?(?:insegnante|docente|tutor|professore|professoressa|maestr[oa])|grazie(?: (?:per|della) (?:la )?(?:comprensione|pazienza))?",
+    r"(?:lo siento|perd[oó]n|disculpa|disculpe|lo lamento)(?: (?:mucho|de verdad))?|(?:pregunta|pregúntale|consulta|pregunte|consulte)(?: a| al| con)* (?:\w+ )?(?:profesora?|maestr[oa]|tutora?|docente)|gracias(?: por (?:tu|su) (?:comprensión|paciencia))?",
+    r"(?:je suis )?(?:(?:vraiment )?désolée?|navrée?)|(?:toutes )?mes excuses|(?:demande|demandez|adresse-toi|adressez-vous) (?:à|au) (?:\w+ )?(?:professeure?|enseignante?|tuteur|tutrice)|merci(?: (?:de|pour) (?:ta|votre) (?:compréhension|patience))?",
+    r"(?:es )?tut mir (?:sehr )?leid|entschuldigung|leider|(?:bitte )?(?:frag|frage|fragen sie|wende dich|wenden sie sich) (?:bitte )?(?:an )?(?:\w+ )?(?:lehrer(?:in)?|lehrkraft|tutor(?:in)?|professor(?:in)?)|danke(?: für (?:dein|ihr) verständnis)?",
+)
+#: A refusal with sentences of other kinds is short: at most so many words and sentences, and it goes on to no answer.
 REFUSAL_WORDS, REFUSAL_SENTENCES = 60, 3
 #: Share of the question's words that a copy may change, and words that may introduce it.
 COPY_CHANGED, COPY_INTRO = 0.25, 6
@@ -107,13 +117,20 @@ def is_empty(c: Column) -> Column:
 
 
 def is_refusal(c: Column) -> Column:
-    """A short text that declines to answer in its first sentence and goes on to no answer."""
+    """A text that declines to answer and goes on to no answer.
+
+    Either it is short and declines in its first sentence, or any sentence declines and all others are asides.
+    """
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{Z}\s]+", " ")
     any_of = "|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps)
     parts = F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
     first = F.try_element_at(parts, F.lit(1))
     rest = F.array_join(F.slice(parts, 2, REFUSAL_SENTENCES), " ")
-    return F.coalesce(
+    aside = rf"(?iu)^(?:{'|'.join(ASIDES)})\s*[.!]*$"
+    declines = F.exists(parts, lambda s: s.rlike(f"(?iu){any_of}"))
+    others = F.exists(parts, lambda s: ~s.rlike(f"(?iu){any_of}") & ~s.rlike(aside))
+    turns = F.exists(parts, lambda s: s.rlike(f"(?iu)(?:{any_of})[^.!?]*,[^.!?]*{_but}") | s.rlike(r"\?\s*$"))
+    return F.coalesce(declines & ~others & ~turns, F.lit(False)) | F.coalesce(
         (F.size(parts) <= REFUSAL_SENTENCES)
         & (F.size(F.split(t, " ")) <= REFUSAL_WORDS)
         & first.rlike(f"(?iu){any_of}")

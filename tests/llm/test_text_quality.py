@@ -143,6 +143,14 @@ def test_empty_and_refusal_rules(spark):
     assert got == [True] * len(refusals) + [False] * len(others)
 
 
+def test_refusals_in_any_sentence(spark):
+    long = " ".join(["I'm sorry.", "I cannot answer that.", "The context does not contain enough information to answer this particular question about the lesson of the day, the exercise on the board or the homework of this week.", "I am not able to help with any of the 12 steps, nor with the drawing, the table, the graph or the text that goes with them.", "I am not allowed to discuss the matter any further with anyone who has not been enrolled.", "Please ask your teacher."])
+    yes = ["I'm sorry. I cannot answer that.", "Mi dispiace. Non posso rispondere a questa domanda.", "Es tut mir leid. Dabei kann ich nicht helfen.", long]
+    no = ["I'm sorry. The answer is twelve.", "Take four from nine. One cannot say that it is prime.", "I'm sorry. I cannot tell you the answer, but look at the sign again.", "Sorry. Ask your teacher.", "I'm sorry. I cannot answer that. What did you try?"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string")
+    assert [r["e"] for r in df.orderBy("i").select(pairs.is_refusal(F.col("t")).alias("e")).collect()] == [True] * len(yes) + [False] * len(no)
+
+
 def test_defects_of_pairs(spark):
     rows = [(1, EN[0], None, None, "en", "s"), (2, EN[1], EN[1], EN[2], "en", "s"), (3, EN[0], IT[2], EN[3], "en", "s"), (4, EN[0] + " " + IT[0], IT[2], IT[3], "en", "s"), (5, None, "I am not able to answer this question.", "", "en", "s"), (5, None, "I am not able to answer this question.", "", "en", "s"), (6, EN[2], EN[4], DE[4], "xx", "s"), (None, EN[0], None, None, "en", "s")]
     s = samples(spark, rows)
