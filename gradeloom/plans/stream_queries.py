@@ -33,8 +33,8 @@ def call_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.canonical_results(read(spark, sf_dir, "eval_results")).where("run_id = 'run-00-00000' and sample_index is not null")
-    return sinks.csv_wide(r)
+    r = R.canonical_results(read(spark, sf_dir, "eval_results")).where("sample_index is not null")
+    return sinks.csv_wide(r, ("run_id", "sample_index"))
 
 
 def plot_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,13 @@ def write_json(results: DataFrame, path: str, config: dict | None = None) -> Non
     spark.createDataFrame([(json.dumps(head, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
-def csv_wide(results: DataFrame) -> DataFrame:
-    """Sample_Index and, per metric in order, ``<metric>_Score`` and ``<metric>_Reason``; the last delivery of a cell
-    wins (by ``seq`` where there is one); missing cells are empty."""
+def csv_wide(results: DataFrame, keys: tuple[str, ...] = ("sample_index",)) -> DataFrame:
+    """The keys (Sample_Index; with ``run_id`` also Run_Id) and, per metric in order, ``<metric>_Score`` and ``<metric>_Reason``; the last delivery of a cell
+    wins (by ``seq`` where there is one); missing cells are empty. More than MAX_ATTRIBUTES metrics are an error."""
     order = F.col("seq") if "seq" in results.columns else F.lit(0)
-    cells = results.groupBy("sample_index", F.col("metric_name").alias("attribute")).agg(F.max_by(F.struct(F.col("score").cast("string").alias("Score"), F.coalesce("reason", F.lit("")).alias("Reason")), order).alias("c"))
-    names = sorted(r[0] for r in cells.select("attribute").distinct().limit(wide.MAX_ATTRIBUTES).collect())
-    got = wide.to_wide(cells.select("sample_index", "attribute", "c.*"), ["sample_index"], ["Score", "Reason"], names)
-    return got.withColumnRenamed("sample_index", "Sample_Index").na.fill("")
+    cells = results.groupBy(*keys, F.col("metric_name").alias("attribute")).agg(F.max_by(F.struct(F.col("score").cast("string").alias("Score"), F.coalesce("reason", F.lit("")).alias("Reason")), order).alias("c"))
+    got = wide.to_wide(cells.select(*keys, "attribute", "c.*"), list(keys), ["Score", "Reason"])
+    return got.withColumnsRenamed({k: k.title() for k in keys}).na.fill("")
 
 
 def write_csv(results: DataFrame, path: str) -> None:

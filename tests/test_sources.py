@@ -96,6 +96,22 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j" / "results")).count() == 3
 
 
+def test_csv_of_all_runs(spark, tmp_path, monkeypatch):
+    from gradeloom.operators import wide
+    from gradeloom.plans import stream_queries
+
+    monkeypatch.setattr(wide, "MAX_ATTRIBUTES", 2)
+    at = "timestamp'2024-01-01'"
+    rows = [(1, "run-00-00000", "m1", 0, 0.5), (2, "run-00-00001", "m1", 0, 0.25), (3, "run-00-00001", "m2", 1, 1.0)]
+    df = spark.createDataFrame(rows, "result_id long, run_id string, metric_name string, sample_index long, score double").selectExpr("*", "'r' AS reason", "cast(null AS string) AS metadata", f"{at} AS scored_at", f"{at} AS ingested_at")
+    df.write.parquet(str(tmp_path / "eval_results.parquet"))
+    got = {(r["Run_Id"], r["Sample_Index"], r["m1_Score"], r["m2_Score"]) for r in stream_queries.csv_wide(spark, str(tmp_path)).collect()}
+    assert got == {("run-00-00000", 0, "0.5", ""), ("run-00-00001", 0, "0.25", ""), ("run-00-00001", 1, "", "1.0")}
+    more = df.withColumn("metric_name", df["result_id"].cast("string"))
+    with pytest.raises(ValueError):
+        sinks.csv_wide(more)
+
+
 def test_config_and_cli(tmp_path, capsys):
     with pytest.raises(ValueError):
         config.LLMConfig(provider="x")
