@@ -92,7 +92,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(codes: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+def anchors(codes: np.ndarray, first: np.ndarray, span: int, merge: bool = True) -> tuple[np.ndarray, ...]:
     """Anchors of the texts that stand one after another in ``codes`` (text k from first[k] to first[k + 1]).
 
     Returns text number, place, first and last start of the windows it is the anchor of (all within the text), the
@@ -114,13 +114,17 @@ def anchors(codes: np.ndarray, first: np.ndarray, span: int) -> tuple[np.ndarray
     a, b = np.maximum(first[text], p - (span - part)), np.minimum(first[text + 1], p + span)
     around = _mix(h.of(1, a, b) + _U(0x632BE59BD9B4E019) * ((p - a) * 4096 + (b - p)).astype(np.uint64))
     base = first[text]
-    # Of one text's occurrences with the same surroundings that follow each other (periodic text) one row is enough.
-    x = h.of(0, p, p + part)
+    rows = text, p - base, lo - base, hi - base, h.of(0, p, p + part), around
+    return _merged(*rows) if merge else rows
+
+
+def _merged(text: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one text's occurrences with the same surroundings that follow each other (periodic text) one row is enough."""
     same = np.zeros(len(p), bool)
     same[1:] = (text[1:] == text[:-1]) & (x[1:] == x[:-1]) & (around[1:] == around[:-1]) & (lo[1:] == hi[:-1] + 1)
     head = np.flatnonzero(~same)
     last = np.append(head[1:], len(p)) - 1 if len(head) else head
-    return text[head], (p - base)[head], (lo - base)[head], (hi - base)[last], x[head], around[head]
+    return text[head], p[head], lo[head], hi[last], x[head], around[head]
 
 
 def _chunks(ids: list, texts: list[str | None], least: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -152,12 +156,11 @@ def _long(codes: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     out = []
     for s in range(0, len(codes), step):
         a, b = max(0, s - reach), min(len(codes), s + step + reach)
-        t, p, lo, hi, x, y = anchors(codes[a:b], np.array([0, b - a]), span)
+        t, p, lo, hi, x, y = anchors(codes[a:b], np.array([0, b - a]), span, False)
         lo, hi, p = lo + a, hi + a, p + a
-        keep = (hi >= s) & (lo < s + step)
-        lo, hi = np.maximum(lo, s), np.minimum(hi, s + step - 1)
+        keep = (lo >= s) & (lo < s + step)  # a whole row belongs to the piece in which it begins
         out.append((t[keep], p[keep], lo[keep], hi[keep], x[keep], y[keep]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    return _merged(*(np.concatenate(c) for c in zip(*out)))
 
 
 def anchor_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -98,6 +98,22 @@ def test_long_texts_are_cut_into_overlapping_pieces():
     assert (covered == 1).all()
 
 
+def test_rows_of_long_texts_are_whole_where_pieces_meet():
+    import numpy as np
+
+    random.seed(6)
+    step = 1 << 21
+    for t in ("".join(random.choice("abcdef") for _ in range(step + 9000)), "abcde" * ((step + 9000) // 5)):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        a, b = step - 4000, step + 4000
+        t0, p, lo, hi, x, y = spans.anchors(codes[a:b], np.array([0, b - a]), 400)
+        inner = (lo > 1000) & (hi < b - a - 1400)
+        want = set(zip((p + a)[inner].tolist(), (lo + a)[inner].tolist(), (hi + a)[inner].tolist(), x[inner].tolist(), y[inner].tolist()))
+        got = spans._long(codes, 400)
+        assert want <= set(zip(*(c.tolist() for c in got[1:])))
+        assert (got[2][1:] == got[3][:-1] + 1).all() and got[2][0] == 0 and got[3][-1] == len(codes) - 400
+
+
 def test_nothing_to_find(spark):
     assert spans.shared_pairs(frame(spark, [])).count() == 0
     one = frame(spark, [(1, "a" * 1000), (1, "a" * 1000), (None, "a" * 1000), (2, None), (3, "short")])
