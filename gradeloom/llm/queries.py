@@ -38,18 +38,18 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir, True)
 
 
-def _scale(spark: SparkSession, sf_dir: str) -> reading.Scale:
-    texts = read(spark, sf_dir, "samples").select(F.col("answer").alias("text"))
-    return reading.fit(texts, read(spark, sf_dir, "graded_items"))
+def _read_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading.Scale]:
+    encoded = reading.encode(read(spark, sf_dir, "samples"), "sample_index", "answer")
+    return encoded, reading.fit(encoded, read(spark, sf_dir, "graded_items"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.demanding(read(spark, sf_dir, "samples"), _scale(spark, sf_dir))
+    return reading.demanding(*_read_levels(spark, sf_dir))
 
 
 def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latent and graded level of every answer."""
-    return reading.levels(read(spark, sf_dir, "samples"), _scale(spark, sf_dir), "sample_index", "answer").distinct()
+    return reading.levels(*_read_levels(spark, sf_dir), "sample_index").distinct()
 
 
 def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -171,12 +171,33 @@ def test_reading_levels(spark):
     g = spark.createDataFrame([(i, "en", 1 if i % 2 else 4, easy() if i % 2 else hard()) for i in range(20)] + [(99, None, None, None)], "graded_id long, lang string, reading_level int, text string")
     rows = [(1, "q", easy(), None, "en", "s"), (2, "q", hard(), None, "en", "s"), (2, "q", hard(), None, "en", "s"), (3, "q", hard()[:260], None, "en", "s"), (4, "q", None, None, "en", "s"), (5, "q", "", None, "en", "s"), (6, "q", HARD[0], None, "en", "s"), (7, "q", hard() * 300, None, "en", "s"), (8, "q", "1 2 3 " * 20, None, "en", "s")]
     s = samples(spark, rows)
-    scale = reading.fit(s.select(F.col("answer").alias("text")), g)
-    assert sorted(r[0] for r in reading.demanding(s, scale).collect()) == [2, 7] + ([3] if len(rows[3][2].split()) >= 30 else [])
-    got = {r["sample_index"]: r for r in reading.levels(s, scale, "sample_index", "answer").collect()}
+    enc = reading.encode(s, "sample_index", "answer")
+    scale = reading.fit(enc, g)
+    assert sorted(r[0] for r in reading.demanding(enc, scale).collect()) == [2, 7] + ([3] if len(rows[3][2].split()) >= 30 else [])
+    got = {r["sample_index"]: r for r in reading.levels(enc, scale, "sample_index").collect()}
     assert got[1]["level"] == 1 and got[4]["level"] is None and got[5]["n_words"] == 0
-    none = reading.fit(s.select(F.col("answer").alias("text")), g.where("false"))
-    assert reading.demanding(s, none).count() == 0 and reading.levels(s.where("false"), scale, "sample_index", "answer").count() == 0
+    none = reading.fit(enc, g.where("false"))
+    assert reading.demanding(enc, none).count() == 0 and reading.levels(enc, none, "sample_index").where("level is not null").count() == 0
+    empty = reading.encode(s.where("false"), "sample_index", "answer")
+    assert reading.levels(empty, reading.fit(empty, g), "sample_index").count() == 0
+
+
+def test_words_of_hard_texts_are_learned_from_the_corpus(spark):
+    """A hard word that no anchor holds gets its slope from the documents it stands in."""
+    random.seed(5)
+    easy = lambda: " ".join(random.choice(EASY) for _ in range(12))
+    hard = lambda: " ".join(random.choice(HARD) for _ in range(2))
+    g = spark.createDataFrame([(i, 1 if i % 2 else 4, easy() if i % 2 else hard()) for i in range(20)], "graded_id long, reading_level int, text string")
+    rows = [(i, easy() + " Wombat and wombat." if i % 2 else hard() + " Isomorphisms notwithstanding isomorphisms.") for i in range(200)]
+    enc = reading.encode(spark.createDataFrame(rows, "id long, answer string"), "id", "answer")
+    scale = reading.fit(enc, g)
+    import numpy as np
+
+    (k, at) = scale.find(*reading.items(["isomorphisms wombat"])[:2])
+    assert at[-1] == 2
+    slopes = dict(zip(("isomorphisms", "wombat"), scale.slope[k, 0]))
+    assert slopes["isomorphisms"] > 0.3 and slopes["wombat"] < -0.3
+    assert not np.isnan(scale.levels(k, at, np.zeros((1, reading.LENGTHS), np.float32))[0]).any()
 
 
 def test_reading_levels_of_held_out_items(spark):
@@ -187,12 +208,16 @@ def test_reading_levels_of_held_out_items(spark):
     path = "/root/testdata/sf0.01/graded_items.parquet"
     if not os.path.exists(path):
         pytest.skip("no test data")
-    rows = [(r["text"], float(r["reading_level"])) for r in spark.read.parquet(path).orderBy("graded_id").collect()]
+    import numpy as np
+
+    rows = [(r["text"], float(r["reading_level"]), r["lang"]) for r in spark.read.parquet(path).orderBy("graded_id").collect()]
+    corpus = reading.encode(spark.read.parquet("/root/testdata/sf0.01/samples.parquet"), "sample_index", "answer")
     wrong = 0
     for f in range(4):
-        train = [r for i, r in enumerate(rows) if i % 4 != f]
-        scale = reading.Scale()
-        scale.set(*reading._anchored(train), 2.5)
-        scale.cuts = reading._cuts(scale, train)
-        wrong += sum(scale.grade(scale.level(*reading.features(t))) != int(level) for i, (t, level) in enumerate(rows) if i % 4 == f)
-    assert wrong <= 0.05 * len(rows)
+        train, held = ([r for i, r in enumerate(rows) if (i % 4 == f) == side] for side in (False, True))
+        scale = reading.fit_rows(corpus, [r[0] for r in train], np.array([r[1] for r in train]), [r[2] for r in train])
+        keys, at, shape = reading.items([r[0] for r in held])
+        theta, lang = scale.levels(*scale.find(keys, at), shape)
+        assert [sorted({r[2] for r in rows})[x] for x in lang] == [r[2] for r in held]
+        wrong += int((scale.grade(theta) != np.array([r[1] for r in held])).sum())
+    assert wrong <= 0.05 * len(rows), wrong
