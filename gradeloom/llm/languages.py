@@ -2,7 +2,9 @@
 
 Each sentence has a likelihood under every language's n-gram model: word unigrams, backed by character trigrams for
 words the model doesn't know. A document is a mixture: expectation-maximisation estimates its proportions, and a
-language joins the document's set only if it raises the document's log-likelihood by more than PENALTY.
+language joins the document's set only if it raises the document's log-likelihood by more than a penalty that grows with
+the logarithm of the document's length. Where no language is EVIDENCE nats ahead of the others the language is
+``unknown``. Texts are scored in batches, in arrays; only those in which another language gains run through EM.
 
 The models are fitted here, on the driver, from a bounded sample of labelled rows (FIT_ROWS) and labelled seed texts
 (SEED_ROWS). Labels may be wrong: after the first round they are forgotten and each sentence counts for the languages
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.llm.tokens import Codes, scan, sums
+from gradeloom.llm.tokens import Column as Growing
+
 #: Bounds of what the models are fitted on.
 FIT_ROWS = 3000
 SEED_ROWS = 2000
 ROUNDS = 3
-#: Gain in log-likelihood (nats) that another language must bring.
-PENALTY = 6.0
+#: Gain in log-likelihood (nats) that another language must bring: PENALTY, and half the logarithm of the words for its
+#: proportion (as in Schwarz's criterion).
+PENALTY = 4.0
+#: Lead in nats over the next language, below which a text's language is unknown.
+EVIDENCE, UNKNOWN = 2.0, "unknown"
 #: Weight and bound of what an unknown word says.
 UNKNOWN_WEIGHT, UNKNOWN_BOUND = 0.4, 1.5
 #: What a seed text counts in the first round, against 1 of a labelled row, whose label may be wrong.
@@ -46,6 +55,27 @@ LANGS = tuple(LABELS)
 
 _words = re.compile(r"[^\W\d_]+").findall
 _sentence = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
+_tokens = re.compile(r"[^\W\d_]+|[.!?…。！？\n]+").findall
+
+
+@dataclass
+class Scores:
+    """Sentences with words of a batch of texts: the text, words and log-likelihoods (relative to their mean over the
+    languages) of each, and the first sentence of every text."""
+
+    text: np.ndarray
+    sizes: np.ndarray
+    ll: np.ndarray
+    first: np.ndarray
+
+
+@dataclass
+class Found:
+    """Chosen languages of a text, their proportions and the sentences' posteriors over them; none: unknown."""
+
+    langs: list[int]
+    pi: np.ndarray
+    post: np.ndarray
 
 
 def label_language(c: Column) -> Column:
@@ -62,6 +92,16 @@ def n_words(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t.rlike(r"\p{L}")))
 
 
+def enough(text: str) -> bool:
+    """At least LEAST_WORDS whitespace-separated tokens with a letter."""
+    n = 0
+    for t in text.split():
+        n += any(map(str.isalpha, t))
+        if n >= LEAST_WORDS:
+            return True
+    return False
+
+
 class Model:
     """Word and character-trigram scores per language."""
 
@@ -71,8 +111,6 @@ class Model:
         self.matrix = np.zeros((1, len(langs)))
         self.tri: dict[str, np.ndarray] = {}
         self.base = np.zeros(len(langs))
-        self.unknown: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
 
     def fit(self, counts: list[Counter]) -> None:
         n = len(self.langs)
@@ -94,54 +132,88 @@ class Model:
         keys = sorted(set().union(*tri))
         a = np.log((np.array([[t[g] for t in tri] for g in keys], float).reshape(-1, n) + 0.5) / sizes)
         self.tri = dict(zip(keys, a - a.mean(1, keepdims=True)))
-        self.unknown, self.rows = {}, []
+        self.codes = None
 
     def _unknown(self, w: str) -> np.ndarray:
         s = f"^{w}$"
         v = sum((self.tri[g] for g in (s[i : i + 3] for i in range(len(s) - 2)) if g in self.tri), np.zeros(len(self.langs)))
         return np.clip((v - v.mean()) * UNKNOWN_WEIGHT, -UNKNOWN_BOUND, UNKNOWN_BOUND)
 
-    def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-        """Spans, word counts and log-likelihoods (relative to their mean over languages) of the sentences with words."""
-        spans, sizes, rows = [], [], []
-        for m in _sentence.finditer(text):
-            ws = _words(m.group())
-            if not ws:
-                continue
-            spans.append(m.span())
-            sizes.append(len(ws))
-            ids = []
-            for j, w in enumerate(ws):
-                low = w.lower()
-                i = self.vocab.get(low)
-                if i is not None:
-                    ids.append(i)
-                elif not (j and w[0].isupper()):  # names say nothing
-                    rows.append((len(spans) - 1, low))
-            spans[-1] = (*spans[-1], ids)
-        out = np.array([self.matrix[s[2]].sum(0) for s in spans]).reshape(-1, len(self.langs))
-        for k, w in rows:
-            v = self.unknown.get(w)
-            if v is None:
-                if len(self.unknown) > 100_000:
-                    self.unknown.clear()
-                v = self.unknown[w] = self._unknown(w)
-            out[k] += v
-        return [s[:2] for s in spans], np.array(sizes), out
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("codes", "score", "word", "name")}
+
+    def _seen(self, w: str) -> None:
+        low = w.lower()
+        i = self.vocab.get(low)
+        self.word.add(w[0].isalpha())
+        self.name.add(i is None and w[0].isupper())
+        self.score.add(self.matrix[i] if i is not None else self._unknown(low) if w[0].isalpha() else 0.0)
+
+    def scores(self, texts: Sequence[str | None]) -> Scores:
+        """The scored sentences of all texts. Words the model doesn't know say nothing if written like names."""
+        if getattr(self, "codes", None) is None or len(self.codes) > 500_000:
+            self.codes, self.score, self.word, self.name = Codes(self._seen), Growing(np.float64, len(self.langs)), Growing(bool), Growing(bool)
+        code, first = scan(texts, _tokens, self.codes)
+        word = self.word.data[code]
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
+        begins = np.ones(len(code), bool)
+        begins[1:] = ~word[:-1] | (text[1:] != text[:-1])
+        begins, own = begins[word], text[word]
+        code = code[word]
+        row = self.score.data[code]
+        row[~begins & self.name.data[code]] = 0.0
+        at = np.flatnonzero(begins)
+        sentence = own[at]
+        edges = np.append(at, len(code))
+        return Scores(sentence, np.diff(edges), sums(row, edges), np.searchsorted(sentence, np.arange(len(texts) + 1)))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the sentences with words stand."""
+        return [m.span() for m in _sentence.finditer(text) if any(_words(m.group()))]
+
+    def found(self, s: Scores) -> list[Found | None]:
+        """The languages of every text; None for texts without words."""
+        total = sums(s.ll, s.first)
+        n = len(s.first) - 1
+        best = total.argmax(1)
+        rest = total.copy()
+        rest[np.arange(n), best] = -np.inf
+        lead = total[np.arange(n), best] - rest.max(1, initial=-np.inf) if total.shape[1] > 1 else np.full(n, np.inf)
+        own = s.ll[np.arange(len(s.ll)), best[s.text]]
+        ahead = sums(np.maximum(s.ll - own[:, None], 0.0), s.first).max(1, initial=0.0)
+        words = sums(s.sizes, s.first)
+        mixed = ahead > self.penalty(words)
+        out: list[Found | None] = []
+        for k in range(n):
+            a, b = s.first[k], s.first[k + 1]
+            if a == b:
+                out.append(None)
+            elif mixed[k]:
+                out.append(Found(*self.mixture(s.sizes[a:b], s.ll[a:b])))
+            elif lead[k] < EVIDENCE:
+                out.append(Found([], np.zeros(0), np.zeros((b - a, 0))))
+            else:
+                out.append(Found([int(best[k])], np.ones(1), np.ones((b - a, 1))))
+        return out
+
+    @staticmethod
+    def penalty(words: np.ndarray) -> np.ndarray:
+        return PENALTY + 0.5 * np.log(np.maximum(words, 1))
 
     def mixture(self, sizes: np.ndarray, ll: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Chosen languages, their proportions and the sentences' posteriors over them."""
         best = [int(ll.sum(0).argmax())]
         top = float(ll[:, best[0]].sum())
+        least = float(self.penalty(sizes.sum()))
         pi, post = np.ones(1), np.ones((len(ll), 1))
         while len(best) < len(self.langs) and len(ll) > 0:
             ahead = np.maximum(ll - ll[:, best].max(1, keepdims=True), 0).sum(0)
             ahead[best] = -1
             k = int(ahead.argmax())
-            if ahead[k] <= PENALTY:
+            if ahead[k] <= least:
                 break
             p, g, value = self._em(sizes, ll[:, [*best, k]])
-            if value - top <= PENALTY:
+            if value - top <= least:
                 break
             best, pi, post, top = [*best, k], p, g, value
         return best, pi, post
@@ -192,14 +264,11 @@ def fit(labelled: DataFrame, seeds: DataFrame | None = None) -> Model:
     model.fit(counts)
     for _ in range(ROUNDS - 1):
         new: list[Counter] = [Counter() for _ in langs]
-        for once in texts:
-            joined = "\n".join(once)
-            spans, sizes, ll = model.sentences(joined)
-            if not spans:
-                continue
-            best, _, post = model.mixture(sizes, ll)
-            for (a, b), g in zip(spans, post):
-                count(new[best[int(g.argmax())]], joined[a:b])
+        joined = ["\n".join(once) for once in texts]
+        for j, f in zip(joined, model.found(model.scores(joined))):
+            if f is not None and f.langs:
+                for (a, b), g in zip(model.spans(j), f.post):
+                    count(new[f.langs[int(g.argmax())]], j[a:b])
         model.fit(new)
     return model
 
@@ -208,41 +277,52 @@ FOUND = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struc
 SEGMENT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 
 
-def _describe(model: Model, text: str | None, segments: bool) -> list[dict]:
-    if not text:
-        return []
-    spans, sizes, ll = model.sentences(text)
-    if not spans:
-        return []
-    best, _, post = model.mixture(sizes, ll)
-    # Confidence: the sentence against all languages, tempered by its length in words.
-    x = ll - ll.max(1, keepdims=True)
-    full = np.exp(x) / np.exp(x).sum(1, keepdims=True)
-    pick = post.argmax(1)
-    sure = full[np.arange(len(ll)), [best[k] for k in pick]]
-    if segments:
-        out: list[dict] = []
-        for (a, b), k, c, n in zip(spans, pick, sure, sizes):
-            lang = model.langs[best[k]]
-            if out and out[-1]["lang"] == lang:
-                o = out[-1]
-                o["confidence"] = (o["confidence"] * o["n"] + float(c) * int(n)) / (o["n"] + int(n))
-                o["n"] += int(n)
-                o["stop"] = b
-            else:
-                out.append({"start": a, "stop": b, "lang": lang, "confidence": float(c), "n": int(n)})
-        return [{k: v for k, v in o.items() if k != "n"} for o in out]
-    out = []
-    for j, k in enumerate(best):
-        mine = pick == j
-        if mine.any():
-            out.append({"lang": model.langs[k], "share": float(sizes[mine].sum() / sizes.sum()), "confidence": float((sure[mine] * sizes[mine]).sum() / sizes[mine].sum())})
-    return sorted(out, key=lambda o: -o["share"])
+def describe(model: Model, texts: Sequence[str | None]) -> list[list[dict]]:
+    """Per text its languages with share (the mixture's proportion) and confidence, largest share first."""
+    s = model.scores(texts)
+    x = np.exp(s.ll - s.ll.max(1, keepdims=True, initial=-np.inf))
+    full = x / x.sum(1, keepdims=True)
+    out: list[list[dict]] = []
+    for k, f in enumerate(model.found(s)):
+        a, b = s.first[k], s.first[k + 1]
+        if f is None:
+            out.append([])
+        elif not f.langs:
+            out.append([{"lang": UNKNOWN, "share": 1.0, "confidence": 0.0}])
+        else:
+            n, pick = s.sizes[a:b], f.post.argmax(1)
+            sure = full[a:b][np.arange(b - a), np.array(f.langs)[pick]]
+            rows = [{"lang": model.langs[x], "share": float(f.pi[j]), "confidence": float((sure * n)[pick == j].sum() / n[pick == j].sum())} for j, x in enumerate(f.langs) if (pick == j).any()]
+            out.append(sorted(rows, key=lambda o: -o["share"]))
+    return out
+
+
+def segments_of(model: Model, texts: Sequence[str | None]) -> list[list[dict]]:
+    """Per text its segments in order: neighbouring sentences of one language, with the confidence of their words."""
+    s = model.scores(texts)
+    x = np.exp(s.ll - s.ll.max(1, keepdims=True, initial=-np.inf))
+    full = x / x.sum(1, keepdims=True)
+    out: list[list[dict]] = []
+    for k, f in enumerate(model.found(s)):
+        rows: list[dict] = []
+        if f is not None:
+            a, b = s.first[k], s.first[k + 1]
+            for (lo, hi), g, row, n in zip(model.spans(texts[k] or ""), f.post, full[a:b], s.sizes[a:b].tolist()):
+                at = f.langs[int(g.argmax())] if f.langs else None
+                lang, c = (UNKNOWN, 0.0) if at is None else (model.langs[at], float(row[at]))
+                if rows and rows[-1]["lang"] == lang:
+                    o = rows[-1]
+                    o["confidence"] = (o["confidence"] * o["n"] + c * n) / (o["n"] + n)
+                    o["n"], o["stop"] = o["n"] + n, hi
+                else:
+                    rows.append({"start": lo, "stop": hi, "lang": lang, "confidence": c, "n": n})
+        out.append([{k: v for k, v in o.items() if k != "n"} for o in rows])
+    return out
 
 
 def detect(df: DataFrame, model: Model, keys: Sequence[str], columns: Sequence[str], segments: bool = False) -> DataFrame:
     """``keys`` and, for each text column, an array of its languages (share of words, confidence), largest share first,
-    or of its segments in order. Null, empty and wordless texts give an empty array."""
+    or of its segments in order. Null, empty and wordless texts give an empty array, texts without evidence ``unknown``."""
     kind = SEGMENT if segments else FOUND
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, kind) for c in columns)])
     share = df.sparkSession.sparkContext.broadcast(model)
@@ -253,13 +333,7 @@ def detect(df: DataFrame, model: Model, keys: Sequence[str], columns: Sequence[s
         for b in batches:
             arrays = [b.column(k) for k in range(len(keys))]
             for j in range(len(columns)):
-                known: dict[str | None, list[dict]] = {}
-                out = []
-                for t in b.column(len(keys) + j).to_pylist():
-                    if t not in known:
-                        known[t] = _describe(m, t, segments)
-                    out.append(known[t])
-                arrays.append(pa.array(out, pa.list_(item)))
+                arrays.append(pa.array((segments_of if segments else describe)(m, b.column(len(keys) + j).to_pylist()), pa.list_(item)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *columns])
 
     return df.select(*keys, *columns).mapInArrow(run, schema)
@@ -272,12 +346,27 @@ def samples_model(samples: DataFrame, graded: DataFrame) -> Model:
 
 
 def unnamed_languages(samples: DataFrame, model: Model) -> DataFrame:
-    """Distinct (sample_index, field_name, lang): languages of question or answer that the row's label doesn't name."""
-    keyed = samples.withColumn("named", label_language(F.col("lang"))).withColumn("nq", n_words(F.col("question"))).withColumn("na", n_words(F.col("answer")))
-    got = detect(keyed, model, ["sample_index", "named", "nq", "na"], ["question", "answer"])
-    rows = [
-        got.where(F.col(n) >= LEAST_WORDS).select("sample_index", F.lit(f).alias("field_name"), "named", F.explode(F.col(f"{f}.lang")).alias("lang"))
-        for f, n in (("question", "nq"), ("answer", "na"))
-    ]
-    out = rows[0].unionByName(rows[1])
-    return out.where(F.col("sample_index").isNotNull() & ~F.col("lang").eqNullSafe(F.col("named"))).select("sample_index", "field_name", "lang").distinct()
+    """Distinct (sample_index, field_name, lang): languages of question or answer that the row's label doesn't name.
+
+    Fields with fewer than LEAST_WORDS words and unknown languages give no row.
+    """
+    keyed = samples.where(F.col("sample_index").isNotNull()).withColumn("named", label_language(F.col("lang")))
+    share = samples.sparkSession.sparkContext.broadcast(model)
+    fields = ("question", "answer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = share.value
+        for b in batches:
+            named = b.column("named").to_pylist()
+            at, field, lang = [], [], []
+            for f in fields:
+                texts = b.column(f).to_pylist()
+                for i, got in enumerate(m.found(m.scores(texts))):
+                    for x in got.langs if got is not None else ():
+                        if m.langs[x] != named[i] and enough(texts[i]):
+                            at.append(i)
+                            field.append(f)
+                            lang.append(m.langs[x])
+            yield pa.RecordBatch.from_arrays([b.column("sample_index").take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(lang, pa.string())], names=["sample_index", "field_name", "lang"])
+
+    return keyed.select("sample_index", "named", *fields).mapInArrow(run, "sample_index long, field_name string, lang string").distinct()

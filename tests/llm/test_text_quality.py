@@ -39,6 +39,17 @@ def test_languages_of_mixed_and_mislabelled_rows(spark):
     assert (EN[1] + " " + IT[1])[seg[1]["start"] : seg[1]["stop"]].strip() == IT[1]
 
 
+def test_texts_without_evidence_are_unknown_and_shares_are_the_mixtures(spark):
+    model = languages.samples_model(samples(spark, [(1, EN[0], EN[1], None, "en", "s")]), graded(spark))
+    got = languages.describe(model, ["東京都 大阪市 名古屋市 札幌市 福岡市。", None, "", "12 34", EN[0], " ".join(EN + IT[:1])])
+    assert [x["lang"] for x in got[0]] == [languages.UNKNOWN] and got[1:4] == [[], [], []]
+    assert [x["lang"] for x in got[4]] == ["en"] and [x["lang"] for x in got[5]] == ["en", "it"]
+    assert abs(sum(x["share"] for x in got[5]) - 1) < 1e-9 and 0.7 < got[5][0]["share"] < 0.9
+    assert languages.segments_of(model, ["東京都 大阪市 名古屋市 札幌市 福岡市。"])[0][0]["lang"] == languages.UNKNOWN
+    # A longer text asks for more evidence of a further language.
+    assert model.penalty(1000) > model.penalty(10) > languages.PENALTY
+
+
 def test_language_models_without_data(spark):
     s = samples(spark, [])
     model = languages.samples_model(s, graded(spark).where("false"))
