@@ -9,6 +9,7 @@ Evidence, all of it counted over the whole corpus:
 * what stands behind the cut (ellipsis, hyphen, broken character, stray closers) and what stands open in the text.
 
 n-grams are counted as 64-bit keys within each Arrow batch before Spark adds them up; only unigrams keep their text.
+What is asked of the counts is asked once per distinct open text, and its answer joined to the rows, hot texts spread.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.llm.tokens import Codes, scan
+from gradeloom.llm.tokens import Column as Growing
+from gradeloom.operators.skew import join_spread
 from gradeloom.session import cut
 
 #: A word is known from this many occurrences that don't end an open text.
@@ -34,12 +39,16 @@ ENDS, WHOLE = 0.05, 0.3
 #: A length is a limit if at least SPIKE_LEAST different open tails have it, SPIKE_TIMES as many as its neighbours.
 #: and at least SPIKE_SHARE of all different open tails of the source.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_CHARS, SPIKE_SHARE = 4, 6.0, 20, 0.05
-#: A whole text that this many records share may be a fixed phrase, and one of fewer words than FEW is a value, not a cut text.
-COMMON, FEW = 5, 3
+#: A text of fewer words than FEW is a value, not a cut text.
+FEW = 3
+#: Limits are joined as a broadcast up to so many rows, beyond them by shuffle.
+BROADCAST_ROWS = 50_000
 
 _terminal = ".!?。！？"
 _split = re.compile(r"[.!?。！？…]+(?=[\s\"'»”’)\]]|$)|\n+").split
 _token = re.compile(r"[^\W_]+").findall
+_words = re.compile(r"[^\W_]+").finditer
+_stream = re.compile(r"[^\W_]+|[.!?。！？…]+(?=[\s\"'»”’)\]]|$)|\n+").findall
 _blank = " \t\r\n\v\f\x1c\x1d\x1e\x1f\x85\xa0               　​‌‍⁠﻿­"
 _item = re.compile(r"\s*(?:[-*•—–+]|\(?\w{1,3}[.)])\s+\S.{0,60}")
 _tag = re.compile(r"</?\w*$").search
@@ -101,6 +110,19 @@ def unmarked(text: str) -> tuple[str, bool, bool, bool]:
     return t, mark, broken, gap
 
 
+def last_words(text: str) -> list[str]:
+    """The last three words, in lower case, of the text's last sentence."""
+    size = 256
+    while True:
+        end = text[-size:]
+        parts = _split(end)
+        toks = _token(parts[-1].lower())
+        # Complete if the sentence begins in this stretch or three words surely do.
+        if len(parts) > 1 or len(toks) > 3 or size >= len(text):
+            return toks[-3:]
+        size *= 8
+
+
 def tail(text: str) -> Tail | None:
     t, mark, broken, gap = unmarked(text)
     if not t:
@@ -119,16 +141,46 @@ def tail(text: str) -> Tail | None:
     x.forced = broken or opened or c in ",;(¿¡"
     # Lists, signatures and anything that doesn't end in a letter or digit count as whole unless a limit shows.
     x.shape = not (c.isalnum() or x.forced) or (line != t and _item.fullmatch(line) is not None and not x.forced)
-    toks = _token(_split(t)[-1].lower())[-3:]
+    toks = last_words(t)
     x.word = toks[-1] if toks and c.isalnum() and toks[-1].isalpha() else ""
     x.unit = len(x.word) == 1 or any(d.isdigit() for d in "".join(toks[-2:-1]))
     k = np.array([0] * (3 - len(toks)) + [_key(w) for w in toks], np.uint64)
-    x.few = len(_token(t)) < FEW
+    x.few = len(list(islice(_words(t), FEW))) < FEW
     x.grams = [int(_grams(k[2:], 1)[-1]), int(_grams(k[1:], 2)[-1]), int(_grams(k, 3)[-1]), int(_grams(k[:2], 2)[-1])]
     return x
 
 
-_TAILS = "field_name string, record_id long, grp string, chars int, bytes int, mark boolean, forced boolean, shape boolean, few boolean, unit boolean, same long, word string, k1 long, k2 long, k3 long, k32 long"
+KEYS = ["word", "unit", "k1", "k2", "k3", "k32"]
+_FLAGS = ("mark", "forced", "shape", "few", "unit")
+TAIL = "chars int, bytes int, mark boolean, forced boolean, shape boolean, few boolean, unit boolean, same long, word string, k1 long, k2 long, k3 long, k32 long"
+TAIL_NAMES = [x.split()[0] for x in TAIL.split(", ")]
+
+
+def tail_columns(texts: list[str | None]) -> tuple[list[int], list[pa.Array]]:
+    """Numbers of the texts that don't end in a full stop or the like, and their TAIL columns."""
+    rows: list[int] = []
+    found: list[Tail] = []
+    for i, t in enumerate(texts):
+        x = tail(t) if t else None
+        if x is not None:
+            rows.append(i)
+            found.append(x)
+    mine = [texts[i] or "" for i in rows]
+    keys = np.array([x.grams for x in found], np.uint64).reshape(-1, 4).view(np.int64)
+    columns = [
+        pa.array([len(t) for t in mine], pa.int32()),
+        pa.array([len(t.replace("\ufffd", "").encode("utf-8", "surrogatepass")) for t in mine], pa.int32()),
+        *(pa.array([getattr(x, a) for x in found], pa.bool_()) for a in _FLAGS),
+        pa.array(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in mine], np.uint64).view(np.int64)),
+        pa.array([x.word for x in found], pa.string()),
+        *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(4)),
+    ]
+    return rows, columns
+
+
+def core(text: F.Column) -> F.Column:
+    """The text up to its last letter or digit, without what stands behind a cut."""
+    return F.reverse(F.regexp_replace(F.reverse(text), r"^[^\p{L}\p{N}]+", ""))
 
 
 def tails(texts: DataFrame) -> DataFrame:
@@ -136,29 +188,26 @@ def tails(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[str, Tail | None] = {}
-            rows, found, chars, size, same = [], [], [], [], []
-            for i, t in enumerate(b.column(3).to_pylist()):
-                if not t:
-                    continue
-                if t in known:
-                    x = known[t]
-                else:
-                    x = known[t] = tail(t)
-                if x is not None:
-                    rows.append(i)
-                    found.append(x)
-                    chars.append(len(t))
-                    same.append(xxhash.xxh64_intdigest(t))
-                    size.append(len(t.replace("�", "").encode("utf-8", "surrogatepass")))
+            rows, columns = tail_columns(b.column(4).to_pylist())
             at = pa.array(rows, pa.int64())
-            keys = np.array([x.grams for x in found], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(at) for c in range(3)), pa.array(chars, pa.int32()), pa.array(size, pa.int32()), *(pa.array([getattr(x, a) for x in found], pa.bool_()) for a in ("mark", "forced", "shape", "few", "unit")), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array([x.word for x in found], pa.string()), *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(4))],
-                names=["field_name", "record_id", "grp", "chars", "bytes", "mark", "forced", "shape", "few", "unit", "same", "word", "k1", "k2", "k3", "k32"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), *columns], names=["field_name", "record_id", "grp", "core", *TAIL_NAMES])
+
+    return texts.select("field_name", "record_id", "grp", F.xxhash64(core(F.col("text"))).alias("core"), "text").mapInArrow(run, "field_name string, record_id long, grp string, core long, " + TAIL)
+
 
-    return texts.select("field_name", "record_id", "grp", "text").mapInArrow(run, _TAILS)
+class _Grams:
+    """What is known of the tokens met by this worker."""
+
+    def __init__(self) -> None:
+        self.codes = Codes(self.seen)
+        self.key, self.letters, self.real = Growing(np.uint64), Growing(bool), Growing(bool)
+        self.text: list[str | None] = []
+
+    def seen(self, w: str) -> None:
+        self.real.add(w[0].isalnum())
+        self.key.add(_key(w))
+        self.letters.add(w.isalpha())
+        self.text.append(w if w.isalpha() else None)
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -166,56 +215,51 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     how often an open text; ``word`` for unigrams of letters only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Grams()
         for b in batches:
-            keys: list[int] = []
-            ends: list[int] = []
-            opens: list[int] = []
-            weight: list[int] = []
-            length: list[int] = []
-            words: dict[int, str] = {}
-            for t, n in Counter(b.column(0).to_pylist()).items():
-                if not t:
-                    continue
-                parts = _split(unmarked(t)[0].lower())
-                for j, s in enumerate(parts):
-                    toks = _token(s)
-                    if not toks:
-                        continue
-                    keys += [0, 0]
-                    keys += map(_key, toks)
-                    length.append(len(toks) + 2)
-                    weight.append(n)
-                    (opens if j == len(parts) - 1 else ends).append(len(keys) - 1)
-                    for w in toks:
-                        if w.isalpha():
-                            words[_key(w)] = w
-            if not keys:
+            if len(known.codes) > 500_000:
+                known = _Grams()
+            times = Counter(b.column(0).to_pylist())
+            times.pop(None, 0)
+            code, first = scan([unmarked(t)[0].lower() for t in times], _stream, known.codes)
+            word = known.real.data[code]
+            if not word.any():
                 continue
-            k = np.array(keys, np.uint64)
-            w = np.repeat(np.array(weight, np.int64), length)
-            e, o = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-            e[ends] = w[ends]
-            o[opens] = w[opens]
-            real = k != 0
+            text = np.repeat(np.arange(len(times)), np.diff(first))
+            begins = np.ones(len(code), bool)
+            begins[1:] = ~word[:-1] | (text[1:] != text[:-1])
+            ends = np.ones(len(code), bool)  # the last word of a sentence: a stop or another text follows
+            ends[:-1] = ~word[1:] | (text[1:] != text[:-1])
+            closed = np.zeros(len(code), bool)  # ... by a stop
+            closed[:-1] = ~word[1:] & (text[1:] == text[:-1])
+            begins, ends, closed, code = begins[word], ends[word], closed[word], code[word]
+            weight = np.array(list(times.values()), np.int64)[text[word]]
+            at = np.arange(len(code)) + 2 * np.cumsum(begins)  # two empty places before every sentence
+            k = np.zeros(int(at[-1]) + 1, np.uint64)
+            k[at] = known.key.data[code]
+            stop, left = weight * closed, weight * (ends & ~closed)
             for n in (1, 2, 3):
-                g = _grams(k, n)
-                u, inv = np.unique(g[real], return_inverse=True)
-                sums = [np.bincount(inv, v[real], len(u)).astype(np.int64) for v in (w, e, o)]
-                text = [None] * len(u)
-                if n == 1:
-                    back = np.zeros(len(u), np.uint64)
-                    back[inv] = k[real]
-                    text = [words.get(int(x)) for x in back]
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(text, pa.string()), *map(pa.array, sums)], names=["k", "word", "n", "ends", "opens"])
+                g, place, inv = np.unique(_grams(k, n)[at], return_index=True, return_inverse=True)
+                total = [np.bincount(inv, v, len(g)).astype(np.int64) for v in (weight, stop, left)]
+                names = [known.text[c] for c in code[place].tolist()] if n == 1 else [None] * len(g)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(names, pa.string()), *map(pa.array, total)], names=["k", "word", "n", "ends", "opens"])
 
     parts = texts.select("text").mapInArrow(run, "k long, word string, n long, ends long, opens long")
     return parts.groupBy("k").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("opens").alias("opens"))
 
 
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """(word, below): every proper prefix of a known word, with the occurrences of the known words that extend it."""
+def trie_nodes(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(word, below): every proper prefix of a known word, with the occurrences of the known words that extend it.
+
+    asked (word): only prefixes as long as one of these words, so that a long string has no more prefixes than others.
+    """
     known = words.where(F.col("word").isNotNull() & (F.col("n") - F.col("opens") >= KNOWN) & (F.length("word") > 1))
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i)))
+    sizes = F.sequence(F.lit(1), F.length("word") - 1)
+    if asked is not None:
+        # The different lengths of words: one small row.
+        lengths = [r[0] for r in asked.select(F.length("word").alias("s")).where("s > 0").distinct().collect()]
+        sizes = F.filter(F.lit(sorted(lengths)).cast("array<int>"), lambda i: i < F.length("word")) if lengths else F.array().cast("array<int>")
+    prefix = F.explode(F.transform(sizes, lambda i: F.substring(F.col("word"), F.lit(1), i)))
     return known.select(prefix.alias("word"), (F.col("n") - F.col("opens")).alias("n")).groupBy("word").agg(F.sum("n").alias("below"))
 
 
@@ -233,26 +277,14 @@ def limits(ends: DataFrame) -> DataFrame:
     return found.withColumn("top", top).where(F.col("kind") == F.col("top.kind")).select("field_name", "grp", "kind", "size")
 
 
-def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataFrame | None = None) -> DataFrame:
-    """(field_name, record_id, at_limit, in_word, in_sentence) of the texts that were cut.
-
-    texts: (field_name, record_id, grp, text); grp is the source whose limits are looked for (null: a source of its
-    own). ``corpus`` (text): further texts that only count for vocabulary and sentence ends. ``shortened``
-    (field_name, record_id): texts known to be the beginning of another. Null, empty and blank texts and texts
-    without letters or digits are never cut. Repeated rows count once in the result.
-    """
-    ends = cut(tails(texts))
-    source = texts.select("text") if corpus is None else texts.select("text").unionByName(corpus.select("text"))
-    grams = cut(gram_counts(source.where(F.col("text").isNotNull())))
-    nodes = trie_nodes(grams)
-
+def judge_tails(per: DataFrame, grams: DataFrame) -> DataFrame:
+    """KEYS with what the n-grams and the trie say about every distinct end of the open texts ``per``."""
     # Repetition says nothing about an end: of the rows that end alike, all but one per text are ``extra``.
-    tail_keys = ["word", "unit", "k1", "k2", "k3", "k32"]
-    distinct = ends.groupBy("same", *tail_keys).agg((F.count("*") - 1).alias("extra")).groupBy(*tail_keys).agg(F.sum("extra").alias("extra"))
+    distinct = per.groupBy("same", *KEYS).agg((F.sum("n") - 1).alias("extra")).groupBy(*KEYS).agg(F.sum("extra").alias("extra"))
     distinct = distinct.withColumn("extra", F.sum("extra").over(Window.partitionBy("k3")))
-    asked = distinct.select(*tail_keys, "extra", F.posexplode(F.array("k1", "k2", "k3", "k32")).alias("i", "k"))
-    got = asked.join(grams.drop("word"), "k", "left").groupBy(*tail_keys, "extra").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
-    got = got.join(nodes, "word", "left")
+    asked = distinct.select(*KEYS, "extra", F.posexplode(F.array("k1", "k2", "k3", "k32")).alias("i", "k"))
+    got = asked.join(grams.drop("word"), "k", "left").groupBy(*KEYS, "extra").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
+    got = got.join(trie_nodes(grams, per), "word", "left")
 
     def inside(i: int) -> F.Column:  # occurrences that don't end an open text, which may itself be cut
         return F.coalesce(F.col(f"{i}_n") - F.col(f"{i}_o"), F.lit(0))
@@ -271,40 +303,54 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
     in_word = (F.col("word") != "") & (inside(0) < F.greatest(F.lit(float(KNOWN)), below / 1000.0)) & (below >= KNOWN) & ~complete & ~(F.col("unit") & settled)
     ended = F.when(complete & (inside(2) < LEAST), F.lit(1.0)).otherwise(F.coalesce(share(2), share(1), share(0)))
     going = F.coalesce(*[F.when(inside(i) >= LEAST, inside(i)) for i in (2, 1, 0)], F.lit(0))
-    judged = got.select(*tail_keys, ended.alias("ended"), going.alias("going"), inside(0).alias("last_n"), F.coalesce(F.col("0_e"), F.lit(0)).alias("last_e"), settled.alias("settled"), F.coalesce(in_word, F.lit(False)).alias("in_word"))
-
-    lim = limits(ends)
-    keys = ["field_name", "grp"]
-
-    def at(kind: str, back: int) -> DataFrame:
-        x = lim.where(F.col("kind") == kind)
-        sizes = F.explode(F.sequence(F.col("size") - back, F.col("size"))) if back else F.col("size")
-        return x.select("field_name", "grp", sizes.alias(kind)).distinct().withColumn(f"at_{kind}", F.lit(True))
-
-    def near(left: DataFrame, right: DataFrame, size: str) -> DataFrame:
-        r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-        on = F.col("field_name").eqNullSafe(F.col("r_field_name")) & F.col("grp").eqNullSafe(F.col("r_grp")) & (F.col(size) == F.col(f"r_{size}"))
-        return left.join(r, on, "left").drop(*[f"r_{c}" for c in (*keys, size)])
-
-    copies = ends.groupBy("field_name", "same").agg((F.approx_count_distinct("record_id") - 1).alias("copies")).where("copies > 0")
-    ends = ends.join(copies, ["field_name", "same"], "left").withColumn("plain", F.col("few") & ~F.col("mark"))
-    out = near(near(ends, at("chars", 1), "chars"), at("bytes", 3), "bytes")
-    out = out.join(judged, tail_keys, "left")
-    at_limit = F.coalesce(F.col("r_at_chars"), F.lit(False)) | F.coalesce(F.col("r_at_bytes"), F.lit(False))
+    return got.select(*KEYS, ended.alias("ended"), going.alias("going"), inside(0).alias("last_n"), F.coalesce(F.col("0_e"), F.lit(0)).alias("last_e"), F.coalesce(in_word, F.lit(False)).alias("in_word"))
+
+
+def at_limits(ends: DataFrame) -> DataFrame:
+    """``ends`` with ``at_limit``: the text is as long as a limit of its source, in characters or bytes."""
+    lim = cut(limits(ends))
+    near = [("chars", 1), ("bytes", 3)]
+    small = lim.count() <= BROADCAST_ROWS
+    out = ends
+    for kind, back in near:
+        x = lim.where(F.col("kind") == kind).select(F.col("field_name").alias("r_f"), F.col("grp").alias("r_g"), F.explode(F.sequence(F.col("size") - back, F.col("size"))).alias("r_s")).distinct().withColumn(f"at_{kind}", F.lit(True))
+        on = F.col("field_name").eqNullSafe(F.col("r_f")) & F.col("grp").eqNullSafe(F.col("r_g")) & (F.col(kind) == F.col("r_s"))
+        out = out.join(F.broadcast(x) if small else x, on, "left").drop("r_f", "r_g", "r_s")
+    return out.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))).drop("at_chars", "at_bytes")
+
+
+def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """(field_name, record_id, at_limit, in_word, in_sentence) of the texts that were cut.
+
+    texts: (field_name, record_id, grp, text); grp is the source whose limits are looked for (null: a source of its
+    own). ``corpus`` (text): further texts that only count for vocabulary and sentence ends. ``shortened`` (core):
+    hashes of the ``core`` of texts known to be the beginning of another. ``ends``: the ``tails`` of texts, where they
+    are at hand. Null, empty and blank texts and texts without letters or digits are never cut. Repeated rows count
+    once in the result.
+    """
+    ends = cut(tails(texts)) if ends is None else ends
+    source = texts.select("text") if corpus is None else texts.select("text").unionByName(corpus.select("text"))
+    grams = cut(gram_counts(source.where(F.col("text").isNotNull())))
+    # One row per distinct open text of a field.
+    per = cut(ends.groupBy("field_name", "same", "core", "mark", "forced", "shape", "few", *KEYS).agg(F.count("*").alias("n"), F.approx_count_distinct("record_id").alias("records")))
+    judged = judge_tails(per, grams)
+    short = F.lit(False)
+    told = per
     if shortened is not None:
-        s = shortened.select("field_name", "record_id").distinct().withColumn("short", F.lit(True))
-        out = out.join(s, ["field_name", "record_id"], "left")
+        told = told.join(shortened.select("core").distinct().withColumn("short", F.lit(True)), "core", "left")
         short = F.coalesce(F.col("short"), F.lit(False)) & ~F.col("shape")
-    else:
-        short = F.lit(False)
+    ways = per.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    told = join_spread(told, judged, KEYS, ways, F.col("same"))
     # Copies may be a whole phrase: where they are a fair part of what its last words do, and its last word ends
     # sentences if they are counted as ends, the n-grams don't speak. Other evidence holds for any number of copies.
-    n = F.coalesce(F.col("copies"), F.lit(0))
-    phrase = ((n >= COMMON - 1) | F.coalesce(F.col("settled"), F.lit(False))) & (n >= ENDS * (F.col("going") + n)) & (F.col("last_e") + n >= ENDS * (F.col("last_n") + n))
-    phrase = F.coalesce(phrase, F.lit(False))
+    n = F.col("records") - 1
+    phrase = F.coalesce((n > 0) & (n >= ENDS * (F.col("going") + n)) & (F.col("last_e") + n >= ENDS * (F.col("last_n") + n)), F.lit(False))
     ended = F.coalesce(F.col("ended"), F.lit(1.0))
-    in_sentence = ~F.col("shape") & (((ended < ENDS) & ~phrase) | (F.col("mark") & (F.coalesce(F.col("ended"), F.lit(0.0)) < WHOLE)) | short)
-    out = out.select("field_name", "record_id", at_limit.alias("at_limit"), F.coalesce(F.col("in_word"), F.lit(False)).alias("in_word"), (~F.col("plain") & (F.col("forced") | in_sentence)).alias("in_sentence"))
+    inside = ~F.col("shape") & (((ended < ENDS) & ~phrase) | (F.col("mark") & (F.coalesce(F.col("ended"), F.lit(0.0)) < WHOLE)) | short)
+    plain = F.col("few") & ~F.col("mark")
+    told = told.select("field_name", "same", F.coalesce("in_word", F.lit(False)).alias("in_word"), (~plain & (F.col("forced") | inside)).alias("in_sentence"))
+    rows = at_limits(ends).select("field_name", "record_id", "same", "at_limit")
+    out = join_spread(rows, told, ["field_name", "same"], per.select("field_name", "same", "n"), F.col("record_id"))
     found = out.where("at_limit or in_word or in_sentence").where("record_id is not null")
     return found.groupBy("field_name", "record_id").agg(*[F.max(c).alias(c) for c in ("at_limit", "in_word", "in_sentence")])
 

@@ -1,19 +1,21 @@
 """Defective question-answer pairs and their kinds of defect (problem 1).
 
-* ``truncated``: answers are sorted by text, and one that begins its neighbour is a shortened version; lengths at which
-  a source's open texts pile up are limits; final words are judged as in ``cutoff``.
+* ``truncated``: responses are sorted by text without what stands behind a cut, and one that begins its neighbour is a
+  shortened version; lengths at which a source's open texts pile up are limits; final words are judged as in ``cutoff``.
 * ``empty``, ``refusal``, ``copies_question`` and ``other_language`` are rules on the single pair.
+
+One pass over the pairs finds the latter and describes the ends of the open texts for the former.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import cutoff, languages
@@ -99,46 +101,58 @@ ASIDES = (
     r"(?:je suis )?(?:(?:vraiment )?désolée?|navrée?)|(?:toutes )?mes excuses|(?:demande|demandez|adresse-toi|adressez-vous) (?:à|au) (?:\w+ )?(?:professeure?|enseignante?|tuteur|tutrice)|merci(?: (?:de|pour) (?:ta|votre) (?:compréhension|patience))?",
     r"(?:es )?tut mir (?:sehr )?leid|entschuldigung|leider|(?:bitte )?(?:frag|frage|fragen sie|wende dich|wenden sie sich) (?:bitte )?(?:an )?(?:\w+ )?(?:lehrer(?:in)?|lehrkraft|tutor(?:in)?|professor(?:in)?)|danke(?: für (?:dein|ihr) verständnis)?",
 )
-#: A refusal with sentences of other kinds is short: at most so many words and sentences, and it goes on to no answer.
-REFUSAL_WORDS, REFUSAL_SENTENCES = 60, 3
+PLACEHOLDER_CHARS = max(map(len, PLACEHOLDERS))
 #: Share of the question's words that a copy may change, and words that may introduce it.
 COPY_CHANGED, COPY_INTRO = 0.25, 6
 
+_LATE = "".join(chr(0x10FFF0 + i) for i in range(10))
 _but = r"\b(?:but|yet|however|though|ma|però|tuttavia|pero|sin embargo|mais|cependant|toutefois|aber|doch|jedoch)\b"
 _words = re.compile(r"[^\W_]+").findall
 _turn = re.compile(r"\n+\s*\w+\s*:\s*").split
+_markup = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->|&nbsp;|&#160;", re.I)
+_sentences = re.compile(r"(?<=[.!?])\s+").split
+_declines = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps)).search
+_yields = re.compile(rf"(?:{'|'.join(p for ps in REFUSALS.values() for p in ps)})[^.!?]*,[^.!?]*{_but}").search
+_aside = re.compile(rf"(?:{'|'.join(ASIDES)})\s*[.!]*").fullmatch
+_edge = frozenset({"P", "Z", "C"})
 
 
-def is_empty(c: Column) -> Column:
-    """Null, blank, or nothing but a placeholder or empty markup."""
-    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)</?[a-z][^<>]*>|<!--.*?-->|&nbsp;|&#160;", " ")
-    core = F.lower(F.regexp_replace(x, r"^[\p{P}\p{Z}\p{C}\p{Sk}\p{Sm}$]+|[\p{P}\p{Z}\p{C}\p{Sk}\p{Sm}$]+$", ""))
-    return (core == "") | core.isin(*PLACEHOLDERS)
+def _bare(text: str) -> str:
+    """The text without marks, blanks, control characters and the like at its ends."""
 
+    def edge(c: str) -> bool:
+        k = unicodedata.category(c)
+        return k[0] in _edge or k in ("Sk", "Sm") or c == "$"
 
-def is_refusal(c: Column) -> Column:
-    """A text that declines to answer and goes on to no answer.
+    a, b = 0, len(text)
+    while a < b and edge(text[a]):
+        a += 1
+    while a < b and edge(text[b - 1]):
+        b -= 1
+    return text[a:b]
 
-    Either it is short and declines in its first sentence, or any sentence declines and all others are asides.
-    """
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{Z}\s]+", " ")
-    any_of = "|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps)
-    parts = F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
-    first = F.try_element_at(parts, F.lit(1))
-    rest = F.array_join(F.slice(parts, 2, REFUSAL_SENTENCES), " ")
-    aside = rf"(?iu)^(?:{'|'.join(ASIDES)})\s*[.!]*$"
-    declines = F.exists(parts, lambda s: s.rlike(f"(?iu){any_of}"))
-    others = F.exists(parts, lambda s: ~s.rlike(f"(?iu){any_of}") & ~s.rlike(aside))
-    turns = F.exists(parts, lambda s: s.rlike(f"(?iu)(?:{any_of})[^.!?]*,[^.!?]*{_but}") | s.rlike(r"\?\s*$"))
-    return F.coalesce(declines & ~others & ~turns, F.lit(False)) | F.coalesce(
-        (F.size(parts) <= REFUSAL_SENTENCES)
-        & (F.size(F.split(t, " ")) <= REFUSAL_WORDS)
-        & first.rlike(f"(?iu){any_of}")
-        & ~first.rlike(f"(?iu)(?:{any_of})[^.!?]*,[^.!?]*{_but}")
-        & ~rest.rlike(r"\d")
-        & ~F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).rlike(r"\?\s*$"),
-        F.lit(False),
-    )
+
+def is_empty(text: str | None) -> bool:
+    """Null, blank, or nothing but a placeholder or empty markup."""
+    if not text:
+        return True
+    core = _bare(text if "<" not in text and "&" not in text else _markup.sub(" ", text))
+    return not core or (len(core) <= PLACEHOLDER_CHARS and core.lower() in PLACEHOLDERS)
+
+
+def is_refusal(text: str | None) -> bool:
+    """A text that declines to answer and goes on to no answer: some sentence declines, every other one is an aside or
+    declines too, or follows the declining first sentence without telling or asking anything (no number, no question)."""
+    if not text:
+        return False
+    parts = [p for p in _sentences(" ".join(text.split()).lower()) if p]
+    found = [p for p in parts if _declines(p)]
+    if not found or parts[-1].endswith("?") or any(_yields(p) for p in found):
+        return False
+    others = [p for p in parts if p not in found and not _aside(p)]
+    if any(p.endswith("?") for p in others):
+        return False
+    return not others or (parts[0] in found and not any(c.isdigit() for p in others for c in p) and len(others) <= len(found))
 
 
 def copies(question: str | None, text: str | None) -> bool:
@@ -165,25 +179,34 @@ def _copy(q: list[str], a: list[str]) -> bool:
     allowed = COPY_CHANGED * n
     if m > n + COPY_INTRO + allowed or m < n - allowed:
         return False
-    if len(set(q) & set(a)) < (1 - COPY_CHANGED) * len(set(q)) - 1:
+    if len(set(q) & set(a)) < (1 - COPY_CHANGED) * len(set(q)) - 1 or not (a[-1] in q[-2:] or q[-1] in a[-2:]):
         return False
-    # Edit distance over words; up to COPY_INTRO words before the copy are free, none may follow it.
-    d = [float(max(0, j - COPY_INTRO)) for j in range(m + 1)]
-    for i, w in enumerate(q, 1):
-        new = [d[0] + 1]
-        for j in range(1, m + 1):
-            new.append(min(d[j] + 1, new[j - 1] + 1, d[j - 1] + (w != a[j - 1])))
+    # Edit distance over words; up to COPY_INTRO words before the copy are free, none may follow it. Cells farther off
+    # the diagonal than the changes allowed can't matter, so long pairs cost their length times that band.
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in ws]) for ws in (q, a))
+    steps = np.arange(m + 1, dtype=float)
+    d = np.maximum(0.0, steps - COPY_INTRO)
+    band = int(allowed) + COPY_INTRO + 1
+    for i in range(n):
+        lo, hi = max(0, i - band), min(m, i + band + 1)
+        new = np.full(m + 1, np.inf) if hi - lo < m else np.empty(m + 1)
+        new[lo] = d[lo] + 1
+        new[lo + 1 : hi + 1] = np.minimum(d[lo + 1 : hi + 1] + 1, d[lo:hi] + (y[lo:hi] != x[i]))
+        new[lo : hi + 1] = np.minimum.accumulate(new[lo : hi + 1] - steps[lo : hi + 1]) + steps[lo : hi + 1]
         d = new
-    return d[m] <= allowed and (a[-1] in q[-2:] or q[-1] in a[-2:])
+    return bool(d[m] <= allowed)
 
 
 def shortened(texts: DataFrame) -> DataFrame:
-    """Distinct (field_name, record_id) of texts that are a proper beginning of another text.
+    """Distinct (core): hashes of the cores of texts that are a proper beginning of another text.
 
-    Distinct texts are range-sorted; whatever stands between a text and its extension begins with it too, so comparing
-    neighbours suffices. The edges of the partitions are compared in a second, small step.
+    Distinct cores (what stands behind a cut is left out) are range-sorted; whatever stands between a text and its
+    extension begins with it too, so comparing neighbours suffices. The edges of the partitions are compared in a
+    second, small step. A number that goes on with digits is another number: digits sort behind everything else, so that
+    a neighbour goes on with a digit only if no text goes on otherwise.
     """
-    distinct = texts.where(F.length("text") >= cutoff.SPIKE_CHARS).select("text").distinct()
+    distinct = texts.select(F.translate(cutoff.core(F.col("text")), "0123456789", _LATE).alias("text")).where("text != ''").distinct()
     ordered = distinct.repartitionByRange(F.col("text")).sortWithinPartitions("text").select("text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +216,7 @@ def shortened(texts: DataFrame) -> DataFrame:
             for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if last is None:
                     head = t
-                elif t.startswith(last):
+                elif t.startswith(last) and not (last[-1] in _LATE and t[len(last)] in _LATE):
                     found.append(last)
                 last, part = t, p
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(found), pa.int32()), pa.array([None] * len(found), pa.string()), pa.array(found, pa.string())], names=["part", "head", "text"])
@@ -202,8 +225,47 @@ def shortened(texts: DataFrame) -> DataFrame:
 
     got = cut(ordered.mapInArrow(run, "part int, head string, text string"))
     edges = got.where("part is not null").withColumn("next", F.lead("head").over(Window.orderBy("part"))).where("startswith(next, text)")
-    short = got.where("part is null").select("text").unionByName(edges.select("text")).distinct()
-    return texts.join(short, "text", "left_semi").select("field_name", "record_id").distinct()
+    edges = edges.where(~(F.instr(F.lit(_LATE), F.right("text", F.lit(1))).cast("boolean") & F.instr(F.lit(_LATE), F.substr("next", F.length("text") + 1, F.lit(1))).cast("boolean")))
+    found = got.where("part is null").select("text").unionByName(edges.select("text"))
+    return found.select(F.xxhash64(F.translate("text", _LATE, "0123456789")).alias("core")).distinct()
+
+
+def inspect(samples: DataFrame, model: languages.Model) -> DataFrame:
+    """(field_name, record_id, grp, core, defects, tail columns) of the answers and ground truths that have a defect or
+    an open end, in the checkpoint folder: one pass over the pairs. ``same`` is null where the end is not open."""
+    share = samples.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = share.value
+        for b in batches:
+            questions = b.column("question").to_pylist()
+            asked = m.found(m.scores(questions))
+            for f in FIELDS:
+                texts = b.column(f).to_pylist()
+                defects: list[list[str]] = []
+                for q, t, of, spoken in zip(questions, texts, asked, m.found(m.scores(texts))):
+                    d = []
+                    if f == "answer" and is_empty(t):
+                        d.append("empty")
+                    if is_refusal(t):
+                        d.append("refusal")
+                    if copies(q, t):
+                        d.append("copies_question")
+                    if of is not None and of.langs and spoken is not None and len(spoken.langs) == 1 and spoken.langs[0] not in of.langs and languages.enough(t):
+                        d.append("other_language")
+                    defects.append(d)
+                rows, tail = cutoff.tail_columns(texts)
+                opened = np.full(len(texts), -1)
+                opened[rows] = np.arange(len(rows))
+                keep = np.flatnonzero((opened >= 0) | np.array([bool(d) for d in defects], bool))
+                at, where = pa.array(keep), pa.array(opened[keep], mask=opened[keep] < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f] * len(keep), pa.string()), *(b.column(c).take(at) for c in ("sample_index", "source", f"core_{f}")), pa.array([defects[i] for i in keep], pa.list_(pa.string())), *(c.take(where) for c in tail)],
+                    names=["field_name", "record_id", "grp", "core", "defects", *cutoff.TAIL_NAMES],
+                )
+
+    keyed = samples.select("sample_index", "source", "question", *FIELDS, *[F.xxhash64(cutoff.core(F.col(f))).alias(f"core_{f}") for f in FIELDS])
+    return cut(keyed.mapInArrow(run, "field_name string, record_id long, grp string, core long, defects array<string>, " + cutoff.TAIL))
 
 
 def defects(samples: DataFrame, model: languages.Model) -> DataFrame:
@@ -212,43 +274,11 @@ def defects(samples: DataFrame, model: languages.Model) -> DataFrame:
     Redelivered rows count once. A missing ground truth is no defect. Rows without sample_index are left out; a null
     question can be neither copied nor be in another language.
     """
-    base = samples.where(F.col("sample_index").isNotNull()).select("sample_index", "question", *FIELDS)
-    texts = cutoff.answer_texts(samples.where(F.col("sample_index").isNotNull()), *FIELDS).where(F.col("text").isNotNull())
-    short = shortened(texts)
-    was_cut = cutoff.find_cut(texts, samples.select(F.col("question").alias("text")).where("text is not null"), short)
+    base = samples.where(F.col("sample_index").isNotNull())
+    seen = inspect(base, model)
+    texts = cutoff.answer_texts(base, *FIELDS).where(F.col("text").isNotNull())
+    ends = seen.where("same is not null").drop("defects")
+    was_cut = cutoff.find_cut(texts, samples.select(F.col("question").alias("text")).where("text is not null"), shortened(texts), ends)
     truncated = was_cut.select(F.col("record_id").alias("sample_index"), "field_name", F.lit("truncated").alias("defect"))
-
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in FIELDS]))
-    long = base.select("sample_index", "question", pairs.alias("x")).select("sample_index", "question", "x.field_name", "x.text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = [copies(q, t) for q, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["sample_index", "field_name"]).filter(pa.array(hit, pa.bool_()))
-
-    copied = long.where(F.col("text").isNotNull() & F.col("question").isNotNull()).select("sample_index", "field_name", "question", "text").mapInArrow(run, "sample_index long, field_name string")
-    ruled = long.select(
-        "sample_index",
-        "field_name",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when((F.col("field_name") == "answer") & is_empty(F.col("text")), F.lit("empty")),
-                    F.when(is_refusal(F.col("text")), F.lit("refusal")),
-                )
-            )
-        ).alias("defect"),
-    )
-    counted = base.withColumns({f"n_{f}": languages.n_words(F.col(f)) for f in FIELDS})
-    got = languages.detect(counted, model, ["sample_index", *[f"n_{f}" for f in FIELDS]], ["question", *FIELDS])
-    asked = F.col("question.lang")
-    others = [
-        got.where((F.col(f"n_{f}") >= languages.LEAST_WORDS) & (F.size(f) == 1) & (F.size("question") > 0) & ~F.array_contains(asked, F.try_element_at(F.col(f"{f}.lang"), F.lit(1)))).select(
-            "sample_index", F.lit(f).alias("field_name"), F.lit("other_language").alias("defect")
-        )
-        for f in FIELDS
-    ]
-    out = truncated.unionByName(copied.withColumn("defect", F.lit("copies_question"))).unionByName(ruled)
-    for o in others:
-        out = out.unionByName(o)
-    return out.select("sample_index", "field_name", "defect").distinct()
+    ruled = seen.select(F.col("record_id").alias("sample_index"), "field_name", F.explode("defects").alias("defect"))
+    return truncated.unionByName(ruled).distinct()

@@ -107,8 +107,8 @@ def test_copies_of_a_cut_text_are_found(spark):
     df = spark.createDataFrame([("answer", i, None, t) for i, t in rows], "field_name string, record_id long, grp string, text string")
     ids = {r["record_id"] for r in cutoff.find_cut(df).collect()}
     assert ids == {1000 + 100 * j + i for j in range(len(ends)) for i in range(40)}
-    short = df.where("record_id = 3").select("field_name", F.explode(F.sequence(F.lit(4000), F.lit(4039))).alias("record_id"), "grp", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
-    got = cutoff.find_cut(df.unionByName(short), shortened=short)
+    short = df.where("record_id = 3").select("field_name", F.xxhash64(cutoff.core(F.expr("substring(text, 1, length(text) - 1)"))).alias("core"), F.explode(F.sequence(F.lit(4000), F.lit(4039))).alias("record_id"), "grp", F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+    got = cutoff.find_cut(df.unionByName(short.drop("core")), shortened=short)
     assert {r["record_id"] for r in got.where("record_id >= 4000").collect()} == set(range(4000, 4040))
 
 
@@ -126,9 +126,10 @@ def test_trie_nodes(spark):
 
 
 def test_shortened_versions(spark):
-    texts = ["a long enough text to be compared", "a long enough text to be compared with others", "a long enough text", "short", "zz other text altogether"] + [f"filler text number {i:05d} of many" for i in range(200)]
+    texts = ["a long enough text to be compared…", "a long enough text to be compared with others", "a long enough text", "short", "zz other text altogether", "we get x = 4", "we get x = 45", "they get x = 4", "they get x = 45", "they get x = 4y", "zz other text altogether!!", ""] + [f"filler text number {i:05d} of many" for i in range(200)]
     df = spark.createDataFrame([("answer", i, None, t) for i, t in enumerate(texts)] + [("answer", 0, None, texts[0]), ("answer", 999, None, None)], "field_name string, record_id long, grp string, text string")
-    assert {r["record_id"] for r in pairs.shortened(df).collect()} == {0}
+    cores = df.select("record_id", F.xxhash64(cutoff.core(F.col("text"))).alias("core"))
+    assert {r["record_id"] for r in cores.join(pairs.shortened(df), "core").collect()} == {0, 2, 7}
     assert pairs.shortened(df.where("false")).count() == 0
 
 
@@ -141,25 +142,20 @@ def test_copies():
     assert not pairs.copies(None, "x") and pairs.copies("Student: a b c\nTeacher: d\nStudent: is it four or five then", "is it four or five then?")
 
 
-def test_empty_and_refusal_rules(spark):
+def test_empty_and_refusal_rules():
     empty = [None, "", " \n", "​", "N/A", "n/a", "[no answer]", "<p></p>", '""', "—", "None", "...", "```\n```"]
     full = ["x = 4", "0", "27 %", "No.", "f(x) = 2", "Nothing else."]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(empty + full)], "i int, t string")
-    got = [r["e"] for r in df.orderBy("i").select(pairs.is_empty(F.col("t")).alias("e")).collect()]
-    assert got == [True] * len(empty) + [False] * len(full)
+    assert [pairs.is_empty(t) for t in empty + full] == [True] * len(empty) + [False] * len(full)
     refusals = ["I'm sorry, but I cannot help with that.", "The context does not contain enough information to answer.", "Mi dispiace, ma non posso aiutarti. Chiedi al tuo insegnante.", "No puedo responder a esta pregunta.", "Je ne peux pas répondre à cette question.", "Dabei kann ich leider nicht helfen."]
     others = ["I will not give you the result yet. Which side did you double?", "Sorry for the delay, the answer is 12.", "Anna wrote that one cannot answer this, but it works. Take 4 from 9.", "", None, "I can't tell you the answer, but look at the sign again. What do you notice?"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(refusals + others)], "i int, t string")
-    got = [r["e"] for r in df.orderBy("i").select(pairs.is_refusal(F.col("t")).alias("e")).collect()]
-    assert got == [True] * len(refusals) + [False] * len(others)
+    assert [pairs.is_refusal(t) for t in refusals + others] == [True] * len(refusals) + [False] * len(others)
 
 
-def test_refusals_in_any_sentence(spark):
+def test_refusals_in_any_sentence():
     long = " ".join(["I'm sorry.", "I cannot answer that.", "The context does not contain enough information to answer this particular question about the lesson of the day, the exercise on the board or the homework of this week.", "I am not able to help with any of the 12 steps, nor with the drawing, the table, the graph or the text that goes with them.", "I am not allowed to discuss the matter any further with anyone who has not been enrolled.", "Please ask your teacher."])
     yes = ["I'm sorry. I cannot answer that.", "Mi dispiace. Non posso rispondere a questa domanda.", "Es tut mir leid. Dabei kann ich nicht helfen.", long]
     no = ["I'm sorry. The answer is twelve.", "Take four from nine. One cannot say that it is prime.", "I'm sorry. I cannot tell you the answer, but look at the sign again.", "Sorry. Ask your teacher.", "I'm sorry. I cannot answer that. What did you try?"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string")
-    assert [r["e"] for r in df.orderBy("i").select(pairs.is_refusal(F.col("t")).alias("e")).collect()] == [True] * len(yes) + [False] * len(no)
+    assert [pairs.is_refusal(t) for t in yes + no] == [True] * len(yes) + [False] * len(no)
 
 
 def test_defects_of_pairs(spark):
