@@ -159,13 +159,13 @@ def copies(question: str | None, text: str | None) -> bool:
     """True if the text only repeats the question (or its last turn), perhaps lightly changed or introduced."""
     if not question or not text:
         return False
+    tries = [_words(t.casefold()) for t in {question, _turn(question)[-1]}]
+    end = _words(text[-300:].casefold()) if len(text) > 300 else []
+    # A copy ends like the question: most texts are told apart by their last two words.
+    if len(end) > 2 and not any(q and (end[-1] in q[-2:] or q[-1] in end[-2:]) for q in tries):
+        return False
     a = _words(text.casefold())
-    tries = [question]
-    turns = _turn(question)
-    if len(turns) > 1:
-        tries.append(turns[-1])
-    for t in tries:
-        q = _words(t.casefold())
+    for q in tries:
         times = round(len(a) / len(q)) if q else 0
         if _copy(q, a) or (times > 1 and all(_copy(q, a[len(a) * k // times : len(a) * (k + 1) // times]) for k in range(times))):
             return True
