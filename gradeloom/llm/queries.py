@@ -71,8 +71,9 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required, available and sampled rows and the deficit per category."""
     rows, targets, dims = _quota(spark, sf_dir)
-    sample = quota.draw(rows, quota.plan(rows, targets, dims), "synth_id", dims)
-    return quota.sample_report(quota.requirements(rows, targets, dims), sample, dims)
+    cells = quota.plan(rows, targets, dims)
+    sample = quota.draw(rows, cells, "synth_id", dims)
+    return quota.sample_report(quota.requirements(rows, targets, dims), sample, dims, (cells.first() or {"least_gap": 0})["least_gap"])
 
 
 def _cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

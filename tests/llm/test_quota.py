@@ -31,6 +31,31 @@ def test_sample_meets_feasible_targets_exactly_and_is_stable(spark):
     assert sorted(x["id"] for x in again.collect()) == ids
 
 
+def test_joint_targets_are_met_where_they_can_be():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for sizes in ((5, 4, 5), (4, 4, 30), (60, 4, 5)):
+        cells = rng.integers(0, 30, int(np.prod(sizes)))
+        keep = rng.random(len(cells)) < 0.4
+        cells, index = cells[keep], [x[keep] for x in np.indices(sizes).reshape(3, -1)]
+        some = rng.binomial(cells, 0.3)
+        wanted = [np.bincount(i, some, n).astype(np.int64) for i, n in zip(index, sizes)]
+        k, least = quota.allot(cells, index, wanted)
+        assert least == 0 and (k >= 0).all() and (k <= cells).all()
+        assert all((np.bincount(i, k, n) == w).all() for i, w, n in zip(index, wanted, sizes))
+    # Five rows of each kind are wanted, but only four of the one level that all rows have.
+    k, least = quota.allot(np.array([5, 5]), [np.array([0, 1]), np.array([0, 0])], [np.array([5, 5]), np.array([4])])
+    assert least == 6
+
+
+def test_a_cell_that_chance_leaves_short_is_topped_up(spark):
+    r = rows(spark, [(i, "x", "lo", 0) for i in range(3000)])
+    cells = spark.createDataFrame([("x", 100000, 2900, 0)], "kind string, observed long, wanted long, least_gap long")  # p is far too small
+    assert quota.draw(r, cells, "id", ["kind"]).distinct().count() == 2900
+    assert quota.draw(r, cells.withColumn("wanted", F.lit(3000)), "id", ["kind"]).distinct().count() == 3000
+
+
 def test_small_categories_are_taken_whole_and_reported(spark):
     data = [(i, "rare" if i < 3 else "common", "lo", 0) for i in range(500)]
     t = spark.createDataFrame([("kind", "rare", 0.1, 10, 100), ("kind", "common", 0.9, 1, 100)], T)
