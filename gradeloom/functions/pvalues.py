@@ -92,28 +92,28 @@ def spearman_p(rho: float, n: float) -> float:
     return 0.0 if abs(rho) >= 1 else t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-@lru_cache(maxsize=512)
-def _u_counts(n1: int, n2: int) -> tuple[int, ...]:
-    """Number of arrangements without ties for every value of U."""
-    if n1 == 0 or n2 == 0:
-        return (1,)
-    a, b = _u_counts(n1 - 1, n2), _u_counts(n1, n2 - 1)
-    out = [0] * (n1 * n2 + 1)
-    for i, x in enumerate(a):
-        out[i + n2] += x
-    for i, x in enumerate(b):
-        out[i] += x
-    return tuple(out)
+@lru_cache(maxsize=64)
+def _u_at_most(n1: int, n2: int, top: int) -> int:
+    """Number of arrangements without ties whose U is at most ``top``: coefficients of the Gaussian binomial, built by
+    multiplying by 1 - q^(n2 + i) and dividing by 1 - q^i, with whole numbers throughout."""
+    c = [1] + [0] * top
+    for i in range(1, n1 + 1):
+        for u in range(top, n2 + i - 1, -1):
+            c[u] -= c[u - n2 - i]
+        for u in range(i, top + 1):
+            c[u] += c[u - i]
+    return sum(c)
 
 
 def mannwhitney_p(u: float, n1: float, n2: float, ties: float) -> float:
-    """Two-sided: exact for small samples without ties, else normal with tie and continuity correction."""
+    """Two-sided: exact without ties where the smaller group has at most 8 values, else normal with tie and continuity
+    correction."""
     if u != u or n1 < 1 or n2 < 1:
         return float("nan")
     hi = max(u, n1 * n2 - u)
-    if ties == 0 and min(n1, n2) <= 8 and max(n1, n2) <= 60:
-        counts = _u_counts(int(n1), int(n2))
-        return min(1.0, 2 * sum(counts[math.ceil(hi - 1e-9) :]) / sum(counts))
+    if ties == 0 and min(n1, n2) <= 8:
+        a, b = int(min(n1, n2)), int(max(n1, n2))
+        return min(1.0, 2 * _u_at_most(a, b, math.floor(a * b - hi + 1e-9)) / math.comb(a + b, a))
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:

@@ -19,6 +19,9 @@ ABBREVIATIONS = (
     "approx", "assn", "bros", "co", "no", "vol", "rev", "gen", "gov", "sgt", "cpl", "pvt", "capt", "lt", "cmdr", "adm",
     "maj", "col", "brig", "fig", "figs", "eq", "eqs", "al", "e", "i",
 )
+# Stops, and what may begin the next sentence behind them.
+SENTENCE_STOPS, SENTENCE_STARTS = r"[.!?]", r"[A-Z\d\"'\(\[]"
+SENTENCE_START = rf"(?<={SENTENCE_STOPS})\s+(?={SENTENCE_STARTS})"
 
 
 def text(c: Column | str) -> Column:
@@ -146,8 +149,8 @@ def chunk_sentences(c: Column) -> Column:
     A piece that ends in an abbreviation or in a number and full stop is joined to the next. Where nothing remains the
     lines are taken, else the whole text.
     """
-    marked = F.regexp_replace(text(c), rf"([.!?]){SPACE}+([A-Z\d\"'(\[])", "$1\u0001$2")
-    marked = F.regexp_replace(marked, rf"([.!?]){SPACE}+([A-Z\d\"'(\[])", "$1\u0001$2")  # neighbours that shared a character
+    marked = F.regexp_replace(text(c), rf"({SENTENCE_STOPS}){SPACE}+({SENTENCE_STARTS})", "$1\u0001$2")
+    marked = F.regexp_replace(marked, rf"({SENTENCE_STOPS}){SPACE}+({SENTENCE_STARTS})", "$1\u0001$2")  # neighbours that shared a character
     glued = rf"(?i)((?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(ABBREVIATIONS)})\.|\d\.)\u0001"
     paragraphs = F.split(marked, r"\n\s*\n")
     per = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, glued, "$1 "), "\u0001")))

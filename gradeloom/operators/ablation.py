@@ -1,18 +1,19 @@
 """Re-scoring of a score frame under a grid of weights.
 
 The grid is a few hundred rows made here; every row of the frame meets each of them once, in one pass. Rank
-correlations work on distinct values per grid point.
+correlations work on distinct values per grid point, and no task holds all values of one.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import pvalues as P
 from gradeloom.functions import scoring as K
-from gradeloom.operators.statistics import average_ranks, safe_corr
+from gradeloom.operators.ordering import rank_correlation, running_total, value_ranks
+from gradeloom.operators.skew import join_spread
+from gradeloom.session import cut
 
 # The named configurations (uptake, language, disclosure).
 NAMED = {
@@ -23,16 +24,12 @@ NAMED = {
 }
 
 
-def weight_grid(spark: SparkSession, step: float = 0.05) -> DataFrame:
-    """(w1, w2, w3) on a simplex of the given step."""
-    axis = np.arange(0, 1 + step, step)
-    rows = []
-    for a in axis:
-        for b in axis:
-            c = round(1 - a - b, 4)
-            if -0.001 <= c <= 1.001:
-                rows.append((round(float(a), 4), round(float(b), 4), max(0.0, float(c))))
-    return spark.createDataFrame(rows, "w1 double, w2 double, w3 double")
+def weight_grid(spark: SparkSession, parts: int = 20) -> DataFrame:
+    """(w1, w2, w3): all weights that are whole multiples of 1 / ``parts`` and sum to 1."""
+    axis = F.sequence(F.lit(0), F.lit(parts))
+    lattice = spark.range(1).select(F.explode(axis).alias("i")).select("i", F.explode(axis).alias("j")).where(F.col("i") + F.col("j") <= parts)
+    weight = lambda k: F.round(k / F.lit(float(parts)), 4)
+    return lattice.select(weight(F.col("i")).alias("w1"), weight(F.col("j")).alias("w2"), weight(F.lit(parts) - F.col("i") - F.col("j")).alias("w3"))
 
 
 def named_grid(spark: SparkSession) -> DataFrame:
@@ -49,10 +46,17 @@ def ablate(frame: DataFrame, grid: DataFrame, truth: str, m: tuple[str, str, str
     """Per grid row: mean re-scored value, rho against ``truth`` and p. Rows without a truth are left out."""
     keys = grid.columns
     valid = frame.where(F.col(truth).isNotNull() & ~F.isnan(F.col(truth).cast("double")))
-    x = valid.crossJoin(F.broadcast(grid))  # a few hundred rows of our own making
-    x = x.select(*keys, F.round(rescored(tuple(F.col(c) for c in m), (F.col("w1"), F.col("w2"), F.col("w3")), F.col(gate)), 12).alias("pes"), F.col(truth).cast("double").alias("truth"))
-    ranked = average_ranks(x, keys, ["pes", "truth"])
-    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("pes").alias("pes_mean"), safe_corr("pes_rank", "truth_rank").alias("rho"))
+    # The truth is the same at every point of the grid: ranked once, equal rows together.
+    rows = cut(valid.groupBy(*[F.col(c) for c in m], F.col(gate).alias("__gate"), F.col(truth).cast("double").alias("truth")).agg(F.count("*").alias("__k")))
+    ranks = value_ranks(valid.select(F.col(truth).cast("double").alias("truth")), [], "truth").select("truth", F.col("rank").alias("truth_rank"))
+    known = join_spread(rows, ranks, ["truth"], rows.groupBy("truth").agg(F.count("*").alias("n")), F.struct(*m), "inner")
+    x = known.crossJoin(F.broadcast(grid))  # a few hundred rows of our own making
+    x = x.select(*keys, F.round(rescored(tuple(F.col(c) for c in m), (F.col("w1"), F.col("w2"), F.col("w3")), F.col("__gate")), 12).alias("pes"), "truth_rank", "__k")
+    x = cut(x.groupBy(*keys, "pes", "truth_rank").agg(F.sum("__k").alias("__m")))
+    per = x.groupBy(*keys, "pes").agg(F.sum("__m").alias("n"), F.count("*").alias("__rows"))
+    scored = running_total(per, keys, ["pes"], F.col("n")).select(*keys, "pes", (F.col("__before") + (F.col("n") + 1) / 2).alias("pes_rank"))
+    both = join_spread(x, scored, [*keys, "pes"], per, F.col("truth_rank"), "inner", "__rows")
+    got = both.groupBy(*keys).agg(F.sum("__m").alias("n"), (F.sum(F.col("pes") * F.col("__m")) / F.sum("__m")).alias("pes_mean"), rank_correlation("pes_rank", "truth_rank").alias("rho"))
     return got.withColumn("p_value", P.spearman_pvalue(F.col("rho"), F.col("n").cast("double")))
 
 

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.skew import join_spread
 from gradeloom.session import cut
 
-MAX_DEPTH = 64
+log = logging.getLogger(__name__)
 
 
-def roots(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def roots(runs: DataFrame) -> DataFrame:
     """(run_id, root_id) of every run of (run_id, parent_run_id) whose chain of parents ends in a root.
 
-    Pointer doubling: each round joins every run to its ancestor's ancestor, so the rounds grow with the logarithm of
-    the depth. Runs with an unknown parent have no root and are left out; cycles are left out after ``max_depth``.
+    Pointer doubling: each round joins every open run to its ancestor's ancestor, so the rounds grow with the logarithm
+    of the depth. Finished runs leave the rounds and are only looked up. Runs with an unknown parent have no root and
+    are left out. The rounds end when one finishes no run: what is then left leads into a cycle and is left out too.
     """
     x = runs.select("run_id", "parent_run_id").where("run_id is not null").distinct()
     up = cut(x.select("run_id", F.coalesce("parent_run_id", "run_id").alias("to"), F.col("parent_run_id").isNull().alias("done")))
-    depth = 1
-    while depth <= max_depth and up.where("not done").limit(1).count():
-        a, b = up.alias("a"), up.select(F.col("run_id").alias("r"), F.col("to").alias("t"), F.col("done").alias("d")).alias("b")
-        up = cut(a.join(b, (F.col("a.to") == F.col("b.r")) & ~F.col("a.done"), "left").where("a.done or b.r is not null").select("a.run_id", F.when(F.col("a.done"), F.col("a.to")).otherwise(F.col("b.t")).alias("to"), (F.col("a.done") | F.coalesce("b.d", F.lit(False))).alias("done")))
-        depth *= 2
-    return up.where("done").select("run_id", F.col("to").alias("root_id"))
+    done = up.where("done").select("run_id", F.col("to").alias("root_id"))
+    left = up.where("not done").select("run_id", "to")
+    number = left.count()
+    while number:
+        to = left.select(F.col("run_id").alias("to"), F.col("to").alias("next"), F.lit(False).alias("ends"))
+        known = to.unionByName(done.select(F.col("run_id").alias("to"), F.col("root_id").alias("next"), F.lit(True).alias("ends")))
+        fan = left.groupBy("to").agg(F.count("*").alias("n"))
+        got = cut(join_spread(left, known, ["to"], fan, F.col("run_id"), "inner"))
+        done = done.unionByName(got.where("ends").select("run_id", F.col("next").alias("root_id")))
+        left = got.where("not ends").select("run_id", F.col("next").alias("to"))
+        before, number = number, left.count()
+        if number == before:
+            log.warning("%d runs lead into a cycle of parents", number)
+            break
+    return done
 
 
 def first_key(payload: Column, *keys: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.operators.ordering import quantiles
 from gradeloom.operators.wide import normal_name, valid_score
 
 
@@ -25,15 +26,25 @@ def mean_scores(results: DataFrame, by: Sequence[str] = ("metric_name",)) -> Dat
 
 
 def summary(results: DataFrame, by: Sequence[str] = ("metric_name",)) -> DataFrame:
-    """Mean, median, sample standard deviation (0 for one row), extremes and count."""
-    return results.groupBy(*by).agg(
+    """Mean, median, sample standard deviation (0 for one row), extremes and count. No task holds a group's values."""
+    got = results.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg("score").alias("mean"),
-        F.median("score").alias("median"),
         F.coalesce(F.nullif(F.stddev_samp("score"), F.lit(float("nan"))), F.lit(0.0)).alias("stdev"),
         F.min("score").alias("min"),
         F.max("score").alias("max"),
     )
+    return with_quantiles(got, results, list(by), "score", {"median": 0.5}).select(*by, "n", "mean", "median", "stdev", "min", "max")
+
+
+def with_quantiles(stats: DataFrame, rows: DataFrame, by: Sequence[str], column: str, names: dict[str, float]) -> DataFrame:
+    """``stats`` (one row per group) with exact quantiles of the rows' column; null where a group has no value."""
+    q = quantiles(rows, by, column, list(names.values())).select(*[F.col(c).alias(f"__q_{c}") for c in by], "q")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__q_{c}"))
+    out = stats.join(q, on, "left")
+    return out.select(*stats.columns, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def histogram(results: DataFrame, by: Sequence[str] = ("metric_name",), bins: int = 10) -> DataFrame:
@@ -58,14 +69,10 @@ def sparkline(hist: DataFrame, by: Sequence[str] = ("metric_name",)) -> DataFram
 
 def extremes(results: DataFrame, by: Sequence[str] = ("metric_name",), order: Sequence[str] = ("sample_index", "run_id")) -> DataFrame:
     """Best and worst row per group; the first by ``order`` wins ties."""
-    row = F.struct("score", *order)
-    first = F.struct(F.col("score"), *order)
-    worst = F.min(first)
-    # Of equal best scores the least order: maximise the score, then take the least row among those that have it.
-    top = F.max("score")
-    best = results.groupBy(*by).agg(top.alias("__top"), worst.alias("worst"))
-    hit = results.join(best.select(*by, "__top"), by if isinstance(by, list) else list(by)).where(F.col("score") == F.col("__top")).groupBy(*by).agg(F.min(row).alias("best"))
-    j = best.join(hit, list(by))
+    # The greatest score with the least order is the least of (-score, order).
+    best = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("down"), "score", *order))).alias("best")
+    worst = F.min(F.when(F.col("score").isNotNull(), F.struct("score", *order))).alias("worst")
+    j = results.groupBy(*by).agg(best, worst)
     return j.select(*by, F.col("best.score").alias("best_score"), *[F.col(f"best.{c}").alias(f"best_{c}") for c in order], F.col("worst.score").alias("worst_score"), *[F.col(f"worst.{c}").alias(f"worst_{c}") for c in order])
 
 
@@ -87,8 +94,9 @@ def group_stats(df: DataFrame, label: str, score: str, order: Sequence[str]) ->
     """Statistics per label in a fixed label order; labels without rows stay as rows of nulls."""
     labels = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(order)], f"position int, {label} string")
     got = df.groupBy(label).agg(
-        F.count(score).alias("count"), *[F.round(f(score), 4).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+        F.count(score).alias("count"), *[F.round(f(score), 4).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
     )
+    got = with_quantiles(got, df, [label], score, {"median": 0.5}).withColumn("median", F.round("median", 4)).select(label, "count", "mean", "median", "std", "min", "max")
     return F.broadcast(labels).join(got, label, "left").orderBy("position")  # as many rows as the caller listed
 
 

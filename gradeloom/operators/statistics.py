@@ -1,54 +1,29 @@
-"""Statistics over score frames as aggregations and rank windows; p-values come from one row per group."""
+"""Statistics over score frames as aggregations over distinct values and their ranks; p-values come from one row per group."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import pvalues as P
-
-
-def average_ranks(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``<column>_rank`` (ties share their mean rank) within each group.
-
-    Ranks come from counts per distinct value and a running sum over the distinct values only, so the window holds as
-    many rows as there are values, not as there are rows.
-    """
-    out = df
-    for c in columns:
-        per = df.groupBy(*by, c).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rank = per.select(*[F.col(b).alias(f"__{b}") for b in by], F.col(c).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(f"{c}_rank"))
-        on = F.col(c).eqNullSafe(F.col("__v"))
-        for b in by:
-            on = on & F.col(b).eqNullSafe(F.col(f"__{b}"))
-        out = out.join(rank, on).drop("__v", *[f"__{b}" for b in by])
-    return out
-
-
-def safe_corr(x: str | Column, y: str | Column) -> Column:
-    """Pearson's r; null where either side does not vary."""
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+from gradeloom.operators.ordering import rank_correlation, ranked_rows, running_total, value_ranks
+from gradeloom.session import cut
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
     """rho, n and p per group of at least ``least`` complete pairs."""
-    keys = list(by)
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).withColumn("__all", F.lit(1))
-    keys = keys or ["__all"]
-    ranked = average_ranks(whole.select(*keys, x, y), keys, [x, y])
-    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(f"{x}_rank", f"{y}_rank").alias("rho")).where(F.col("n") >= least)
-    return got.withColumn("p_value", P.spearman_pvalue(F.col("rho"), F.col("n").cast("double"))).drop("__all")
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, x, y)
+    got = ranked_rows(whole, by, [x, y]).groupBy(*by).agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("n"), rank_correlation(f"{x}_rank", f"{y}_rank").alias("rho")).where(F.col("n") >= least)
+    return got.withColumn("p_value", P.spearman_pvalue(F.col("rho"), F.col("n").cast("double")))
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str], least: int = 5) -> DataFrame:
     """rho of every pair of columns over the rows complete in all of them (at least ``least``)."""
-    whole = df.select(*columns).na.drop().withColumn("__all", F.lit(1))
-    ranked = average_ranks(whole, ["__all"], columns)
+    ranked = ranked_rows(df.select(*columns).na.drop(), [], columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    got = ranked.agg(F.count("*").alias("n"), *[(F.lit(1.0) if a == b else safe_corr(f"{a}_rank", f"{b}_rank")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    got = ranked.agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("n"), *[(F.lit(1.0) if a == b else rank_correlation(f"{a}_rank", f"{b}_rank")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)]))
     return got.where(F.col("n") >= least).select(rows.alias("r"), "n").select("r.*", "n")
 
@@ -67,16 +42,17 @@ def anova(df: DataFrame, group: str, score: str, by: Sequence[str] = ()) -> Data
     return out.withColumn("p_value", P.f_p(F.col("f_stat"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")))
 
 
-def _ties(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    per = df.groupBy(*keys, score).agg(F.count("*").cast("double").alias("t"))
-    return per.groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+def _ties() -> Column:
+    return F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("ties")
 
 
 def kruskal(df: DataFrame, group: str, score: str) -> DataFrame:
-    """Tie-corrected H and p; null where all values are tied."""
-    x = df.where(F.col(group).isNotNull() & F.col(score).isNotNull()).select(group, score, F.lit(1).alias("__all"))
-    r = average_ranks(x, ["__all"], [score]).groupBy("__all", group).agg(F.count("*").cast("double").alias("c"), F.sum(f"{score}_rank").alias("s"))
-    t = r.groupBy("__all").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q")).join(_ties(x, ["__all"], score), "__all")
+    """Tie-corrected H and p; null where all values are tied. Works on the counts per value and group."""
+    x = df.where(F.col(group).isNotNull() & F.col(score).isNotNull()).select(group, score)
+    ranks = cut(value_ranks(x, [], score))
+    per = x.groupBy(group, score).agg(F.count("*").alias("__c")).join(ranks.select(score, "rank"), score)
+    r = per.groupBy(group).agg(F.sum("__c").cast("double").alias("c"), F.sum(F.col("__c") * F.col("rank")).alias("s"))
+    t = r.agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q")).crossJoin(F.broadcast(ranks.agg(_ties())))  # one row each
     n = F.col("n")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), F.nullif(1 - F.try_divide(F.col("ties"), n * n * n - n), F.lit(0.0)))
     out = t.where("k >= 2").select("k", n.cast("long").alias("n"), h.alias("h_stat"))
@@ -84,17 +60,20 @@ def kruskal(df: DataFrame, group: str, score: str) -> DataFrame:
 
 
 def mannwhitney(df: DataFrame, group: str, score: str, order: Sequence[str]) -> DataFrame:
-    """Two-sided U and p of all pairs of the listed groups, earlier group first; pairs with an empty group are absent."""
+    """Two-sided U and p of all pairs of the listed groups, earlier group first; pairs with an empty group are absent.
+
+    Works on the counts per value and group; each takes part in one comparison per other group of the caller's list.
+    """
     at = {g: i for i, g in enumerate(order)}
     pairs = df.sparkSession.createDataFrame([(a, b) for a in order for b in order if at[a] < at[b]], "group_a string, group_b string")
-    x = df.where(F.col(group).isin(*order) & F.col(score).isNotNull()).select(F.col(group).alias("g"), F.col(score).alias("v"))
-    # Each row takes part in one comparison per other group: the pairs are as many as the caller's list says.
+    x = df.where(F.col(group).isin(*order) & F.col(score).isNotNull()).groupBy(F.col(group).alias("g"), F.col(score).alias("v")).agg(F.count("*").alias("c"))
     member = x.join(F.broadcast(pairs), (F.col("g") == F.col("group_a")) | (F.col("g") == F.col("group_b")))
     keys = ["group_a", "group_b"]
-    ranked = average_ranks(member, keys, ["v"])
     mine = F.col("g") == F.col("group_a")
-    got = ranked.groupBy(*keys).agg(F.count_if(mine).cast("double").alias("n_a"), F.count_if(~mine).cast("double").alias("n_b"), F.sum(F.when(mine, F.col("v_rank"))).alias("r"))
-    got = got.where("n_a > 0 and n_b > 0").join(_ties(member, keys, "v"), keys)
+    per = member.groupBy(*keys, "v").agg(F.sum("c").alias("n"), F.sum(F.when(mine, F.col("c")).otherwise(0)).alias("a"))
+    ranked = running_total(per, keys, ["v"], F.col("n")).withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2)
+    got = ranked.groupBy(*keys).agg(F.sum("a").cast("double").alias("n_a"), F.sum(F.col("n") - F.col("a")).cast("double").alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("r"), _ties())
+    got = got.where("n_a > 0 and n_b > 0")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
     out = got.select(*keys, F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), u.alias("u_stat"), "ties")
     return out.withColumn("p_value", P.mannwhitney_pvalue(F.col("u_stat"), F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("ties"))).drop("ties")
@@ -118,7 +97,7 @@ def paired_compare(baseline: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
         o = [c for c in ("sample_index", "seq") if c in df.columns]
-        return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*o)))
+        return running_total(df, keys, o, F.lit(1)).withColumn("rn", F.col("__before"))
 
     b = numbered(baseline, ["metric_name"]).select("metric_name", "rn", F.col("score").alias("b"))
     c = numbered(candidates, ["config", "metric_name"]).select("config", "metric_name", "rn", F.col("score").alias("c"))
