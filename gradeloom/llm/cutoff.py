@@ -74,10 +74,19 @@ def _grams(k: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _gram(*keys: np.ndarray) -> np.ndarray:
+    """What ``_grams`` gives where the words ``keys``, last one first, end."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = (h ^ k) * np.uint64(0x9E3779B97F4A7C15 + 2 * len(keys))
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class Tail:
     """What the end of one text looks like; ``None`` from ``tail`` means a finished text."""
 
-    __slots__ = ("few", "forced", "grams", "mark", "shape", "unit", "word")
+    __slots__ = ("few", "forced", "keys", "mark", "shape", "unit", "word")
 
 
 def unmarked(text: str) -> tuple[str, bool, bool, bool]:
@@ -144,9 +153,8 @@ def tail(text: str) -> Tail | None:
     toks = last_words(t)
     x.word = toks[-1] if toks and c.isalnum() and toks[-1].isalpha() else ""
     x.unit = len(x.word) == 1 or any(d.isdigit() for d in "".join(toks[-2:-1]))
-    k = np.array([0] * (3 - len(toks)) + [_key(w) for w in toks], np.uint64)
+    x.keys = [0] * (3 - len(toks)) + [_key(w) for w in toks]
     x.few = len(list(islice(_words(t), FEW))) < FEW
-    x.grams = [int(_grams(k[2:], 1)[-1]), int(_grams(k[1:], 2)[-1]), int(_grams(k, 3)[-1]), int(_grams(k[:2], 2)[-1])]
     return x
 
 
@@ -160,20 +168,26 @@ def tail_columns(texts: list[str | None]) -> tuple[list[int], list[pa.Array]]:
     """Numbers of the texts that don't end in a full stop or the like, and their TAIL columns."""
     rows: list[int] = []
     found: list[Tail] = []
+    known: dict[str, Tail | None] = {}
     for i, t in enumerate(texts):
-        x = tail(t) if t else None
+        if not t:
+            continue
+        if t in known:
+            x = known[t]
+        else:
+            x = known[t] = tail(t)
         if x is not None:
             rows.append(i)
             found.append(x)
     mine = [texts[i] or "" for i in rows]
-    keys = np.array([x.grams for x in found], np.uint64).reshape(-1, 4).view(np.int64)
+    a, b, c = np.array([x.keys for x in found], np.uint64).reshape(-1, 3).T
     columns = [
         pa.array([len(t) for t in mine], pa.int32()),
         pa.array([len(t.replace("\ufffd", "").encode("utf-8", "surrogatepass")) for t in mine], pa.int32()),
         *(pa.array([getattr(x, a) for x in found], pa.bool_()) for a in _FLAGS),
         pa.array(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in mine], np.uint64).view(np.int64)),
         pa.array([x.word for x in found], pa.string()),
-        *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(4)),
+        *(pa.array(g.view(np.int64)) for g in (_gram(c), _gram(c, b), _gram(c, b, a), _gram(b, a))),
     ]
     return rows, columns
 
@@ -183,8 +197,8 @@ def core(text: F.Column) -> F.Column:
     return F.reverse(F.regexp_replace(F.reverse(text), r"^[^\p{L}\p{N}]+", ""))
 
 
-def tails(texts: DataFrame) -> DataFrame:
-    """One row per text that doesn't end in a full stop or the like."""
+def tails(texts: DataFrame, cores: bool = False) -> DataFrame:
+    """One row per text that doesn't end in a full stop or the like; ``core`` is the hash of its core if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +206,7 @@ def tails(texts: DataFrame) -> DataFrame:
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), *columns], names=["field_name", "record_id", "grp", "core", *TAIL_NAMES])
 
-    return texts.select("field_name", "record_id", "grp", F.xxhash64(core(F.col("text"))).alias("core"), "text").mapInArrow(run, "field_name string, record_id long, grp string, core long, " + TAIL)
+    return texts.select("field_name", "record_id", "grp", (F.xxhash64(core(F.col("text"))) if cores else F.lit(0).cast("long")).alias("core"), "text").mapInArrow(run, "field_name string, record_id long, grp string, core long, " + TAIL)
 
 
 class _Grams:
@@ -328,7 +342,7 @@ def find_cut(texts: DataFrame, corpus: DataFrame | None = None, shortened: DataF
     are at hand. Null, empty and blank texts and texts without letters or digits are never cut. Repeated rows count
     once in the result.
     """
-    ends = cut(tails(texts)) if ends is None else ends
+    ends = cut(tails(texts, shortened is not None)) if ends is None else ends
     source = texts.select("text") if corpus is None else texts.select("text").unionByName(corpus.select("text"))
     grams = cut(gram_counts(source.where(F.col("text").isNotNull())))
     # One row per distinct open text of a field.
