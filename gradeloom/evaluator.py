@@ -2,57 +2,87 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.operators import judges, results, tutoring
+from gradeloom.operators import judges, results, tutoring, usage
 from gradeloom.functions import scoring as K
 from gradeloom.registry import REGISTRY, Registry
 
 SCHEMA = "sample_index long, metric_name string, score double, reason string"
 
 
+#: What a metric needs of the judge beside its own request.
+PARTS = {"no_immediate_disclosure": ("no_immediate_disclosure", "helpfulness"), "pes": ("faithfulness", "state", "no_immediate_disclosure", "helpfulness")}
+
+
 def evaluate(
-    samples: DataFrame, metrics: Sequence[str], cache: DataFrame | None = None, judge: Callable[[str, str], str] | None = None, model: str = "", system: str = "", registry: Registry = REGISTRY, extra: Mapping[str, Callable[[], Column]] | None = None
+    samples: DataFrame,
+    metrics: Sequence[str],
+    cache: DataFrame | None = None,
+    judge: Callable[[str, str], str] | None = None,
+    model: str = "",
+    system: str = "",
+    registry: Registry = REGISTRY,
+    extra: Mapping[str, Callable[[], Column]] | None = None,
+    cache_path: str | None = None,
+    ttl: float | None = None,
+    on_answers: Callable[[DataFrame], None] | None = None,
+    injected: Mapping[str, object] | None = None,
+    **options: float,
 ) -> DataFrame:
     """Results (sample_index, metric_name, score, reason) of canonical samples.
 
-    Column metrics are scored in one pass over the samples; judge metrics come from the cache (cache_key, text,
-    cached_at) and the judge. Scores outside 0..1 leave no row, as do metrics without a score.
+    Column metrics are scored in one pass over the samples. Judge metrics come from the cache (``cache``: cache_key,
+    text, cached_at; or the table at ``cache_path``, entries older than ``ttl`` seconds left out) and the judge; all of
+    them together ask each prompt once, and fresh answers are added to the table. ``on_answers`` is given the fresh
+    answers; ``injected`` are the encoder, scorer or sentiment that column metrics take; ``options`` go to
+    ``judges.ask``. Scores outside 0..1 leave no row, as do metrics without a score.
     """
     spark = samples.sparkSession
     chosen = [registry.get(m) for m in metrics if m not in (extra or {})]
-    columns = {m.name: m.column() for m in chosen if m.column is not None} | {k: f() for k, f in (extra or {}).items()}
+    columns = {m.name: registry.create(m.name, **(injected or {})) for m in chosen if m.column is not None} | {k: f() for k, f in (extra or {}).items()}
     out = spark.createDataFrame([], SCHEMA)
     if columns:
-        scored = samples.select("sample_index", *[c.alias(n) for n, c in columns.items()])
-        out = out.unionByName(results.unpivot(scored, list(columns)))
+        rows = samples.select("sample_index", *[c.alias(n) for n, c in columns.items()])
+        out = out.unionByName(results.unpivot(rows, list(columns)))
     asked = [m.name for m in chosen if m.column is None]
     if asked:
         known = cache if cache is not None else spark.createDataFrame([], "cache_key string, text string, cached_at double")
+        if cache_path is not None:
+            known = known.unionByName(usage.alive(usage.load(spark, cache_path), time.time(), ttl))
+        needed = list(dict.fromkeys(p for m in asked for p in PARTS.get(m, (m,))))
+        got, fresh = judges.judgements(judges.requests(samples, needed, model, system), known, judge, **options)
+        if fresh is not None and cache_path is not None:
+            usage.put(fresh, cache_path, time.time())
+        if fresh is not None and on_answers is not None:
+            on_answers(fresh)
         plain = [m for m in asked if m in judges.SCORES]
         if plain:
-            out = out.unionByName(judges.evaluate(samples, plain, known, model, system, judge))
+            out = out.unionByName(judges.scored(samples, plain, got))
         if "no_immediate_disclosure" in asked or "pes" in asked:
-            told = disclosure_results(samples, known, judge, model, system)
+            told = told_results(samples, got)
             if "no_immediate_disclosure" in asked:
                 out = out.unionByName(told)
             if "pes" in asked:
-                base = judges.evaluate(samples, ["faithfulness", "state"], known, model, system, judge)
+                base = judges.scored(samples, ["faithfulness", "state"], got)
                 out = out.unionByName(composite_results(samples, base, told).select("sample_index", "metric_name", "score", "reason"))
     return out.where((F.col("score") >= 0) & (F.col("score") <= 1))
 
 
-def disclosure_results(samples: DataFrame, cache: DataFrame, judge: Callable[[str, str], str] | None, model: str, system: str = "") -> DataFrame:
+def disclosure_results(samples: DataFrame, cache: DataFrame, judge: Callable[[str, str], str] | None, model: str, system: str = "", **options: float) -> DataFrame:
     """The two judge calls of a sample side by side; a failed call scores 0 with its error."""
-    pair = ["no_immediate_disclosure", "helpfulness"]
-    got = judges.lookup(judges.requests(samples, pair, model, system), cache)
-    if judge is not None:
-        fresh = judges.ask(got.where("text is null"), judge).select("key", F.col("text").alias("new"))
-        got = got.join(fresh, "key", "left").withColumn("text", F.coalesce("text", "new"))
-    wide = got.groupBy("sample_index").pivot("metric", pair).agg(F.first("text"))
+    got, _ = judges.judgements(judges.requests(samples, list(PARTS["no_immediate_disclosure"]), model, system), cache, judge, **options)
+    return told_results(samples, got)
+
+
+def told_results(samples: DataFrame, got: DataFrame) -> DataFrame:
+    """``disclosure_results`` from judgements that are at hand."""
+    pair = list(PARTS["no_immediate_disclosure"])
+    wide = got.where(F.col("metric").isin(pair)).groupBy("sample_index").pivot("metric", pair).agg(F.first("text"))
     d = judges.disclosure(F.col(pair[0]), F.col(pair[1]))
     scored = wide.select("sample_index", F.lit(pair[0]).alias("metric_name"), d["score"].alias("score"), d["reason"].alias("reason"))
     empty = samples.where("answer = ''").select("sample_index", F.lit(pair[0]).alias("metric_name"), F.lit(0.0).alias("score"), F.lit(judges.NO_ANSWER).alias("reason"))

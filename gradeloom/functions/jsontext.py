@@ -9,14 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.functions.text import strip_fence
+from gradeloom.functions.text import let, strip_fence
+
+
+def balanced(c: Column) -> Column:
+    """The text from its first { to the brace that closes it; null where there is none."""
+    at = F.instr(c, "{")
+    pieces = F.regexp_extract_all(F.substr(c, F.greatest(at, F.lit(1))), F.lit(r"[^{}]*[{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(x: Column, piece: Column) -> Column:
+        depth = x["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
+        return F.when(x["done"], x).otherwise(F.struct(depth.alias("depth"), (x["size"] + F.length(piece)).alias("size"), (depth == 0).alias("done")))
+
+    got = F.aggregate(pieces, start, step)
+    return let(got, lambda x: F.when((at > 0) & x["done"], F.substr(c, F.greatest(at, F.lit(1)), x["size"])))
 
 
 def payload(c: Column) -> Column:
-    """The JSON of a text as VARIANT: the whole text without its fence, else from the first { to the last }; else null."""
+    """The JSON of a text as VARIANT: the whole text without its fence, else its first balanced {...}; else null."""
     bare = strip_fence(c)
-    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(F.nullif(bare, F.lit(""))), F.try_parse_json(F.nullif(inner, F.lit(""))))
+    return F.coalesce(F.try_parse_json(F.nullif(bare, F.lit(""))), F.try_parse_json(balanced(bare)))
 
 
 def find_json(text: str | None) -> str | None:

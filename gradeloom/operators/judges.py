@@ -8,6 +8,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,48 +134,73 @@ def lookup(asked: DataFrame, cache: DataFrame, now: float | None = None, ttl: fl
     return asked.join(once, asked["key"] == once["cache_key"], "left").drop("cache_key")
 
 
+ANSWER = "key string, text string, error string, input_tokens long, output_tokens long, latency_ms double"
+
+
 def ask(misses: DataFrame, judge: Callable[[str, str], str], attempts: int = 5, wait: float = 1.0, at_once: int = 10) -> DataFrame:
-    """(key, text, error) of distinct requests, each sent to ``judge(system, prompt)`` with retries and growing waits.
+    """ANSWER rows of distinct requests, each sent to ``judge(system, prompt)`` with retries and growing waits.
 
-    ``at_once`` bounds the number of tasks and with it the calls in flight. The answers are written to the checkpoint
-    folder at once, so that no later action asks again.
+    ``at_once`` bounds the calls in flight: they are shared out over as many tasks as the cluster runs side by side, and
+    a task with several sends them from threads. The answers are written to the checkpoint folder at once, so that no
+    later action asks again. Token counts are those of the reply, where it has them.
     """
+    tasks = max(1, min(at_once, misses.sparkSession.sparkContext.defaultParallelism))
+    threads = -(-at_once // tasks)
+
+    def call(system: str, prompt: str) -> tuple:
+        for k in range(max(1, attempts)):
+            began = time.monotonic()
+            try:
+                text = judge(system, prompt)
+                return str(text), None, getattr(text, "input_tokens", None), getattr(text, "output_tokens", None), (time.monotonic() - began) * 1000
+            except Exception as e:  # any failure of the service is retried, then reported
+                error = str(e) or repr(e)
+                if k + 1 < attempts:
+                    time.sleep(min(30.0, wait * 2**k) * random.random())
+        return None, error, None, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                text = error = None
-                for k in range(attempts):
-                    try:
-                        text, error = judge(r.system_prompt, r.prompt), None
-                        break
-                    except Exception as e:  # any failure of the service is retried, then reported
-                        error = str(e) or repr(e)
-                        if k + 1 < attempts:
-                            time.sleep(min(30.0, wait * 2**k) * random.random())
-                out.append((r.key, text, error))
-            yield pd.DataFrame(out, columns=["key", "text", "error"])
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                got = list(pool.map(call, b["system_prompt"], b["prompt"]))
+                out = pd.DataFrame(got, columns=["text", "error", "input_tokens", "output_tokens", "latency_ms"])
+                out.insert(0, "key", b["key"].to_numpy())
+                yield out.astype({"input_tokens": "Int64", "output_tokens": "Int64", "latency_ms": "Float64"})
 
     once = misses.select("key", "system_prompt", "prompt").dropDuplicates(["key"])
-    return cut(once.repartition(at_once, "key").mapInPandas(run, "key string, text string, error string"))
+    return cut(once.repartition(tasks, "key").mapInPandas(run, ANSWER))
+
 
+def judgements(asked: DataFrame, cache: DataFrame, judge: Callable[[str, str], str] | None = None, **options: float) -> tuple[DataFrame, DataFrame | None]:
+    """``requests`` with ``text`` and ``error``, and the fresh answers (None without a judge). A prompt that several
+    metrics or samples share is sent once."""
+    got = lookup(asked, cache).withColumn("error", F.lit(None).cast("string"))
+    if judge is None:
+        return got, None
+    got = cut(got)
+    fresh = ask(got.where("text is null"), judge, **options)
+    new = fresh.select("key", F.col("text").alias("__text"), F.col("error").alias("__error"))
+    return got.join(new, "key", "left").withColumn("text", F.coalesce("text", "__text")).withColumn("error", F.coalesce("__error", "error")).drop("__text", "__error"), fresh
 
-def evaluate(samples: DataFrame, metrics: list[str], cache: DataFrame, model: str, system: str = "", judge: Callable[[str, str], str] | None = None) -> DataFrame:
-    """Long results (sample_index, metric_name, score, reason) of judge metrics.
 
-    Cached judgements are used as they are; misses go to ``judge``; without one they score 0 with an error reason.
+def scored(samples: DataFrame, metrics: list[str], got: DataFrame) -> DataFrame:
+    """Long results (sample_index, metric_name, score, reason) of judge metrics from ``judgements``.
+
+    Without a judgement a row scores 0 with the error as its reason.
     """
-    got = lookup(requests(samples, metrics, model, system), cache)
-    if judge is not None:
-        fresh = ask(got.where("text is null"), judge)
-        got = got.join(fresh.select("key", F.col("text").alias("new")), "key", "left").withColumn("text", F.coalesce("text", "new"))
-    scored = F.lit(None).cast("struct<score:double,reason:string>")
+    found = F.lit(None).cast("struct<score:double,reason:string>")
+    failed = F.struct(F.lit(0.0).alias("score"), F.concat(F.lit("Failed to evaluate: "), F.col("error")).alias("reason"))
     for m in metrics:
         if m in SCORES:
             s = SCORES[m](F.col("text"))
-            scored = F.when(F.col("metric") == m, F.struct(s["score"].alias("score"), s["reason"].alias("reason"))).otherwise(scored)
-    judged = got.select("sample_index", F.col("metric").alias("metric_name"), scored.alias("s")).where("s is not null").select("sample_index", "metric_name", "s.score", "s.reason")
+            own = F.when(F.col("text").isNull() & F.col("error").isNotNull(), failed).otherwise(F.struct(s["score"].alias("score"), s["reason"].alias("reason")))
+            found = F.when(F.col("metric") == m, own).otherwise(found)
+    judged = got.select("sample_index", F.col("metric").alias("metric_name"), found.alias("s")).where("s is not null").select("sample_index", "metric_name", "s.score", "s.reason")
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), guard(m).alias("g")) for m in metrics if m in SCORES]))
     fixed = samples.select("sample_index", rows.alias("r")).where("r.g is not null").select("sample_index", F.col("r.m").alias("metric_name"), F.lit(0.0).alias("score"), F.col("r.g").alias("reason"))
     return judged.unionByName(fixed)
+
+
+def evaluate(samples: DataFrame, metrics: list[str], cache: DataFrame, model: str, system: str = "", judge: Callable[[str, str], str] | None = None, **options: float) -> DataFrame:
+    """``scored`` of the metrics' own requests: cached judgements are used as they are; misses go to ``judge``."""
+    return scored(samples, metrics, judgements(requests(samples, metrics, model, system), cache, judge, **options)[0])

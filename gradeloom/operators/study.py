@@ -12,6 +12,7 @@ from gradeloom import evaluator
 from gradeloom.operators import ablation, judges
 from gradeloom.operators import results as R
 from gradeloom.operators import statistics as S
+from gradeloom.operators.ordering import running_total
 from gradeloom.session import cut
 from gradeloom.sources.loaders import number_rows
 
@@ -23,9 +24,10 @@ LABELS = ("Yes", "To some extent", "No")
 
 
 def sample_slice(samples: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows offset..offset+limit in order of sample_index."""
-    got = samples.orderBy("sample_index").offset(offset)
-    return got if limit is None else got.limit(limit)
+    """Rows offset..offset+limit in order of sample_index, each numbered within its range: no task holds all rows."""
+    got = running_total(samples, [], ["sample_index"], F.lit(1)).where(F.col("__before") >= offset)
+    got = got if limit is None else got.where(F.col("__before") < offset + limit)
+    return got.drop("__before", "__total")
 
 
 def study_samples(annotated: DataFrame) -> DataFrame:
@@ -42,13 +44,15 @@ def score_frame(composite: DataFrame, samples: DataFrame, keep: Sequence[str]) -
     return parts.join(beside, "sample_index")
 
 
-def run(annotated: DataFrame, judge: Callable[[str, str], str] | None, model: str, cache: DataFrame, keep: Sequence[str], earlier: DataFrame | None = None, offset: int = 0, limit: int | None = None, gate: float | None = GATE) -> DataFrame:
+def run(annotated: DataFrame, judge: Callable[[str, str], str] | None, model: str, cache: DataFrame, keep: Sequence[str], earlier: DataFrame | None = None, offset: int = 0, limit: int | None = None, gate: float | None = GATE, **options: float) -> DataFrame:
     """The score frame of a study. ``earlier`` frames are continued: only samples without a row are scored, and new rows
     replace old ones. ``gate=None`` leaves out faithfulness."""
     s = sample_slice(study_samples(annotated), offset, limit)
     todo = s if earlier is None else R.remaining(s, earlier)
-    told = evaluator.disclosure_results(todo, cache, judge, model)
-    base = judges.evaluate(todo, ["state"] if gate is None else ["faithfulness", "state"], cache, model, judge=judge)
+    parts = [p for p in evaluator.PARTS["pes"] if gate is not None or p != "faithfulness"]
+    got, _ = judges.judgements(judges.requests(todo, parts, model), cache, judge, **options)
+    told = evaluator.told_results(todo, got)
+    base = judges.scored(todo, ["state"] if gate is None else ["faithfulness", "state"], got)
     new = score_frame(evaluator.composite_results(todo, base, told, gate), todo, keep)
     return cut(new if earlier is None else R.upsert(earlier, new, ["sample_index"]))
 

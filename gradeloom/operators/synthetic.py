@@ -55,15 +55,16 @@ def accepted(question: Column, answer: Column) -> Column:
     return F.coalesce((F.length(q) >= 10) & (F.length(a) >= 2) & (F.lower(q) != F.lower(a)), F.lit(False))
 
 
-def generate(documents: DataFrame, judge: Callable[[str, str], str], types: Sequence[str] = ("factual",), difficulty: str = "medium", per_chunk: int = 1, seed: int = 0) -> DataFrame:
+def generate(documents: DataFrame, judge: Callable[[str, str], str], types: Sequence[str] = ("factual",), difficulty: str = "medium", per_chunk: int = 1, seed: int = 0, answerer: Callable[[str, str], str] | None = None, **options: float) -> DataFrame:
     """Samples (question, answer, ground_truth, contexts, metadata) from chunks (chunk) of documents.
 
+    ``answerer`` (default: the judge) answers in plain text; ``options`` go to ``judges.ask``.
     Pairs that are too short or repeat themselves are dropped; of equal questions (without case) the first chunk's stays.
     """
     rows = number_rows(documents.select("chunk"), "chunk_id")
     p = plan(rows, types, difficulty, per_chunk, seed)
     asked = p.select("*", F.lit(SYSTEM).alias("system_prompt"), K.cache_key(F.lit(""), F.lit(SYSTEM), F.concat("prompt", F.col("draw").cast("string"))).alias("key"))
-    got = asked.join(judges.ask(asked, judge).select("key", "text"), "key")
+    got = asked.join(judges.ask(asked, judge, **options).select("key", "text"), "key")
     v = payload(F.col("text"))
     qa = got.select("*", F.trim(F.try_variant_get(v, "$.question", "string")).alias("q"), F.trim(F.try_variant_get(v, "$.answer", "string")).alias("a")).where(accepted(F.col("q"), F.col("a")))
     first = qa.groupBy(F.lower("q").alias("k")).agg(F.min_by(F.struct(*qa.columns), F.struct("chunk_id", "draw")).alias("r")).select("r.*")
@@ -71,7 +72,7 @@ def generate(documents: DataFrame, judge: Callable[[str, str], str], types: Sequ
     prompt = F.concat(F.lit("Context:\n"), F.col("chunk"), F.lit("\n\nQuestion:\n"), F.col("q"), F.lit("\n\nAnswer:"))
     again = first.drop("prompt", "system_prompt", "text", "key").select("*", prompt.alias("prompt"), system.alias("system_prompt"))
     again = again.withColumn("key", K.cache_key(F.lit(""), F.col("system_prompt"), F.col("prompt")))
-    done = again.join(judges.ask(again, judge).select("key", "text"), "key", "left")
+    done = again.join(judges.ask(again, answerer or judge, **options).select("key", "text"), "key", "left")
     others = rows.select(F.col("chunk_id").alias("distractor_id"), F.col("chunk").alias("other"))
     done = done.join(others, "distractor_id", "left")
     contexts = F.when(F.col("other").isNull(), F.array("chunk")).when(F.col("swap"), F.array("other", "chunk")).otherwise(F.array("chunk", "other"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions import scoring as K
+
 
 def cache_rows(cache: DataFrame) -> DataFrame:
     """(cache_key, text, tokens, model, provider, cost, latency, cached_at); entries without a response are left out."""
@@ -35,24 +37,43 @@ def cache_stats(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return hit.crossJoin(F.broadcast(n)).select("hits", "misses", F.coalesce(F.try_divide(F.col("hits"), total), F.lit(0.0)).alias("hit_rate"), "entries")  # one row each
 
 
+def priced(answers: DataFrame, model: str, provider: str) -> DataFrame:
+    """(provider, model, input_tokens, output_tokens, cost) of answered calls; unknown counts are 0."""
+    tokens = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]
+    x = answers.where(F.col("text").isNotNull()).select(F.lit(provider).alias("provider"), F.lit(model).alias("model"), *tokens)
+    return x.withColumn("cost", K.cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("provider")))
+
+
+def totals(rows: DataFrame) -> dict[str, float]:
+    """The totals of ``priced`` rows under the names that reports give them."""
+    r = rows.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0)), F.coalesce(F.sum("cost"), F.lit(0.0))).first()
+    return {"total_input_tokens": int(r[0]), "total_output_tokens": int(r[1]), "total_estimated_cost": round(float(r[2]), 6)}
+
+
 def put(answers: DataFrame, path: str, now: float) -> None:
     """Append answered requests (key, text) to the cache table at ``path``; failed ones are not kept."""
     rows = answers.where(F.col("text").isNotNull()).select(F.col("key").alias("cache_key"), "text", F.lit(now).alias("cached_at"))
     rows.write.mode("append").parquet(path)
 
 
+CACHE = "cache_key string, text string, cached_at double"
+
+
+def empty(spark) -> DataFrame:  # type: ignore[no-untyped-def]
+    return spark.createDataFrame([], CACHE)
+
+
 def load(spark, path: str) -> DataFrame:  # type: ignore[no-untyped-def]
     """The latest entry per key; rows without key or text (a broken write) are left out. A missing table is empty."""
-    kind = "cache_key string, text string, cached_at double"
     try:
-        got = spark.read.schema(kind).parquet(path)
+        got = spark.read.schema(CACHE).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], kind)
+        return empty(spark)
     good = got.where("cache_key is not null and text is not null")
     return good.groupBy("cache_key").agg(F.max_by("text", "cached_at").alias("text"), F.max("cached_at").alias("cached_at"))
 
 
 def clear(spark, path: str) -> None:  # type: ignore[no-untyped-def]
-    spark.createDataFrame([], "cache_key string, text string, cached_at double").write.mode("overwrite").parquet(path)
+    empty(spark).write.mode("overwrite").parquet(path)

@@ -15,6 +15,19 @@ from gradeloom.functions.jsontext import find_json
 Judge = Callable[[str, str], str]
 
 
+class Reply(str):
+    """A judge's text with the tokens that the call took, as far as the service tells them."""
+
+    input_tokens: int | None = None
+    output_tokens: int | None = None
+
+    @classmethod
+    def of(cls, text: str, input_tokens: int | None = None, output_tokens: int | None = None) -> Reply:
+        r = cls(text)
+        r.input_tokens, r.output_tokens = input_tokens, output_tokens
+        return r
+
+
 def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=timeout) as r:
@@ -27,19 +40,24 @@ def _messages(system: str, prompt: str) -> list[dict]:
 
 def _chat(c: LLMConfig, url: str, headers: dict[str, str], tokens: str = "max_tokens", least: int = 0) -> Judge:
     def judge(system: str, prompt: str) -> str:
-        body = {"model": c.model, "messages": _messages(system, prompt), tokens: max(c.max_tokens, least)}
-        if not least:
-            body["temperature"] = c.temperature
-        choice = _post(url, body, headers, c.timeout)["choices"][0]
+        body: dict = {"model": c.model, "messages": _messages(system, prompt), tokens: max(c.max_tokens, least)}
+        body |= {"reasoning_effort": c.reasoning_effort} if least else {"temperature": c.temperature}
+        got = _post(url, body, headers, c.timeout)
+        choice, used = got["choices"][0], got.get("usage") or {}
         if least and (choice.get("finish_reason") == "length" or not choice["message"].get("content")):
             raise ValueError("the response is empty or was cut")
-        return choice["message"]["content"]
+        return Reply.of(choice["message"]["content"], used.get("prompt_tokens"), used.get("completion_tokens"))
 
     return judge
 
 
+def _reasons(model: str) -> bool:
+    return model.startswith(("o1", "o3", "o4", "gpt-5"))
+
+
 def openai(c: LLMConfig) -> Judge:
-    return _chat(c, (c.url() or "https://api.openai.com") + "/v1/chat/completions", {"Authorization": f"Bearer {c.key()}"})
+    more = ("max_completion_tokens", REASONING_TOKENS) if _reasons(c.model) else ()
+    return _chat(c, (c.url() or "https://api.openai.com") + "/v1/chat/completions", {"Authorization": f"Bearer {c.key()}"}, *more)
 
 
 def vllm(c: LLMConfig) -> Judge:
@@ -50,10 +68,10 @@ def vllm(c: LLMConfig) -> Judge:
 REASONING_TOKENS = 32768
 
 
-def azure(c: LLMConfig, version: str = "2024-12-01-preview") -> Judge:
-    url = f"{c.url().rstrip('/')}/openai/deployments/{c.model}/chat/completions?api-version={version}"
-    reasoning = c.model.startswith(("o1", "o3", "o4", "gpt-5"))
-    return _chat(c, url, {"api-key": c.key()}, "max_completion_tokens" if reasoning else "max_tokens", REASONING_TOKENS if reasoning else 0)
+def azure(c: LLMConfig) -> Judge:
+    url = f"{c.url().rstrip('/')}/openai/deployments/{c.model}/chat/completions?api-version={c.api_version}"
+    more = ("max_completion_tokens", REASONING_TOKENS) if _reasons(c.model) else ()
+    return _chat(c, url, {"api-key": c.key()}, *more)
 
 
 def anthropic(c: LLMConfig) -> Judge:
@@ -64,7 +82,8 @@ def anthropic(c: LLMConfig) -> Judge:
         if system:
             body["system"] = system
         got = _post((c.url() or "https://api.anthropic.com") + "/v1/messages", body, {"x-api-key": c.key(), "anthropic-version": "2023-06-01"}, c.timeout)
-        return "{" + "".join(p.get("text", "") for p in got["content"])
+        used = got.get("usage") or {}
+        return Reply.of("{" + "".join(p.get("text", "") for p in got["content"]), used.get("input_tokens"), used.get("output_tokens"))
 
     return judge
 
@@ -76,7 +95,8 @@ def google(c: LLMConfig) -> Judge:
         if system:
             body["systemInstruction"] = {"parts": [{"text": system}]}
         got = _post(url, body, {"x-goog-api-key": c.key()}, c.timeout)
-        return "".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"])
+        used = got.get("usageMetadata") or {}
+        return Reply.of("".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"]), used.get("promptTokenCount"), used.get("candidatesTokenCount"))
 
     return judge
 
@@ -84,7 +104,8 @@ def google(c: LLMConfig) -> Judge:
 def ollama(c: LLMConfig) -> Judge:
     def judge(system: str, prompt: str) -> str:
         body = {"model": c.model, "messages": _messages(system, prompt), "stream": False, "format": "json", "options": {"temperature": c.temperature, "num_predict": c.max_tokens}}
-        return _post(c.url() + "/api/chat", body, {}, c.timeout)["message"]["content"]
+        got = _post(c.url() + "/api/chat", body, {}, c.timeout)
+        return Reply.of(got["message"]["content"], got.get("prompt_eval_count"), got.get("eval_count"))
 
     return judge
 
@@ -102,9 +123,10 @@ def json_only(judge: Judge) -> Judge:
     """A judge whose replies must hold JSON; others count as failures and are retried."""
 
     def checked(system: str, prompt: str) -> str:
-        text = find_json(judge(system, prompt))
+        reply = judge(system, prompt)
+        text = find_json(reply)
         if text is None:
             raise ValueError("judge returned no JSON")
-        return text
+        return Reply.of(text, getattr(reply, "input_tokens", None), getattr(reply, "output_tokens", None))
 
     return checked

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+import logging
+import pkgutil
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -9,14 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Metric:
-    """``needs``: standalone, embedding, classifier or judge."""
+    """``needs``: standalone, embedding, classifier or judge; ``takes``: what its column function can be given."""
 
     name: str
     needs: str
-    column: Callable[[], Column] | None
+    column: Callable[..., Column] | None
+    takes: tuple[str, ...] = ()
 
 
 def _key(name: str) -> str:
@@ -27,9 +33,32 @@ class Registry:
     def __init__(self) -> None:
         self._known: dict[str, Metric] = {}
 
-    def register(self, name: str, column: Callable[[], Column] | None, needs: str = "standalone") -> None:
+    def register(self, name: str, column: Callable[..., Column] | None, needs: str = "standalone", takes: tuple[str, ...] = ()) -> None:
         """A later registration of a name replaces an earlier one."""
-        self._known[_key(name)] = Metric(name, needs, column)
+        self._known[_key(name)] = Metric(name, needs, column, takes)
+
+    def create(self, name: str, **injected: object) -> Column:
+        """The metric's column, with those of the injected encoders, scorers and the like that it takes."""
+        m = self.get(name)
+        if m.column is None:
+            raise ValueError(f"{m.name} is scored by a judge, not by a column")
+        return m.column(**{k: v for k, v in injected.items() if k in m.takes})
+
+    def discover(self, package: str) -> list[str]:
+        """Modules of ``package`` that were given the registry: each with a function ``install_metrics(registry)``.
+
+        A module that fails to load is left out with a warning.
+        """
+        found = []
+        for m in pkgutil.iter_modules(importlib.import_module(package).__path__, package + "."):
+            try:
+                module = importlib.import_module(m.name)
+                if hasattr(module, "install_metrics"):
+                    module.install_metrics(self)
+                    found.append(m.name)
+            except Exception:  # one broken module must not hide the others
+                log.warning("metrics of %s could not be loaded", m.name, exc_info=True)
+        return found
 
     def get(self, name: str) -> Metric:
         m = self._known.get(_key(name))
@@ -55,10 +84,10 @@ def install(r: Registry) -> None:
         r.register(f"bleu-{n}", lambda n=n: lexical.bleu(a(), t(), n))
     for v in ("rouge1", "rouge2", "rougeL"):
         r.register(v, lambda v=v: lexical.rouge(a(), t(), v))
-    r.register("semantic_similarity", lambda: vectors.semantic_similarity(a(), t()), "embedding")
-    r.register("bert_score", lambda: vectors.bert_score(a(), t()), "embedding")
-    r.register("uptake", lambda: tutoring.uptake(F.col("question"), a(), F.col("contexts")), "classifier")
-    r.register("linguistic_adaptation", lambda: tutoring.linguistic_adaptation(a()), "classifier")
+    r.register("semantic_similarity", lambda **k: vectors.semantic_similarity(a(), t(), **k), "embedding", ("encoder",))
+    r.register("bert_score", lambda **k: vectors.bert_score(a(), t(), **k), "embedding", ("encoder",))
+    r.register("uptake", lambda **k: tutoring.uptake(F.col("question"), a(), F.col("contexts"), **k), "classifier", ("scorer",))
+    r.register("linguistic_adaptation", lambda **k: tutoring.linguistic_adaptation(a(), **k), "classifier", ("sentiment",))
     for m in (*judges.SCORES, "no_immediate_disclosure", "pes"):
         r.register(m, None, "judge")
 

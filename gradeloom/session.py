@@ -25,16 +25,15 @@ def get_spark(app: str = "gradeloom", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is set a temporary folder serves a session of one
+    machine (tests); on a cluster it is an error, since no other machine could read it."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(set_dir)
-        return set_dir
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gradeloom-ckpt-"))
-    return sc.getCheckpointDir()
+        if not set_dir and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="gradeloom-ckpt-"))
+    return set_dir or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 import logging
+import os
+import uuid
 from collections.abc import Mapping
+from itertools import islice
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.session import ensure_checkpoint_dir
+
 log = logging.getLogger(__name__)
 
 FORMATS = ("json", "jsonl", "csv", "hf")
 COLUMNS = ("question", "answer", "ground_truth", "contexts", "metadata")
 
 
-def load_dataset(spark: SparkSession, path: str, format: str | None = None, column_mapping: Mapping[str, str] | None = None) -> DataFrame:
+def load_dataset(spark: SparkSession, path: str, format: str | None = None, column_mapping: Mapping[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """Samples of a file or folder. The format follows the suffix (.json, .jsonl, .csv; anything else is a hub name).
 
     An unknown format is a ValueError. Unknown columns are ignored, missing texts become empty strings and missing
     contexts an empty array; a source without ``question`` is a ValueError. ``sample_index`` numbers the rows in file
-    order. An empty file gives no rows.
+    order; ``limit`` keeps the first ones. An empty file gives no rows.
     """
     kind = format or {".json": "json", ".jsonl": "jsonl", ".csv": "csv"}.get(PurePosixPath(path).suffix.lower(), "hf")
     if kind not in FORMATS:
         raise ValueError(f"unknown dataset format {kind!r}")
     df = {"json": read_json_array, "jsonl": read_json_lines, "csv": read_csv, "hf": read_hub}[kind](spark, path)
-    df = map_columns(df, column_mapping or {})
-    return canonical(df)
+    df = canonical(map_columns(df, column_mapping or {}))
+    return df if limit is None else df.where(F.col("sample_index") < limit)
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -56,13 +62,30 @@ def parse_contexts(c: Column) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(c, "array<string>"), F.array(c)))
 
 
-def read_hub(spark: SparkSession, name: str) -> DataFrame:
-    """A hub dataset's train split; needs the optional ``datasets`` package and a network."""
+#: Rows of a hub dataset that are held in memory at once.
+HUB_ROWS = 10_000
+
+
+def read_hub(spark: SparkSession, name: str, split: str = "train", folder: str | None = None) -> DataFrame:
+    """A split of a hub dataset; needs the optional ``datasets`` package and a network.
+
+    The rows are streamed in Parquet files of HUB_ROWS to a folder that all executors see (by default one below the
+    checkpoint folder) and scanned from there.
+    """
     try:
         import datasets
     except ImportError as e:
         raise RuntimeError("reading a hub dataset needs the optional package 'datasets'") from e
-    return spark.createDataFrame(datasets.load_dataset(name, split="train").to_pandas())
+    rows = iter(datasets.load_dataset(name, split=split, streaming=True))
+    target = folder or f"{ensure_checkpoint_dir(spark)}/hub-{uuid.uuid4().hex}"
+    schema = None
+    while batch := list(islice(rows, HUB_ROWS)):
+        part = spark.createDataFrame(pd.DataFrame(batch), schema)
+        schema = schema or part.schema
+        part.coalesce(1).write.mode("append").parquet(target)
+    if schema is None:
+        raise ValueError(f"{name} has no rows in split {split!r}")
+    return spark.read.parquet(target)
 
 
 def map_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -138,7 +161,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows of a saved JSON report (with or without the outer ``report``)."""
+    """Result rows (with ``seq``) of a saved JSON report: a document with ``results``, perhaps below ``report``, or a
+    folder that ``sinks.write_json`` wrote. Anything else is a ValueError."""
+    if os.path.isdir(path) and os.path.isdir(os.path.join(path, "results")):
+        return number_rows(spark.read.json(os.path.join(path, "results")), "seq")
     df = spark.read.option("multiLine", True).json(path)
-    root = "report.results" if "report" in df.columns else "results"
+    if "report" in df.columns and isinstance(df.schema["report"].dataType, T.StructType) and "results" in df.schema["report"].dataType.names:
+        root = "report.results"
+    elif "results" in df.columns:
+        root = "results"
+    else:
+        raise ValueError(f"{path} is no report: it has no results")
+    if not isinstance(df.select(root).schema[0].dataType, T.ArrayType) or not isinstance(df.select(root).schema[0].dataType.elementType, T.StructType):
+        return spark.createDataFrame([], "seq int, metric_name string, score double, sample_index long, reason string")
     return df.select(F.posexplode(root).alias("seq", "r")).select("seq", "r.*")

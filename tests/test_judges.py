@@ -97,6 +97,48 @@ def test_evaluation_with_cache_judge_and_failures(spark):
         REGISTRY.get("nope")
 
 
+def test_prompts_are_sent_once_and_answers_are_kept(spark, tmp_path):
+    from gradeloom.providers import Reply
+
+    s = spark.createDataFrame([(i, "How do I start?", "Look at the sign.", "", ["c"]) for i in range(4)], SAMPLES)
+    log = tmp_path / "calls"
+
+    def judge(system, prompt):
+        with open(log, "a") as f:
+            f.write("x")
+        if "List every claim" in prompt:
+            return Reply.of('Well: {"claims": [{"supported": true}]} and {"claims": []}', 10, 5)
+        return Reply.of('{"state": "A", "confidence": 0.5, "score": 4, "reason": "r"}', 10, 5)
+
+    told = []
+    args = dict(judge=judge, model="gpt-4o", cache_path=str(tmp_path / "cache"), on_answers=lambda a: told.append(usage.totals(usage.priced(a, "gpt-4o", "openai"))), at_once=3)
+    one = evaluator.evaluate(s, ["pes", "faithfulness", "state", "no_immediate_disclosure"], **args)
+    rows = {(r["sample_index"], r["metric_name"]): r["score"] for r in one.collect()}
+    assert len(rows) == 16 and rows[0, "faithfulness"] == 1.0 and rows[0, "state"] == 0.5
+    # Four equal samples, four prompts; nothing is asked for two metrics' sake or again by a later action.
+    assert len(log.read_text()) == 4
+    assert told == [{"total_input_tokens": 40, "total_output_tokens": 20, "total_estimated_cost": 0.0003}]
+    two = evaluator.evaluate(s, ["pes"], **args)
+    assert two.count() == 4 and len(log.read_text()) == 4 and told[1]["total_input_tokens"] == 0
+    expired = evaluator.evaluate(s, ["state"], **(args | {"ttl": -1.0}))
+    assert expired.count() == 4 and len(log.read_text()) == 5
+
+
+def test_first_balanced_object(spark):
+    texts = ['{"a": 1}', 'x {"a": {"b": 2}} y {"a": 3}', "```json\n{\"a\": 4}\n```", "no", "{ open", None, "} {}"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.to_json(jsontext.payload(F.col("t"))).alias("p")).collect()
+    assert [r["p"] for r in got] == ['{"a":1}', '{"a":{"b":2}}', '{"a":4}', None, None, None, "{}"]
+
+
+def test_roots_of_deep_chains_and_cycles(spark):
+    n = 10_000
+    rows = [(f"r{i}", f"r{i - 1}" if i else None) for i in range(n)] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c4", "c1"), ("lost", "nowhere"), ("l2", "lost"), (None, "r1")]
+    rows += [(f"s{i}", "big") for i in range(3000)] + [("big", None)]
+    got = {r["run_id"]: r["root_id"] for r in capture.roots(spark.createDataFrame(rows, "run_id string, parent_run_id string")).collect()}
+    assert got == {f"r{i}": "r0" for i in range(n)} | {f"s{i}": "big" for i in range(3000)} | {"big": "big"}
+    assert capture.roots(spark.createDataFrame([], "run_id string, parent_run_id string")).count() == 0
+
+
 def test_batches_resume(spark, tmp_path):
     s = spark.createDataFrame([(i, f"q{i}", "a", "a", ["c"]) for i in range(5)], SAMPLES)
     seen = []

@@ -96,6 +96,95 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j" / "results")).count() == 3
 
 
+def test_reports_come_back(spark, tmp_path):
+    r = spark.createDataFrame([(i, "faithfulness", i / 40, f"r{i} <i>") for i in range(25)], "sample_index long, metric_name string, score double, reason string")
+    rows = sorted(map(tuple, r.collect()))
+    sinks.write_report(r, str(tmp_path / "report.json"), {"a": 1}, {"total_input_tokens": 7})
+    doc = json.load(open(tmp_path / "report.json"))
+    assert doc["report"]["summary"] == {"faithfulness": 0.3, "total_input_tokens": 7} and len(doc["report"]["results"]) == 25
+    sinks.write_json(r, str(tmp_path / "folder"))
+    for saved in ("report.json", "folder"):
+        got = loaders.read_report(spark, str(tmp_path / saved))
+        assert sorted(map(tuple, got.select("sample_index", "metric_name", "score", "reason").collect())) == rows
+        assert sorted(x["seq"] for x in got.collect()) == list(range(25))
+    (tmp_path / "other.json").write_text('{"x": 1}')
+    with pytest.raises(ValueError):
+        loaders.read_report(spark, str(tmp_path / "other.json"))
+    sinks.write_report(r.where("false"), str(tmp_path / "none.json"))
+    assert loaders.read_report(spark, str(tmp_path / "none.json")).count() == 0
+    assert sinks.write_html(r, str(tmp_path / "report.html"), page_rows=10) == 3
+    pages = [(tmp_path / n).read_text() for n in ("report.html", "report-2.html", "report-3.html")]
+    assert all(sum(p.count(f"r{i} &lt;i&gt;") for p in pages) == 1 for i in range(25)) and "report-3.html" in pages[0]
+    assert all(f"r{i} &lt;i&gt;" in sinks.to_html(r) for i in range(25))
+    assert cli.main(["report", "-i", str(tmp_path / "report.json"), "-o", str(tmp_path / "again"), "-f", "json,html,csv"]) == 0
+    assert loaders.read_report(spark, str(tmp_path / "again" / "report.json")).count() == 25
+
+
+def test_evaluate_command(spark, tmp_path, capsys):
+    (tmp_path / "d.jsonl").write_text("".join(json.dumps({"question": f"q{i}", "answer": "a b", "ground_truth": "a b"}) + "\n" for i in range(5)))
+    (tmp_path / "c.yaml").write_text("llm:\n  provider: azure\n  api_base: http://x\n  unknown: 1\nmetrics: [exact_match]\nmore: 2\n")
+    assert cli.main(["evaluate", "-d", str(tmp_path / "d.jsonl"), "-c", str(tmp_path / "c.yaml"), "--reasoning-effort", "low", "--max-concurrency", "7", "--dry-run"]) == 0
+    shown = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert shown["llm"]["reasoning_effort"] == "low" and shown["max_concurrency"] == 7 and shown["llm"]["api_base"] == "http://x" and shown["llm"]["max_tokens"] == 1024
+    assert cli.main(["evaluate", "-d", str(tmp_path / "d.jsonl"), "-m", "exact_match,token_f1", "-o", str(tmp_path / "out"), "-f", "json,console"]) == 0
+    assert loaders.read_report(spark, str(tmp_path / "out" / "report.json")).count() == 10
+    assert loaders.load_dataset(spark, str(tmp_path / "d.jsonl"), limit=2).count() == 2
+
+
+def test_study_command(spark, tmp_path, monkeypatch):
+    from gradeloom import providers
+
+    replies = '{"claims": [{"supported": true}], "state": "A", "confidence": 1, "score": 1, "reason": "r"}'
+    monkeypatch.setattr(providers, "get_judge", lambda c: lambda system, prompt: replies)
+    talk = "Teacher: (probing)What could you try first here?|EOM|Student: I do not know.|EOM|Teacher: (telling)The answer to the question is twelve."
+    rows = [{"qid": f"{i}", "question": "q", "ground_truth": "g", "student_incorrect_solution": "s", "self-correctness": "Yes", "conversation": talk} for i in range(4)]
+    (tmp_path / "m.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    out = str(tmp_path / "study")
+    assert cli.main(["study-dialogues", "-d", str(tmp_path / "m.jsonl"), "-o", out, "--limit", "5"]) == 0
+    assert spark.read.parquet(out + "/frame").count() == 5
+    assert cli.main(["study-dialogues", "-d", str(tmp_path / "m.jsonl"), "-o", out, "--append"]) == 0
+    assert spark.read.parquet(out + "/frame").count() == 8
+    assert cli.main(["study-dialogues", "-d", str(tmp_path / "m.jsonl"), "-o", out, "--analyse-only"]) == 0
+    assert json.load(open(out + "/statistics.json"))["spearman"]["move_score"]["n"] == 8
+
+
+def test_registry_discovery_and_injection(spark, tmp_path, monkeypatch):
+    from gradeloom.registry import Registry, install
+    from pyspark.sql import functions as F
+
+    (tmp_path / "mypack").mkdir()
+    (tmp_path / "mypack" / "__init__.py").write_text("")
+    (tmp_path / "mypack" / "good.py").write_text("from pyspark.sql import functions as F\ndef install_metrics(r):\n    r.register('length', lambda: F.struct(F.lit(1.0).alias('score'), F.lit('').alias('reason')))\n")
+    (tmp_path / "mypack" / "bad.py").write_text("raise RuntimeError\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    r = Registry()
+    install(r)
+    assert r.discover("mypack") == ["mypack.good"] and r.get("Length").name == "length"
+    df = spark.createDataFrame([("Why does it work so well?", "a", ["c"])], "question string, answer string, contexts array<string>")
+    assert df.select(r.create("uptake", scorer=lambda a, b: [0.75] * len(a), encoder=None).alias("m")).first()["m"]["score"] == 0.75
+    with pytest.raises(ValueError):
+        r.create("faithfulness")
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from gradeloom import session
+
+    class Conf:
+        def get(self, k, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_csv_of_all_runs(spark, tmp_path, monkeypatch):
     from gradeloom.operators import wide
     from gradeloom.plans import stream_queries

@@ -78,3 +78,37 @@ def test_canonical_results_survive_permutation_and_redelivery(spark):
     one = R.canonical_results(spark.createDataFrame(rows, ddl).withColumn("scored_at", F.to_timestamp("at"))).collect()
     two = R.canonical_results(spark.createDataFrame(rows[::-1], ddl).withColumn("scored_at", F.to_timestamp("at")).repartition(8)).collect()
     assert one == two and len(one) == 1 and one[0]["score"] == 0.5
+
+
+def test_exact_u_of_any_size():
+    from itertools import combinations
+
+    from gradeloom.functions.pvalues import mannwhitney_p
+
+    for n1, n2 in ((3, 4), (2, 6)):
+        us = [sum(a - i for i, a in enumerate(c)) for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            hi = max(u, n1 * n2 - u)
+            assert abs(mannwhitney_p(u, n1, n2, 0) - min(1.0, 2 * sum(x >= hi for x in us) / len(us))) < 1e-12
+    assert abs(mannwhitney_p(100, 8, 61, 0) - mannwhitney_p(8 * 61 - 100, 61, 8, 0)) < 1e-15
+    # Exact and approximate values come near each other as the groups grow; ties use the approximation.
+    assert abs(mannwhitney_p(700, 8, 250, 0) - mannwhitney_p(700, 8, 250, 1e-9)) < 0.01
+
+
+def test_medians_and_slices_over_many_partitions(spark):
+    import random
+    import statistics
+
+    from gradeloom.operators import ordering, study
+    from gradeloom.operators import results as R
+
+    random.seed(3)
+    rows = [(f"m{i % 3}", i, random.choice([0.0, 0.5, round(random.random(), 3)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "metric_name string, sample_index long, score double").repartition(7)
+    for r in R.summary(df).collect():
+        assert r["median"] == statistics.median(x[2] for x in rows if x[0] == r["metric_name"])
+    q = ordering.quantiles(df.where("score is not null"), [], "score", [0.0, 0.25, 1.0]).first()["q"]
+    s = sorted(x[2] for x in rows)
+    assert q[0] == s[0] and q[2] == s[-1] and abs(q[1] - (s[499] + 0.75 * (s[500] - s[499]))) < 1e-12
+    got = sorted(r["sample_index"] for r in study.sample_slice(df, 1990).collect())
+    assert got == list(range(1990, 2000)) and study.sample_slice(df, 10, 5).count() == 5
