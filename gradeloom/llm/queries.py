@@ -109,6 +109,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(read(spark, sf_dir, "documents"))
 
 
+def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the group of those that hold one span: the pairs of ``p9_found`` without expanding copies.
+
+    The group is named by its least document, its size and a number that tells apart groups alike in these.
+    """
+    g = spans.groups(read(spark, sf_dir, "documents"))
+    named = g.groupBy("h", "w").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n_docs"), F.bit_xor(F.xxhash64("doc_id")).alias("group_id"))
+    return g.select("h", "w", "doc_id").join(named, ["h", "w"]).select("group_id", "first_doc", "n_docs", "doc_id")
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read(spark, sf_dir, "documents"))
 
@@ -116,7 +126,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_languages, p2_segments, p3_found, p3_levels, p4_found, p4_sample, p4_report, p5_found, p5_rates, p7_ids, p8_found, p8_leaks, p9_found, p9_shares,
+        p1_found, p2_found, p2_languages, p2_segments, p3_found, p3_levels, p4_found, p4_sample, p4_report, p5_found, p5_rates, p7_ids, p8_found, p8_leaks, p9_found, p9_groups, p9_shares,
     )
 }
 

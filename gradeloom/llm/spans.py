@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.operators.skew import join_spread
 from gradeloom.session import cut
 
 SPAN = 400
@@ -164,7 +165,8 @@ def _long(codes: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
 
 
 def anchor_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(h, around, doc_id, place, lo, hi) of every anchor of every text of at least ``span`` characters."""
+    """(h, around, doc_id, at) of every anchor of every text of at least ``span`` characters; ``at`` holds the first and
+    the last start of its windows (``lo`` and ``hi``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,82 +176,109 @@ def anchor_rows(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 else:
                     t, p, lo, hi, h, y = anchors(codes, first, span)
                 doc = np.array(ids, np.int64)[t]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(y.view(np.int64)), pa.array(doc), pa.array(p.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                    names=["h", "around", "doc_id", "place", "lo", "hi"],
-                )
+                at = (lo.astype(np.int64) << 32) | hi.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(y.view(np.int64)), pa.array(doc), pa.array(at)], names=["h", "around", "doc_id", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, around long, doc_id long, place int, lo int, hi int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, around long, doc_id long, at long")
 
 
-def shared_members(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The anchor rows whose anchor stands in two documents or more.
+def _lo(at: str) -> F.Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def _hi(at: str) -> F.Column:
+    return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
-    The rows are spread by anchor and salt once; both the counting and the selection use that exchange, and a hot
-    anchor's rows stay spread over SALTS partitions.
+
+def _repeated(rows: DataFrame, keys: list[str], member: str, rest: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` spread by keys and salt, and (keys..., salt) of the keys that differing members have.
+
+    Both the counting and the selection that follows use one exchange, and a hot key's rows stay spread over SALTS
+    partitions. A filter would reach one of the two uses only, and a semi-join would move below the exchange: either way
+    it would run twice. So every column is used on both sides, and the keys are selected by an inner join.
     """
-    rows = anchor_rows(docs, span).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    # The join below would add this filter to one of the two uses only, and a semi-join would move below the exchange:
-    # either way it would run twice. ``hot`` has each key once, so an inner join selects the same rows.
-    spread = rows.where("h is not null and salt is not null").repartition(F.col("h"), F.col("salt"))
-    part = spread.groupBy("h", "salt").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.max(F.struct("around", "place", "lo", "hi")).alias("any"))
-    hot = part.groupBy("h").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.collect_set("salt").alias("salts"), F.max("any").alias("any"))
-    hot = hot.where((F.col("d0") < F.col("d1")) & F.col("any").isNotNull()).select("h", F.explode("salts").alias("salt"))
-    return spread.join(hot, ["h", "salt"]).drop("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
+    spread = salted.where(" and ".join(f"{c} is not null" for c in (*keys, "salt"))).repartition(*keys, "salt")
+    used = F.max(F.xxhash64(member, *rest))
+    part = spread.groupBy(*keys, "salt").agg(F.min(member).alias("d0"), F.max(member).alias("d1"), used.alias("used")).where("used is not null").drop("used")
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(salt AS int))")).alias("salts")
+    hot = part.groupBy(*keys).agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"), bits).where("d0 < d1")
+    return spread, hot
+
+
+def _salts(hot: DataFrame, keys: list[str]) -> DataFrame:
+    held = F.expr(f"filter(sequence(0L, {SALTS - 1}L), i -> (shiftright(salts, cast(i AS int)) & 1L) != 0)")
+    return hot.select(*keys, F.explode(held).alias("salt"))
+
+
+def shared_members(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The anchor rows whose anchor stands in two documents or more."""
+    spread, hot = _repeated(anchor_rows(docs, span), ["h"], "doc_id", ["around", "at"])
+    return spread.join(_salts(hot, ["h"]), ["h", "salt"]).drop("salt")
 
 
 def classes(members: DataFrame) -> DataFrame:
-    """(h, around, d0, d1, first occurrence) per class of occurrences with the same surroundings."""
-    return members.groupBy("h", "around").agg(F.min(F.struct("doc_id", "place", "lo", "hi")).alias("one"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+    """(h, around, n, d0, d1, doc_id, at) per class of occurrences with the same surroundings: their number, the least
+    and greatest document, and one occurrence."""
+    one = F.min(F.struct("doc_id", "at"))
+    got = members.groupBy("h", "around").agg(F.count("*").alias("n"), F.max("doc_id").alias("d1"), one.alias("one"))
+    return got.select("h", "around", "n", F.col("one.doc_id").alias("d0"), "d1", F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"))
 
 
 def class_windows(docs: DataFrame, cls: DataFrame, span: int = SPAN, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(h, around, doc_id, start, w): the full windows of one occurrence of each class, where an anchor has several.
+    """(h, around, w[, start, carry...]): the full windows of one occurrence of each class, where an anchor has several.
 
-    carry: whole-number columns of ``cls`` that each window is given too.
+    carry: whole-number columns of ``cls`` that each window is given too, after its start.
     """
-    several = cls.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    reps = cls.join(several, "h", "left_semi").select("h", "around", F.col("one.doc_id").alias("doc_id"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), *[F.col(c).cast("long").alias(c) for c in carry])
-    each = ("h", "around", "lo", "hi", *carry)
+    several = cls.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    ways = cls.groupBy("h").agg(F.count("*").alias("n"))
+    reps = join_spread(cls, several, ["h"], ways, F.col("around"), "inner").select("doc_id", "h", "around", "at", *[F.col(c).cast("long").alias(c) for c in carry])
+    each = ("h", "around", "at", *carry)
     by_doc = reps.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in each])
     joined = docs.where(F.length("text") >= span).select("doc_id", "text").join(by_doc, "doc_id")
+    names = ["h", "around", "w", *(("start", *carry) if carry else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(n).to_pylist() for n in each}
-            where = 0
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                lo, hi = np.array(cols["lo"][where], np.int64), np.array(cols["hi"][where], np.int64)
+            for where, t in enumerate(b.column("text").to_pylist()):
+                at = np.array(cols["at"][where], np.int64)
+                lo, hi = at >> 32, at & 0xFFFFFFFF
                 a0, b0 = int(lo.min()), int(hi.max()) + span
                 hs = Hashes(np.frombuffer(t[a0:b0].encode("utf-32-le", "surrogatepass"), np.uint32))
                 w = hs.all(1, span).view(np.int64)
                 n = hi - lo + 1
                 start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(cols["h"][where], np.int64), n)), pa.array(np.repeat(np.array(cols["around"][where], np.int64), n)), pa.array(np.full(len(start), i, np.int64)), pa.array(start.astype(np.int32)), pa.array(w[start - a0]), *(pa.array(np.repeat(np.array(cols[c][where], np.int64), n)) for c in carry)],
-                    names=["h", "around", "doc_id", "start", "w", *carry],
-                )
-                where += 1
+                wide = lambda c, n=n, where=where: pa.array(np.repeat(np.array(cols[c][where], np.int64), n))
+                out = [wide("h"), wide("around"), pa.array(w[start - a0])]
+                if carry:
+                    out += [pa.array(start), *(wide(c) for c in carry)]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
-    return joined.mapInArrow(run, ", ".join(["h long, around long, doc_id long, start int, w long", *[f"{c} long" for c in carry]]))
 
+def groups(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(h, w, doc_id, n): groups of n documents all of which hold one span; groups of the same documents once.
 
-def _groups(docs: DataFrame, span: int) -> DataFrame:
-    """(g, doc_id): groups of documents all of which hold one span; groups of the same documents once."""
+    h and w name the group. Every two documents that share a span are in some group together: this is the membership
+    form of ``shared_pairs``, which copies don't blow up.
+    """
     members = cut(shared_members(docs, span))
-    cls = classes(members)
-    win = class_windows(docs, cls, span).groupBy("h", "w").agg(
-        F.count("*").alias("n"), F.sum(F.hash("around").cast("long")).alias("s"), F.bit_xor("around").alias("x")
-    )
+    cls = cut(classes(members))
+    spread, hot = _repeated(class_windows(docs, cls, span), ["h", "w"], "around", [])
     # Windows shared by the same classes say the same: one of them stands for all.
-    chosen = win.where("n > 1").groupBy("h", "n", "s", "x").agg(F.min("w").alias("w")).select("h", "w")
-    linked = class_windows(docs, cls, span).select("h", "around", "w").join(chosen, ["h", "w"]).distinct()
+    sign = spread.groupBy("h", "w", "salt").agg(F.count("*").alias("c"), F.sum(F.hash("around").cast("long")).alias("s"), F.bit_xor("around").alias("x"))
+    sign = sign.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.bit_or(F.expr("shiftleft(1L, cast(salt AS int))")).alias("salts"))
+    chosen = sign.where("c > 1").groupBy("h", "c", "s", "x").agg(F.min(F.struct("w", "salts")).alias("one")).select("h", "one.*")
+    linked = spread.join(_salts(chosen, ["h", "w"]), ["h", "w", "salt"]).select("h", "around", "w").distinct()
     own = cls.where("d0 < d1").select("h", "around", F.col("around").alias("w"))
-    rows = linked.unionByName(own).join(members.select("h", "around", "doc_id"), ["h", "around"]).select("h", "w", "doc_id").distinct()
-    rows = cut(rows)
+    rows = join_spread(members.select("h", "around", "doc_id"), linked.unionByName(own), ["h", "around"], cls.select("h", "around", "n"), F.col("doc_id"), "inner")
+    rows = cut(rows.select("h", "w", "doc_id").distinct())
     sets = rows.groupBy("h", "w").agg(F.count("*").alias("n"), F.sum(F.hash("doc_id").cast("long")).alias("s"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
-    one = sets.where("n > 1").groupBy("n", "s", "x").agg(F.min(F.struct("h", "w")).alias("k")).select(F.col("k.h").alias("h"), F.col("k.w").alias("w"), "n")
-    return rows.join(one, ["h", "w"])
+    sets = cut(sets.where("n > 1"))
+    one = sets.groupBy("n", "s", "x").agg(F.min(F.struct("h", "w")).alias("k")).select(F.col("k.h").alias("h"), F.col("k.w").alias("w"), "n")
+    return join_spread(rows, one, ["h", "w"], sets.select("h", "w", F.col("n").alias("__n")), F.col("doc_id"), "inner", "__n")
 
 
 def shared_pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -258,7 +287,7 @@ def shared_pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     Groups of more than BLOCK documents are paired block against block, each pair of blocks under its own key. Null
     and shorter texts hold no span; an empty table gives no rows.
     """
-    g = _groups(docs, span).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    g = groups(docs, span).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     g = g.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     cells = g.select("h", "w", "doc_id", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     cells = cells.select("h", "w", "doc_id", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
@@ -271,20 +300,23 @@ def shared_pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def shared_intervals(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, start, stop): the maximal intervals of each text every ``span``-window of which stands in another text."""
     members = cut(shared_members(docs, span))
-    cls = classes(members)
-    whole = members.join(cls.where("d0 < d1").select("h", "around"), ["h", "around"], "left_semi").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + span).alias("stop"))
+    cls = cut(classes(members))
+    many = cls.select("h", "around", "n")
+    several = cls.where("d0 < d1").select("h", "around", F.lit(True).alias("several"))
+    placed = members.select("h", "around", "doc_id", _lo("at").alias("lo"), _hi("at").alias("hi"))
+    whole = join_spread(placed, several, ["h", "around"], many, F.col("doc_id"), "inner").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + span).alias("stop"))
     # Classes of one document: their windows that stand in another document's class, as offsets from an occurrence's
     # first window, hold for all their occurrences. Periodic text repeats them (a row may hold several periods).
-    placed = cls.withColumns({"first": F.col("one.lo"), "windows": F.col("one.hi") - F.col("one.lo") + 1})
-    win = class_windows(docs, placed, span, ("d0", "d1", "first", "windows"))
+    sized = cls.withColumns({"first": _lo("at"), "windows": _hi("at") - _lo("at") + 1})
+    win = class_windows(docs, sized, span, ("d0", "d1", "first", "windows"))
     often = win.groupBy("h", "w").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("d0 < d1").select("h", "w")
     at = win.where("d0 = d1").join(often, ["h", "w"], "left_semi").select("h", "around", "windows", (F.col("start") - F.col("first")).alias("at"))
     run = F.col("at") - F.row_number().over(Window.partitionBy("h", "around").orderBy("at"))
     runs = at.withColumn("run", run).groupBy("h", "around", "windows", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    held = members.join(runs, ["h", "around"]).where(F.col("lo") + F.col("a") <= F.col("hi"))
-    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(hi - lo - a) div windows"))))
+    held = join_spread(placed, runs, ["h", "around"], many, F.struct("doc_id", "lo"), "inner").where(F.col("lo") + F.col("a") <= F.col("hi"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("cast((hi - lo - a) div windows as long)"))))
     moved = F.col("lo") + F.col("turn") * F.col("windows")
-    single = held.select("doc_id", (moved + F.col("a")).cast("int").alias("start"), (F.least(moved + F.col("b"), F.col("hi")) + span).cast("int").alias("stop"))
+    single = held.select("doc_id", (moved + F.col("a")).cast("int").alias("start"), (F.least(moved + F.col("b"), F.col("hi").cast("long")) + span).cast("int").alias("stop"))
     rows = whole.unionByName(single)
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     far = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -71,6 +71,18 @@ def test_every_occurrence_inside_a_document_counts(spark):
     assert {tuple(r) for r in spans.shared_pairs(df, 40).collect()} == pairs
 
 
+def test_groups_hold_every_pair_without_expanding_copies(spark):
+    texts = ["Q" * 3 + "same text of many documents, again and again the same" + str(i % 2) for i in range(60)]
+    texts = [(i, t) for i, t in enumerate([*texts, "no part of this one stands anywhere else at all, nowhere"])]
+    g = spans.groups(frame(spark, texts), 40).collect()
+    sets = {}
+    for r in g:
+        sets.setdefault((r["h"], r["w"]), set()).add(r["doc_id"])
+    assert len(g) <= 3 * 60 and all(len(s) == r["n"] for r in g for s in [sets[r["h"], r["w"]]])
+    pairs = {(a, b) for s in sets.values() for a in s for b in s if a < b}
+    assert pairs == {tuple(r) for r in spans.shared_pairs(frame(spark, texts), 40).collect()} and len(pairs) == 60 * 59 // 2
+
+
 def test_large_groups_are_paired_in_blocks(spark):
     old, spans.BLOCK = spans.BLOCK, 4
     try:
