@@ -100,9 +100,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and edited copies of items with their alignment."""
-    found = leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.where((F.col("run_words") >= leaks.MIN_RUN) | (F.col("similarity") >= leaks.MIN_SIMILARITY))
+    """Exact and edited copies of items, or of long parts of them, with their alignment."""
+    return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).where(leaks.is_leak())
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
