@@ -267,10 +267,11 @@ def groups(docs: DataFrame, span: int = SPAN) -> DataFrame:
     members = cut(shared_members(docs, span))
     cls = cut(classes(members))
     spread, hot = _repeated(class_windows(docs, cls, span), ["h", "w"], "around", [])
-    # Windows shared by the same classes say the same: one of them stands for all.
-    sign = spread.groupBy("h", "w", "salt").agg(F.count("*").alias("c"), F.sum(F.hash("around").cast("long")).alias("s"), F.bit_xor("around").alias("x"))
-    sign = sign.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.bit_or(F.expr("shiftleft(1L, cast(salt AS int))")).alias("salts"))
-    chosen = sign.where("c > 1").groupBy("h", "c", "s", "x").agg(F.min(F.struct("w", "salts")).alias("one")).select("h", "one.*")
+    # Windows shared by the same classes say the same: one of them stands for all. The classes are told by the exclusive
+    # or of their 64-bit hashes.
+    sign = spread.groupBy("h", "w", "salt").agg(F.count("*").alias("c"), F.bit_xor("around").alias("x"))
+    sign = sign.groupBy("h", "w").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_or(F.expr("shiftleft(1L, cast(salt AS int))")).alias("salts"))
+    chosen = sign.where("c > 1").groupBy("h", "c", "x").agg(F.min(F.struct("w", "salts")).alias("one")).select("h", "one.*")
     linked = spread.join(_salts(chosen, ["h", "w"]), ["h", "w", "salt"]).select("h", "around", "w").distinct()
     own = cls.where("d0 < d1").select("h", "around", F.col("around").alias("w"))
     rows = join_spread(members.select("h", "around", "doc_id"), linked.unionByName(own), ["h", "around"], cls.select("h", "around", "n"), F.col("doc_id"), "inner")
