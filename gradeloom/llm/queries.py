@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import cutoff, encode, languages, leaks, pairs, quota, reading, spans
-from gradeloom.session import read
+from gradeloom.session import cut, read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     labels = quota.synthetic_labels()
-    rows = quota.usable_rows(read(spark, sf_dir, "synthetic_dataset"), "synth_id", labels)
+    rows = cut(quota.usable_rows(read(spark, sf_dir, "synthetic_dataset"), "synth_id", labels))  # counted, planned and drawn from
     return rows, read(spark, sf_dir, "sample_targets"), list(labels)
 
 
@@ -63,6 +63,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.short_categories(rows, targets, "synth_id", dims).select("dimension", "category")
 
 
+def p4_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required and available rows and the deficit per category."""
+    rows, targets, dims = _quota(spark, sf_dir)
+    return quota.requirements(rows, targets, dims)
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, targets, dims = _quota(spark, sf_dir)
     return quota.draw(rows, quota.plan(rows, targets, dims), "synth_id", dims)
@@ -125,18 +131,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_languages, p2_segments, p3_found, p3_levels, p4_found, p4_sample, p4_report, p5_found, p5_rates, p7_ids, p8_found, p8_leaks, p9_found, p9_groups, p9_shares,
+        p1_found, p2_found, p2_languages, p2_segments, p3_found, p3_levels, p4_found, p4_requirements, p4_sample, p4_report, p5_found, p5_rates, p7_ids, p8_found, p8_leaks, p9_found, p9_groups, p9_shares,
     )
 }
 
-ORACLE = {
-    "p4_found": r"""
+_COUNTS = r"""
         WITH l AS (SELECT DISTINCT synth_id, unnest([{'d': 'question_type', 'v': metadata.question_type}, {'d': 'difficulty', 'v': metadata.difficulty},
                      {'d': 'target_pedagogical_state', 'v': metadata.target_pedagogical_state}]) AS x FROM synthetic_dataset),
              c AS (SELECT x.d AS d, regexp_replace(lower(regexp_replace(x.v, '^\s+|\s+$', '', 'g')), '[\s-]', '_', 'g') AS v, count(DISTINCT synth_id) AS n
-                   FROM l WHERE x.v IS NOT NULL GROUP BY 1, 2)
-        SELECT dimension, category FROM sample_targets t LEFT JOIN c ON c.d = t.dimension AND c.v = regexp_replace(lower(trim(t.category)), '[\s-]', '_', 'g')
-        WHERE coalesce(c.n, 0) < greatest(min_rows, round(target_share * sample_rows))""",
+                   FROM l WHERE x.v IS NOT NULL GROUP BY 1, 2),
+             r AS (SELECT dimension, category, greatest(min_rows, round(target_share * sample_rows))::BIGINT AS required, coalesce(c.n, 0) AS available
+                   FROM sample_targets t LEFT JOIN c ON c.d = t.dimension AND c.v = regexp_replace(lower(trim(t.category)), '[\s-]', '_', 'g'))"""
+
+ORACLE = {
+    "p4_found": _COUNTS + " SELECT dimension, category FROM r WHERE available < required",
+    "p4_requirements": _COUNTS + " SELECT dimension, category, required, available, greatest(0, required - available) AS deficit FROM r",
     "p8_found": r"""
         WITH w AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (
                      SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)),
