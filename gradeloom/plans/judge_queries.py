@@ -260,7 +260,10 @@ _REQUESTS = f"""SELECT sample_index, metric, sha256('aster-8b::::' || prompt) AS
  SELECT sample_index, 'answer_relevance' AS metric, {_prompt_sql("answer_relevance")} AS prompt FROM {Q.SAMPLES} WHERE answer <> ''
  UNION ALL SELECT sample_index, 'context_recall', {_prompt_sql("context_recall")} FROM {Q.SAMPLES} WHERE ground_truth <> '' AND len(contexts) > 0)"""
 
+_STRIPPED = f"regexp_replace(text, '^{Q.SPACE}+|{Q.SPACE}+$', '', 'g')"
 ORACLE = {
+    "json_extract": rf"""SELECT cache_key, CASE WHEN json_valid(whole) THEN whole WHEN json_valid(object) THEN object WHEN json_valid(list) THEN list END AS json
+ FROM (SELECT cache_key, {_STRIPPED} AS whole, regexp_extract(text, '\{{.*\}}', 0, 's') AS object, regexp_extract(text, '\[.*\]', 0, 's') AS list FROM {_CACHE})""",
     "faithfulness_score": _share_sql("claims", "supported", 1.0),
     "context_precision_score": _share_sql("evaluations", "is_relevant", 1.0),
     "context_recall_score": _share_sql("statements", "is_covered", 0.0),

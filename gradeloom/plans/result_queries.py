@@ -62,10 +62,11 @@ def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_compare_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With p-values and verdicts (no SQL: the t distribution is a kernel of ours)."""
+    """p-values and verdicts; SQL integrates the density instead."""
     r = _results(spark, sf_dir).where("run_id is not null and sample_index is not null")
     base = r.where(F.col("run_id") == CONFIGS[0]).select("metric_name", "sample_index", "score")
-    return S.paired_compare(base, r.where(F.col("run_id") != CONFIGS[0]).select(F.col("run_id").alias("config"), "metric_name", "sample_index", "score"))
+    got = S.paired_compare(base, r.where(F.col("run_id") != CONFIGS[0]).select(F.col("run_id").alias("config"), "metric_name", "sample_index", "score"))
+    return _rounded(got.select("config", "metric_name", "n", "p_value", "significant_improvement", "significant_degradation"), "p_value")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spearman_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.spearman(_pairs(spark, sf_dir), "x", "y", ["run_id"]).withColumn("stars", S.stars(F.col("p_value")))
+    return _rounded(S.spearman(_pairs(spark, sf_dir), "x", "y", ["run_id"]).withColumn("stars", S.stars(F.col("p_value"))), "rho", "p_value")
 
 
 def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,7 @@ def group_tests_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p-values of the group tests over orders, in long form."""
     o = _orders(spark, sf_dir)
     a = S.anova(o, "label", "score").select(F.lit("anova").alias("test"), F.col("f_stat").alias("statistic"), "p_value")
-    return a.unionByName(S.kruskal(o, "label", "score").select(F.lit("kruskal").alias("test"), F.col("h_stat").alias("statistic"), "p_value"))
+    return _rounded(a.unionByName(S.kruskal(o, "label", "score").select(F.lit("kruskal").alias("test"), F.col("h_stat").alias("statistic"), "p_value")), "statistic", "p_value", digits=5)
 
 
 def ols_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +195,19 @@ def _avg_rank(col: str, by: str = "") -> str:
 
 
 _PAIRS = f"(SELECT a.run_id, a.sample_index, a.score AS x, b.score AS y FROM {_R} a JOIN {_R} b USING (run_id, sample_index) WHERE a.metric_name = 'faithfulness' AND b.metric_name = 'pes')"
+_PAIRED = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric_name ORDER BY sample_index) AS rn FROM {_R} WHERE run_id IS NOT NULL AND sample_index IS NOT NULL),
+ p0 AS (SELECT c.run_id AS config, c.metric_name, c.score AS c, b.score AS b FROM r c JOIN r b ON c.metric_name = b.metric_name AND c.rn = b.rn AND b.run_id = '{CONFIGS[0]}' AND c.run_id <> '{CONFIGS[0]}'),
+ g AS (SELECT config, metric_name, count(*) AS n, avg(b) AS bm, avg(c) AS cm, avg(c - b) AS d, stddev_samp(c - b) AS s FROM p0 GROUP BY 1, 2),
+ t AS (SELECT *, CASE WHEN s IS NULL OR s <= 1e-12 * greatest(1.0, abs(d)) THEN CASE WHEN abs(d) <= 1e-12 THEN 'nan'::DOUBLE ELSE sign(d) * 'inf'::DOUBLE END ELSE d / (s / sqrt(n)) END AS t FROM g)"""
+
+
+def _t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * {angle} / 2000.0), {df} - 1))) * {angle} / 6000.0"
+    return f"(CASE WHEN isnan({t}) THEN 1.0 WHEN isinf({t}) THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {area}) END)"
+
+
 _MEAN = "coalesce(round(round(avg(score) FILTER (run_id = '{}'), 4), 3), 0.0) AS {}"
 
 ORACLE = {
@@ -213,14 +227,24 @@ ORACLE = {
     "comparative_pivot": f"""SELECT metric_name, {", ".join(_MEAN.format(c, c.replace("-", "_")) for c in CONFIGS)},
   round(round(greatest({", ".join(f"coalesce(round(avg(score) FILTER (run_id = '{c}'), 4), 0.0)" for c in CONFIGS)}) - least({", ".join(f"coalesce(round(avg(score) FILTER (run_id = '{c}'), 4), 0.0)" for c in CONFIGS)}), 4), 3) AS delta
  FROM {_R} WHERE run_id IN {CONFIGS} GROUP BY 1""",
-    "paired_compare": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric_name ORDER BY sample_index) AS rn FROM {_R} WHERE run_id IS NOT NULL AND sample_index IS NOT NULL),
- p AS (SELECT c.run_id AS config, c.metric_name, c.score AS c, b.score AS b FROM r c JOIN r b ON c.metric_name = b.metric_name AND c.rn = b.rn AND b.run_id = '{CONFIGS[0]}' AND c.run_id <> '{CONFIGS[0]}'),
- g AS (SELECT config, metric_name, count(*) AS n, avg(b) AS bm, avg(c) AS cm, avg(c - b) AS d, stddev_samp(c - b) AS s FROM p GROUP BY 1, 2)
- SELECT config, metric_name, n, round(bm, 5) AS baseline_mean, round(cm, 5) AS candidate_mean, round(cm - bm, 5) AS delta,
-  round(CASE WHEN s IS NULL OR s <= 1e-12 * greatest(1.0, abs(d)) THEN CASE WHEN abs(d) <= 1e-12 THEN 'nan'::DOUBLE ELSE sign(d) * 'inf'::DOUBLE END ELSE d / (s / sqrt(n)) END, 5) AS t_stat FROM g""",
+    "paired_compare": f"""{_PAIRED}
+ SELECT config, metric_name, n, round(bm, 5) AS baseline_mean, round(cm, 5) AS candidate_mean, round(cm - bm, 5) AS delta, round(t, 5) AS t_stat FROM t""",
+    "paired_compare_p": f"""{_PAIRED}, p AS (SELECT *, CASE WHEN n > 1 THEN {_t_p("t", "(n - 1)")} ELSE 1.0 END AS p FROM t)
+ SELECT config, metric_name, n, round(p, 6) AS p_value, p < 0.05 AND cm > bm AS significant_improvement, p < 0.05 AND cm < bm AS significant_degradation FROM p""",
     "spearman": f"SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT {_avg_rank('x')} AS rx, {_avg_rank('y')} AS ry FROM {_PAIRS})",
     "spearman_by_group": f"""SELECT run_id, count(*) AS n, round(CASE WHEN stddev_pop(rx) * stddev_pop(ry) = 0 THEN NULL ELSE covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END, 6) AS rho
  FROM (SELECT run_id, {_avg_rank("x", "run_id")} AS rx, {_avg_rank("y", "run_id")} AS ry FROM {_PAIRS}) GROUP BY 1 HAVING count(*) >= 3""",
+    "spearman_p": f"""WITH r AS (SELECT run_id, {_avg_rank("x", "run_id")} AS rx, {_avg_rank("y", "run_id")} AS ry FROM {_PAIRS}),
+ g AS (SELECT run_id, count(*) AS n, CASE WHEN stddev_pop(rx) * stddev_pop(ry) = 0 THEN NULL ELSE covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS rho FROM r GROUP BY 1 HAVING count(*) >= 3),
+ t AS (SELECT *, CASE WHEN abs(rho) < 1 - 1e-12 THEN rho * sqrt((n - 2) / (1 - rho * rho)) WHEN rho IS NOT NULL THEN 'inf'::DOUBLE END AS t FROM g),
+ p AS (SELECT *, CASE WHEN t IS NOT NULL THEN {_t_p("t", "(n - 2)")} END AS p FROM t)
+ SELECT run_id, n, round(rho, 6) AS rho, round(p, 6) AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM p""",
+    "group_tests_p": f"""WITH g AS (SELECT o_orderstatus, count(*) AS c, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1),
+ a AS (SELECT count(*) AS k, sum(c)::DOUBLE AS n, sum(c * v) AS w, sum(c * m * m) - pow(sum(c * m), 2) / sum(c) AS b FROM g), f AS (SELECT k, n, (b / (k - 1)) / (w / (n - k)) AS f FROM a),
+ r AS (SELECT o_orderstatus AS g, {_avg_rank("o_totalprice")} AS r FROM orders), s AS (SELECT g, count(*)::DOUBLE AS c, sum(r) AS s FROM r GROUP BY 1),
+ ties AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM orders GROUP BY o_totalprice)), q AS (SELECT sum(c) AS n, sum(s * s / c) AS q FROM s),
+ h AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM q, ties)
+ SELECT 'anova' AS test, round(f, 5) AS statistic, round(pow((n - k) / ((n - k) + 2 * f), (n - k) / 2), 5) AS p_value FROM f UNION ALL SELECT 'kruskal', round(h, 5), round(exp(-h / 2), 5) FROM h -- three groups: both tails are elementary""",
     "spearman_matrix": "WITH r AS (SELECT "
     + ", ".join(f"{_avg_rank(c)} AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     + " FROM lineitem), m AS (SELECT * FROM ("

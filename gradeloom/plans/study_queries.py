@@ -66,7 +66,7 @@ def metric_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir, "run-shared-baseline").intersect(_metrics(spark, sf_dir, "run-00-00000"))
+    return _metrics(spark, sf_dir, "run-00-00001").intersect(_metrics(spark, sf_dir, "run-00-00002"))
 
 
 QUERIES = {f.__name__: f for f in (study_frame, study_validation, study_groups, study_spearman, model_ranking, weights_compared, sample_slice, metric_union, metric_intersection)}
@@ -86,5 +86,5 @@ ORACLE = {
     "weights_compared": f"SELECT state, round(avg({_RE.format('0.33', '0.33', '0.34')}), 5) AS default_mean, round(avg({_RE.format('0.0', '0.3', '0.7')}), 5) AS best_mean, count(*) AS n, round(avg({_RE.format('0.0', '0.3', '0.7')}) - avg({_RE.format('0.33', '0.33', '0.34')}), 5) AS delta FROM {J._FRAME} WHERE truth IS NOT NULL GROUP BY 1",
     "sample_slice": "SELECT DISTINCT sample_index FROM samples WHERE sample_index IS NOT NULL ORDER BY 1 LIMIT 50 OFFSET 100",
     "metric_union": f"SELECT DISTINCT metric_name FROM {Q.RESULTS} WHERE run_id IN ('run-00-00000', 'run-00-00001')",
-    "metric_intersection": f"SELECT metric_name FROM {Q.RESULTS} WHERE run_id = 'run-shared-baseline' INTERSECT SELECT metric_name FROM {Q.RESULTS} WHERE run_id = 'run-00-00000'",
+    "metric_intersection": f"SELECT metric_name FROM {Q.RESULTS} WHERE run_id = 'run-00-00001' INTERSECT SELECT metric_name FROM {Q.RESULTS} WHERE run_id = 'run-00-00002'",
 }

@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` in the checkpoint folder; the folder ``path`` that it was read from is removed."""
+    out = cut(df)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # type: ignore[attr-defined]
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
