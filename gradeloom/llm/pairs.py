@@ -2,7 +2,8 @@
 
 * ``truncated``: responses are sorted by text without what stands behind a cut, and one that begins its neighbour is a
   shortened version; lengths at which a source's open texts pile up are limits; final words are judged as in ``cutoff``.
-* ``empty``, ``refusal``, ``copies_question`` and ``other_language`` are rules on the single pair.
+* ``refusal``: the sentences are judged by a fitted model (``refusals``), the text by what stands beside them.
+* ``empty``, ``copies_question`` and ``other_language`` are rules on the single pair.
 
 One pass over the pairs finds the latter and describes the ends of the open texts for the former.
 """
@@ -11,14 +12,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm import cutoff, languages
+from gradeloom.llm import cutoff, languages, refusals
 from gradeloom.session import cut
 
 FIELDS = ("answer", "ground_truth")
@@ -31,7 +32,7 @@ PLACEHOLDERS = (
     "keine antwort", "nicht verfügbar",
 )
 
-# How texts decline to answer, per language (Java regular expressions).
+# Known wordings that decline, per language: they label what the model of refusals is fitted on.
 REFUSALS = {
     "en": (
         r"\b(?:cannot|can not|can['’]t|could not|couldn['’]t|unable to|not able to|not in a position to)\s+(?:\w+\s+){0,2}?(?:help|assist|answer|respond|reply|provide|comment|discuss|say|tell|fulfil|comply)",
@@ -110,9 +111,8 @@ _but = r"\b(?:but|yet|however|though|ma|però|tuttavia|pero|sin embargo|mais|cep
 _words = re.compile(r"[^\W_]+").findall
 _turn = re.compile(r"\n+\s*\w+\s*:\s*").split
 _markup = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->|&nbsp;|&#160;", re.I)
-_sentences = re.compile(r"(?<=[.!?])\s+").split
 _declines = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps)).search
-_yields = re.compile(rf"(?:{'|'.join(p for ps in REFUSALS.values() for p in ps)})[^.!?]*,[^.!?]*{_but}").search
+_turns = re.compile(rf",[^.!?]*?{_but}(.*)").search
 _aside = re.compile(rf"(?:{'|'.join(ASIDES)})\s*[.!]*").fullmatch
 _edge = frozenset({"P", "Z", "C"})
 
@@ -140,21 +140,39 @@ def is_empty(text: str | None) -> bool:
     return not core or (len(core) <= PLACEHOLDER_CHARS and core.lower() in PLACEHOLDERS)
 
 
-def is_refusal(text: str | None) -> bool:
+def is_refusal(text: str | None, declines: Callable[[str], object] = _declines) -> bool:
     """A text that declines to answer and goes on to no answer: some sentence declines, every other one is an aside or
-    declines too, or follows the declining first sentence without telling or asking anything (no number, no question)."""
+    declines too, or follows the declining first sentence without telling or asking anything (no number, no question).
+
+    A sentence that declines, but turns to something else behind a comma, goes on to an answer.
+    """
     if not text:
         return False
-    parts = [p for p in _sentences(" ".join(text.split()).lower()) if p]
-    found = [p for p in parts if _declines(p)]
-    if not found or parts[-1].endswith("?") or any(_yields(p) for p in found):
+    parts = refusals.sentences(text)
+    found = [p for p in parts if declines(p)]
+    if not found or parts[-1].endswith("?"):
         return False
+    for p in found:
+        turn = _turns(p)
+        if turn and len(_words(turn[turn.lastindex])) > 1 and not declines(turn[turn.lastindex]):
+            return False
     others = [p for p in parts if p not in found and not _aside(p)]
     if any(p.endswith("?") for p in others):
         return False
     return not others or (parts[0] in found and not any(c.isdigit() for p in others for c in p) and len(others) <= len(found))
 
 
+def refusal_model(samples: DataFrame) -> refusals.Model:
+    """The model of refusing sentences, fitted on the refusals.FIT_TEXTS rows with the least hash of their texts."""
+    h = F.xxhash64("answer", "ground_truth")
+    x = samples.select("question", *FIELDS)
+    total, n = x.count(), refusals.FIT_TEXTS
+    if total > 4 * n:  # thin first: else every task would send n rows to the driver
+        x = x.where(F.shiftrightunsigned(h, 1) < F.lit(int((1 << 63) * (2 * n / total))))
+    rows = x.orderBy(h, "answer", "ground_truth").limit(n).collect()
+    return refusals.train([r[f] for f in FIELDS for r in rows], _declines, [r["question"] for r in rows])
+
+
 def copies(question: str | None, text: str | None) -> bool:
     """True if the text only repeats the question (or its last turn), perhaps lightly changed or introduced."""
     if not question or not text:
@@ -230,24 +248,25 @@ def shortened(texts: DataFrame) -> DataFrame:
     return found.select(F.xxhash64(F.translate("text", _LATE, "0123456789")).alias("core")).distinct()
 
 
-def inspect(samples: DataFrame, model: languages.Model) -> DataFrame:
+def inspect(samples: DataFrame, model: languages.Model, refusing: refusals.Model) -> DataFrame:
     """(field_name, record_id, grp, core, defects, tail columns) of the answers and ground truths that have a defect or
     an open end, in the checkpoint folder: one pass over the pairs. ``same`` is null where the end is not open."""
-    share = samples.sparkSession.sparkContext.broadcast(model)
+    share = samples.sparkSession.sparkContext.broadcast((model, refusing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = share.value
+        m, refusing = share.value
+        declines = lambda s: refusing.declines(s) or _declines(s)
         for b in batches:
             questions = b.column("question").to_pylist()
             asked = m.found(m.scores(questions))
             for f in FIELDS:
                 texts = b.column(f).to_pylist()
                 defects: list[list[str]] = []
-                for q, t, of, spoken in zip(questions, texts, asked, m.found(m.scores(texts))):
+                for q, t, of, spoken, suspect in zip(questions, texts, asked, m.found(m.scores(texts)), refusals.suspects(texts)):
                     d = []
                     if f == "answer" and is_empty(t):
                         d.append("empty")
-                    if is_refusal(t):
+                    if suspect and is_refusal(t, declines):
                         d.append("refusal")
                     if copies(q, t):
                         d.append("copies_question")
@@ -275,7 +294,7 @@ def defects(samples: DataFrame, model: languages.Model) -> DataFrame:
     question can be neither copied nor be in another language.
     """
     base = samples.where(F.col("sample_index").isNotNull())
-    seen = inspect(base, model)
+    seen = inspect(base, model, refusal_model(base))
     texts = cutoff.answer_texts(base, *FIELDS).where(F.col("text").isNotNull())
     ends = seen.where("same is not null").drop("defects")
     was_cut = cutoff.find_cut(texts, samples.select(F.col("question").alias("text")).where("text is not null"), shortened(texts), ends)

@@ -151,6 +151,33 @@ def test_empty_and_refusal_rules():
     assert [pairs.is_refusal(t) for t in refusals + others] == [True] * len(refusals) + [False] * len(others)
 
 
+#: Wordings that no listed pattern need match: what the fitted model must find by itself.
+UNLISTED = [
+    "That is something I won't go into.", "No reply will follow.", "I'm afraid this request can't be processed.", "My guidelines keep me from replying, so I can't respond to this question.", "I have to pass on this one, sorry, I can't speak to it.", "The passages given don't touch on this question.", "We are unable to process your request.", "I don't wish to discuss this topic.",
+    "Impossible de traiter cette demande.", "Je ne vais pas traiter ce sujet.", "Aucune suite ne sera donnée à cette demande.", "Je ne suis pas autorisé à parler de ce sujet.", "Les extraits ne parlent pas de cette question.",
+    "Non ho intenzione di trattare questo argomento.", "Impossibile elaborare la richiesta.", "Non mi è consentito parlare di questo argomento.", "I brani non parlano di questa domanda.", "Non ci sarà alcuna risposta a questa domanda.",
+    "No voy a hablar de este tema.", "Es imposible atender esta solicitud.", "No estoy autorizado a hablar de este tema.", "Los fragmentos no hablan de esta pregunta.", "No habrá respuesta a esta pregunta.",
+    "Darauf werde ich nicht eingehen.", "Diese Anfrage kann nicht bearbeitet werden.", "Zu diesem Thema äußere ich mich nicht.", "Unmöglich, dieser Bitte nachzukommen.", "Auf diese Frage wird keine Antwort folgen.",
+]
+ANSWERS = [
+    "You can't add fractions with different denominators.", "No, the answer is 7.", "The sum of the two sides is not 10.", "Do not multiply before you add.", "I don't think that the sign is right.", "There are no more cards in the bag.", "It's impossible for a square to have three sides.", "Non dimenticare di aggiungere 4.", "La somma non è 10.", "Il triangolo non ha quattro lati.", "No olvides sumar 4.", "La suma no es 10.", "El triángulo no tiene cuatro lados.",
+    "N'oublie pas d'ajouter 4.", "La somme n'est pas 10.", "Le triangle n'a pas quatre côtés.", "Vergiss nicht, 4 zu addieren.", "Die Summe ist nicht 10.", "Das Dreieck hat keine vier Seiten.", "I didn't follow your second step.", "We get nothing if we take 4 from 4.", "The list does not have to be sorted.", "I won't give you the result yet, but look at the second step.", "I can't tell you the answer, but try it with 4 first.",
+]
+
+
+def test_unlisted_refusals_are_found_by_the_fitted_model():
+    from gradeloom.llm import refusals
+
+    known = ["I'm sorry, but I cannot help with that.", "The context does not contain enough information to answer.", "Mi dispiace, ma non posso aiutarti.", "No puedo responder a esta pregunta.", "Je ne peux pas répondre à cette question.", "Dabei kann ich leider nicht helfen."]
+    model = refusals.train([*known, *EN, *IT, *DE], pairs._declines, ["I do not understand why the answer is needed here."])
+    found = [t for t in UNLISTED if pairs.is_refusal(t, model.declines)]
+    listed = [t for t in UNLISTED if pairs.is_refusal(t)]
+    assert len(found) >= 0.9 * len(UNLISTED) and len(listed) < 0.4 * len(UNLISTED), set(UNLISTED) - set(found)
+    assert sum(pairs.is_refusal(t, model.declines) for t in ANSWERS) <= 1
+    assert all(pairs.is_refusal(t, model.declines) for t in known)
+    assert not refusals.suspects([None, "", "All is well."]).any() and refusals.train([], pairs._declines).declines("i cannot answer that.")
+
+
 def test_refusals_in_any_sentence():
     long = " ".join(["I'm sorry.", "I cannot answer that.", "The context does not contain enough information to answer this particular question about the lesson of the day, the exercise on the board or the homework of this week.", "I am not able to help with any of the 12 steps, nor with the drawing, the table, the graph or the text that goes with them.", "I am not allowed to discuss the matter any further with anyone who has not been enrolled.", "Please ask your teacher."])
     yes = ["I'm sorry. I cannot answer that.", "Mi dispiace. Non posso rispondere a questa domanda.", "Es tut mir leid. Dabei kann ich nicht helfen.", long]
