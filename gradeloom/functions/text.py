@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from string import Template
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -60,6 +62,28 @@ def count_tokens(c: Column) -> Column:
     return F.floor(F.size(split_words(c)) * F.lit(1.3)).cast("int")
 
 
+#: How the byte-level vocabularies of public models cut text before they merge bytes.
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+def exact_tokens(c: Column, ranks: str, pattern: str = BYTE_LEVEL) -> Column:
+    """Number of tokens by a byte-level vocabulary: ``ranks`` is its file of merge ranks, which all executors see."""
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        for s in it:
+            yield s.map(lambda t: len(encoding.encode_ordinary(t or ""))).astype("int32")
+
+    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.IntegerType())(text(c))
+
+
 def sentences(c: Column) -> Column:
     """Sentences, split after ., ! or ? before white space; stripped, empty ones dropped."""
     marked = F.regexp_replace(text(c), rf"([.!?]){SPACE}+", "$1\u0001")

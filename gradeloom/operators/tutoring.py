@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,8 +78,9 @@ def uptake_route(question: Column, answer: Column, contexts: Column) -> Column:
     return F.when(X.text(answer) == "", F.lit(None)).when(long, "question").when(some, "context").otherwise("none")
 
 
-def uptake(question: Column, answer: Column, contexts: Column, scorer: PairScorer = overlap_scorer) -> Column:
-    """Probability that the answer takes up the question (short questions: the contexts), with the word overlap."""
+def uptake(question: Column, answer: Column, contexts: Column, scorer: PairScorer = overlap_scorer, stop: Sequence[str] = ()) -> Column:
+    """Probability that the answer takes up the question (short questions: the contexts), with the overlap of words that
+    are not in ``stop``."""
     route = uptake_route(question, answer, contexts)
     joined = F.array_join(contexts, " ")
     f = _pairs(scorer)
@@ -93,7 +94,7 @@ def uptake(question: Column, answer: Column, contexts: Column, scorer: PairScore
         .when(route == "none", "Insufficient data to compute any uptake score.")
         .otherwise(NO_ANSWER)
     )
-    overlap = F.when(route.isNotNull() & (joined != ""), X.word_overlap(joined, answer))
+    overlap = F.when(route.isNotNull() & (joined != ""), X.word_overlap(joined, answer, stop))
     return F.struct(score.alias("score"), reason.alias("reason"), overlap.alias("context_overlap"))
 
 

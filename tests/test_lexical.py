@@ -81,3 +81,27 @@ def test_render_does_not_expand_values_again(spark):
 def test_word_overlap(spark):
     f = lambda a, b: spark.range(1).select(X.word_overlap(F.lit(a), F.lit(b)).alias("x")).first()["x"]
     assert f("plants need light", "Plants need light") == 1.0 and f("a b", "c d") == 0.0 and f("", "x") == 0.0
+
+
+def test_exact_token_counts(spark):
+    import os
+
+    import pytest
+
+    path = "/opt/tokenizers/byte_bpe_50k"
+    if not os.path.exists(path + ".tiktoken"):
+        pytest.skip("no vocabulary")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path + ".json")
+    t.encode_special_tokens = True
+    texts = ["Hello world.", "", None, "  two  spaces\n\n", "It's 42 o'clock, isn't it?", "Größe été 東京 😊\ttab", "a" * 500, "<|endoftext|>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r["n"] for r in df.select("i", X.exact_tokens(F.col("t"), path + ".tiktoken").alias("n")).orderBy("i").collect()]
+    assert got == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_overlap_without_stop_words(spark):
+    df = spark.createDataFrame([("the cat and the hat", "the dog and a hat")], "s string, t string")
+    got = df.select(X.word_overlap(F.col("s"), F.col("t")).alias("all"), X.word_overlap(F.col("s"), F.col("t"), ("the", "and", "a")).alias("some")).first()
+    assert got["all"] == 0.8 and got["some"] == 0.5

@@ -96,6 +96,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j" / "results")).count() == 3
 
 
+def test_splits_and_limits_of_benchmarks(spark, tmp_path):
+    from gradeloom.sources import adapters
+
+    def hub(spark, path, split):
+        if split != "train":
+            raise ValueError("no such split")
+        return spark.createDataFrame([(i, f"q{i}", "a", "c") for i in range(5)], "seq int, question string, ground_truth string, context string")
+
+    assert adapters.load_split(spark, "recall", "some/set", max_samples=3, reader=hub).count() == 3
+    with pytest.raises(ValueError):
+        adapters.load_split(spark, "rgb", "some/set", reader=hub)
+    (tmp_path / "r.jsonl").write_text("".join(json.dumps({"query": f"q{i}", "answer": "a"}) + "\n" for i in range(4)))
+    assert [r["question"] for r in adapters.load_split(spark, "rgb", str(tmp_path / "r.jsonl"), max_samples=2).orderBy("seq").collect()] == ["q0", "q1"]
+
+
 def test_reports_come_back(spark, tmp_path):
     r = spark.createDataFrame([(i, "faithfulness", i / 40, f"r{i} <i>") for i in range(25)], "sample_index long, metric_name string, score double, reason string")
     rows = sorted(map(tuple, r.collect()))
