@@ -255,7 +255,7 @@ def inspect(samples: DataFrame, model: languages.Model, refusing: refusals.Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, refusing = share.value
-        declines = lambda s: refusing.declines(s) or _declines(s)
+        declines = lambda s: refusing.declines(s, _declines)
         for b in batches:
             questions = b.column("question").to_pylist()
             asked = m.found(m.scores(questions))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -103,6 +104,20 @@ def suspects(texts: Sequence[str | None]) -> np.ndarray:
     return hit[first[1:]] > hit[first[:-1]]
 
 
+@lru_cache(maxsize=100_000)
+def _mask(word: str) -> int:
+    return classes_of(word) if word[0].isalpha() else 0
+
+
+def described(sentence: str) -> tuple[list[str], int]:
+    """Words of a sentence and the classes that they hold."""
+    words = [w for w in _tokens(sentence.lower()) if w[0].isalpha()]
+    mask = 0
+    for w in words:
+        mask |= _mask(w)
+    return words, mask
+
+
 class Model:
     """Weights of class combinations and hashed n-grams."""
 
@@ -110,10 +125,7 @@ class Model:
         self.weights = np.zeros(len(_MASKS) + NGRAMS + 1)
 
     def features(self, sentence: str) -> np.ndarray:
-        words = [w for w in _tokens(sentence.lower()) if w[0].isalpha()]
-        mask = 0
-        for w in words:
-            mask |= int(_known.mask.data[_known.codes[w]])
+        words, mask = described(sentence)
         grams = {xxhash.xxh32_intdigest(g) % NGRAMS for n in (1, 2) for g in (" ".join(words[i : i + n]) for i in range(len(words) - n + 1))}
         classes = np.flatnonzero((mask & _MASKS) == _MASKS)
         return np.concatenate([classes, np.array(sorted(grams), np.int64) + len(_MASKS), [len(self.weights) - 1]]).astype(np.int64)
@@ -139,9 +151,11 @@ class Model:
     def score(self, sentence: str) -> float:
         return float(1 / (1 + np.exp(-self.weights[self.features(sentence)].sum())))
 
-    def declines(self, sentence: str) -> bool:
-        """Whether a sentence that holds a word of a GATE class declines."""
-        return bool(suspects([sentence])[0]) and self.score(sentence) > 0.5
+    def declines(self, sentence: str, rule: Callable[[str], object] | None = None) -> bool:
+        """Whether a sentence holds a word of a GATE class and declines, by the rule or by the model."""
+        if not described(sentence)[1] & GATE:
+            return False
+        return bool(rule is not None and rule(sentence)) or self.score(sentence) > 0.5
 
 
 def train(texts: Sequence[str | None], declines: Callable[[str], object], questions: Sequence[str | None] = ()) -> Model:
