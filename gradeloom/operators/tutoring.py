@@ -160,11 +160,22 @@ def critique(c: Column, sentiment: Column) -> Column:
     return F.least(F.lit(1.0), sentiment + F.when(has_contrast(c), 0.1).otherwise(0.0))
 
 
-def linguistic_adaptation(answer: Column, sentiment: TextScorer = neutral_sentiment, weights: tuple[float, float, float] = WEIGHTS) -> Column:
+def _mapped(f: Callable[[list[str]], list[str]]) -> Callable[[Column], Column]:
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield pd.Series(f(s.fillna("").tolist()), dtype="object")
+
+    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.StringType())
+
+
+def linguistic_adaptation(answer: Column, sentiment: TextScorer = neutral_sentiment, weights: tuple[float, float, float] = WEIGHTS, lemmas: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Weighted readability, tentativeness and critique. ``lemmas`` turns texts into their lemmas before tentative words
+    are counted."""
     a, b, c = (w / sum(weights) for w in weights)
     read = F.pandas_udf(_read, _READ)(X.text(answer))
     ease = K.clamp(read["ease"] / 100.0)
-    tent = tentativeness(answer)["score"]
+    tent = tentativeness(_mapped(lemmas)(X.text(answer)) if lemmas is not None else answer)["score"]
     crit = critique(answer, _texts(sentiment)(X.text(answer)))
     miss = X.text(answer) == ""
     score = F.round(K.clamp(a * ease + b * tent + c * crit), 4)

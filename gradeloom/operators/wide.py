@@ -101,13 +101,17 @@ def to_wide(cells: DataFrame, entity: Sequence[str], values: Sequence[str], attr
         col_of = np.array([where.get(a, -1) for a in enc.dictionary.to_pylist()] + [-1], np.int64)
         idx = enc.indices.fill_null(len(col_of) - 1).to_numpy(zero_copy_only=False)
         col = col_of[idx]
-        place = np.full((len(names), rows), -1, np.int64)
         keep = col >= 0
-        place[col[keep], row[keep]] = np.flatnonzero(keep)
+        cells_of = np.flatnonzero(keep)
+        cells_of = cells_of[np.argsort(col[cells_of], kind="stable")]
+        edges = np.searchsorted(col[cells_of], np.arange(len(names) + 1))
         arrays = [t.column(k).combine_chunks().take(pa.array(first)) for k in keys]
         vals = {v: t.column(v).combine_chunks() for v in values}
         for j in range(len(names)):
-            at = pa.array(np.maximum(place[j], 0), mask=place[j] < 0)
+            mine = cells_of[edges[j] : edges[j + 1]]
+            place = np.full(rows, -1, np.int64)
+            place[row[mine]] = mine
+            at = pa.array(np.maximum(place, 0), mask=place < 0)
             arrays += [vals[v].take(at) for v in values]
         if flag:
             hit = np.flatnonzero(t.column(flag).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool) & keep)

@@ -60,9 +60,10 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of the cached calls at the price of one listed model; local providers are free."""
+    """Cost of the cached calls at the prices of the listed models in turn; local providers are free."""
     c = _cache(spark, sf_dir)
-    return c.select("cache_key", F.round(K.cost(F.lit("gpt-4o"), F.col("input_tokens"), F.col("output_tokens"), F.col("provider")), 8).alias("cost"))
+    model = F.element_at(F.array(*map(F.lit, K.PRICES)), F.pmod(F.col("input_tokens"), F.lit(len(K.PRICES))).cast("int") + 1)
+    return c.select("cache_key", F.round(K.cost(model, F.col("input_tokens"), F.col("output_tokens"), F.col("provider")), 8).alias("cost"))
 
 
 def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +164,8 @@ def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uptake(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = canonical.samples(read(spark, sf_dir, "samples"))
-    return s.select("sample_index", tutoring.uptake(F.col("question"), F.col("answer"), F.col("contexts")).alias("m")).select("sample_index", "m.*")
+    got = s.select("sample_index", tutoring.uptake(F.col("question"), F.col("answer"), F.col("contexts")).alias("m"))
+    return got.select("sample_index", F.round("m.score", 6).alias("score"), "m.reason", F.round("m.context_overlap", 6).alias("context_overlap"))
 
 
 def uptake_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +175,8 @@ def uptake_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linguistic_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = canonical.samples(read(spark, sf_dir, "samples"))
-    return s.select("sample_index", tutoring.linguistic_adaptation(F.col("answer")).alias("m")).select("sample_index", "m.*")
+    got = s.select("sample_index", tutoring.linguistic_adaptation(F.col("answer")).alias("m")).select("sample_index", "m.*").drop("reason")
+    return got.withColumns({"flesch_reading_ease": F.round("flesch_reading_ease", 4), "flesch_kincaid_grade": F.round("flesch_kincaid_grade", 4)})
 
 
 def adaptation_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +282,7 @@ ORACLE = {
     "cache_stats": f"""WITH c AS (SELECT * FROM {_CACHE}), k AS (SELECT DISTINCT cache_key FROM c WHERE {NOW} - cached_at <= {90 * 86400.0})
  SELECT count(k.cache_key) AS hits, count(*) - count(k.cache_key) AS misses, round(count(k.cache_key)::DOUBLE / count(*), 6) AS hit_rate, (SELECT count(*) FROM k) AS entries FROM c LEFT JOIN k USING (cache_key)""",
     "usage_rollup": f"SELECT provider || '/' || model AS model_key, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(round(sum(cost), 6), 4) AS cost, count(*) AS calls, (sum(input_tokens) + sum(output_tokens))::BIGINT AS total_tokens FROM {_CACHE} GROUP BY ROLLUP (provider || '/' || model)",
-    "cost_estimate": f"SELECT cache_key, round(CASE WHEN provider IN ('ollama', 'vllm') THEN 0.0 ELSE input_tokens / 1e6 * 2.5 + output_tokens / 1e6 * 10.0 END, 8) AS cost FROM {_CACHE}",
+    "cost_estimate": f"""SELECT cache_key, round(CASE WHEN provider IN ('ollama', 'vllm') THEN 0.0 ELSE input_tokens / 1e6 * list_extract({[p[0] for p in K.PRICES.values()]}::DOUBLE[], (input_tokens % {len(K.PRICES)} + 1)::INT) + output_tokens / 1e6 * list_extract({[p[1] for p in K.PRICES.values()]}::DOUBLE[], (input_tokens % {len(K.PRICES)} + 1)::INT) END, 8) AS cost FROM {_CACHE}""",
     "pes_score": f"SELECT run_id, sample_index, state, round(CASE WHEN coalesce(faithfulness < 0.5, FALSE) THEN 0.0 ELSE raw END, 3) AS score, coalesce(faithfulness < 0.5, FALSE) AS gate_failed, round(raw, 3) AS score_before_gate FROM {_PES}",
     "pes_by_state": f"SELECT state, count(*) AS n, round(avg(CASE WHEN coalesce(faithfulness < 0.25, FALSE) THEN 0.0 ELSE raw END), 4) AS mean_score, count(*) FILTER (faithfulness < 0.25) AS gate_failures, round(avg(coalesce(faithfulness < 0.25, FALSE)::INT), 6) AS gate_rate FROM {_PES} GROUP BY 1",
     "pes_reason": f"""SELECT run_id, sample_index, 'State=' || CASE WHEN state = '' THEN '?' ELSE state END || ' (unknown) | weights=(' || printf('%.2f, %.2f, %.2f', w[1], w[2], w[3]) || ') | M1=' || printf('%.4f, M2=%.4f, M3=%.4f', m1, m2, m3) || ' | faithfulness=' || printf('%.4f', faithfulness) || ' (gate ' || CASE WHEN faithfulness < 0.5 THEN 'FAILED' ELSE 'PASSED' END || ')' AS reason
@@ -301,6 +304,18 @@ ORACLE = {
     "centroid_similarity": f"""WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
  SELECT vec_id, e.label, round({_DOT.format("embedding", "centre")} / (sqrt({_DOT.format("embedding", "embedding")}) * sqrt({_DOT.format("centre", "centre")})), 6) AS similarity FROM embeddings e JOIN c USING (label)""",
     "uptake_route": f"SELECT sample_index, CASE WHEN answer = '' THEN NULL WHEN len({Q.words('question')}) >= 5 THEN 'question' WHEN array_to_string(contexts, ' ') <> '' THEN 'context' ELSE 'none' END AS route FROM {Q.SAMPLES}",
+    "uptake": rf"""WITH r AS (SELECT *, array_to_string(contexts, ' ') AS joined, len({Q.words("question")}) AS n FROM {Q.SAMPLES}),
+ d AS (SELECT *, CASE WHEN answer = '' THEN NULL WHEN n >= 5 THEN 'question' WHEN joined <> '' THEN 'context' ELSE 'none' END AS route FROM r),
+ w AS (SELECT *, list_distinct(regexp_extract_all(lower(CASE route WHEN 'question' THEN question WHEN 'context' THEN joined END), '[\p{{L}}\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+')) AS b,
+  list_transform(list_filter({Q.words("joined")}, lambda x: regexp_full_match(x, '[\p{{L}}\p{{N}}]+')), lambda x: lower(x)) AS s, list_transform(list_filter({Q.words("answer")}, lambda x: regexp_full_match(x, '[\p{{L}}\p{{N}}]+')), lambda x: lower(x)) AS t FROM d)
+ SELECT sample_index, round(CASE WHEN a IS NULL OR len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END, 6) AS score,
+  CASE route WHEN 'question' THEN 'Computed conversational uptake.' WHEN 'context' THEN 'Computed context uptake (question of ' || n || ' tokens is too short).' WHEN 'none' THEN 'Insufficient data to compute any uptake score.' ELSE '{tutoring.NO_ANSWER}' END AS reason,
+  CASE WHEN route IS NOT NULL AND joined <> '' THEN round(CASE WHEN len(s) = 0 THEN 0.0 ELSE len(list_filter(s, lambda x: list_contains(t, x)))::DOUBLE / len(s) END, 6) END AS context_overlap FROM w""",
+    "linguistic_adaptation": rf"""WITH x AS (SELECT sample_index, answer, {_TOK} AS t, regexp_extract_all(answer, '\p{{L}}+(?:[''’-]\p{{L}}+)*') AS w, greatest(1, len(regexp_extract_all(answer, '[.!?…]+(?:\s|$)')))::DOUBLE AS s FROM {Q.SAMPLES}),
+ y AS (SELECT *, list_sum(list_transform(w, lambda v: greatest(1, len(regexp_extract_all(lower(v), '[aeiouyàâäáéèêëíìîïóòôöúùûü]+')) - (CASE WHEN len(regexp_extract_all(lower(v), '[aeiouyàâäáéèêëíìîïóòôöúùûü]+')) > 1 AND lower(v) LIKE '%e' AND lower(v) NOT LIKE '%le' AND lower(v) NOT LIKE '%ee' THEN 1 ELSE 0 END)))) AS y, len(w)::DOUBLE AS n FROM x),
+ z AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 206.835::DOUBLE - 1.015::DOUBLE * n / s - 84.6::DOUBLE * y / n END AS ease, CASE WHEN n = 0 THEN 0.0 ELSE 0.39::DOUBLE * n / s + 11.8::DOUBLE * y / n - 15.59::DOUBLE END AS grade,
+  CASE WHEN len(t) = 0 THEN 0.0 ELSE least(1.0, len(list_filter(t, lambda v: v IN ({_IN(tutoring.TENTATIVE)})))::DOUBLE / len(t) / 0.05) END AS tent, CASE WHEN len(list_filter(t, lambda v: v IN ({_IN(tutoring.CONTRAST)}))) > 0 THEN 0.6 ELSE 0.5 END::DOUBLE AS crit FROM y)
+ SELECT sample_index, CASE WHEN answer = '' THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.4::DOUBLE * least(1.0, greatest(0.0, ease / 100)) + 0.3::DOUBLE * tent + 0.3::DOUBLE * crit)), 4) END AS score, round(ease, 4) AS flesch_reading_ease, round(grade, 4) AS flesch_kincaid_grade, n::INT AS word_count FROM z""",
     "adaptation_lexicon": f"""WITH x AS (SELECT sample_index, {_TOK} AS t FROM {Q.SAMPLES}), n AS (SELECT *, len(list_filter(t, lambda w: w IN ({_IN(tutoring.TENTATIVE)}))) AS k FROM x)
  SELECT sample_index, k::INT AS tentative, round(CASE WHEN len(t) = 0 THEN 0.0 ELSE least(1.0, k::DOUBLE / len(t) / 0.05) END, 3) AS score, len(list_filter(t, lambda w: w IN ({_IN(tutoring.CONTRAST)}))) > 0 AS contrast FROM n""",
     "run_root": "WITH RECURSIVE r(run_id, root_id) AS (SELECT event_id, event_id FROM events WHERE event_id < 3 UNION ALL SELECT e.event_id, r.root_id FROM events e JOIN r ON e.event_id // 3 = r.run_id WHERE e.event_id >= 3) SELECT run_id::VARCHAR AS run_id, root_id::VARCHAR AS root_id FROM r",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
-from gradeloom.operators import lexical
+from gradeloom.operators import lexical, synthetic
 from gradeloom.plans import sqltext as Q
 from gradeloom.session import read
 from gradeloom.sources import canonical
@@ -91,7 +91,7 @@ QUERIES = {
     "context_block": _text(lambda: {"block": X.context_block(F.col("contexts"))}),
     "html_escape": _text(lambda: {"escaped": X.html_escape(F.col("answer"))}),
     "qa_quality_filter": lambda spark, sf_dir: _samples(spark, sf_dir)
-    .where((F.length("question") >= 10) & (F.length("answer") >= 2) & (F.lower("question") != F.lower("answer")))
+    .where(synthetic.accepted(F.col("question"), F.col("answer")))
     .select("sample_index"),
     "fixed_chunks": fixed_chunks,
     "document_sentences": document_sentences,
@@ -117,7 +117,7 @@ ORACLE = {
  SELECT sample_index, round(CASE WHEN len(s) = 0 THEN 0.0 ELSE len(list_filter(s, lambda w: list_contains(t, w)))::DOUBLE / len(s) END, 8) AS overlap FROM x""",
     "context_block": f"SELECT sample_index, array_to_string(list_transform(contexts, lambda c, i: '[' || (i - 1)::VARCHAR || '] ' || c), chr(10)) AS block FROM {Q.SAMPLES}",
     "html_escape": f"SELECT sample_index, replace(replace(replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM {Q.SAMPLES}",
-    "qa_quality_filter": f"SELECT sample_index FROM {Q.SAMPLES} WHERE length(question) >= 10 AND length(answer) >= 2 AND lower(question) <> lower(answer)",
+    "qa_quality_filter": f"SELECT sample_index FROM {Q.SAMPLES} WHERE length(trim(question)) >= 10 AND length(trim(answer)) >= 2 AND lower(trim(question)) <> lower(trim(answer))",
     "document_sentences": f"SELECT doc_id, len({_SENT.replace('__TEXT__', 'text')})::INT AS n_sentences, CASE WHEN len(got) > 0 THEN len(got) WHEN len(lines) > 0 THEN len(lines) ELSE 1 END::INT AS n_chunk_sentences FROM (SELECT *, {_PER} AS got, {_LINES} AS lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))",
     "fixed_chunks": "SELECT doc_id, (i // 800)::INT AS chunk_no, substring(text, i + 1, 800) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS i FROM documents WHERE text <> '')",
 }

@@ -11,7 +11,7 @@ from gradeloom.operators import study
 from gradeloom.plans import judge_queries as J
 from gradeloom.plans import sqltext as Q
 from gradeloom.session import read
-from gradeloom.sources import canonical, dialogues
+from gradeloom.sources import canonical, dialogues, sinks
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ def study_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 3) for c in ("mean", "median", "std", "min", "max")})
 
 
+def study_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the box plots of the study need: quartiles of the score per teacher move."""
+    got = sinks.plot_data(_annotated(spark, sf_dir), "teacher_move", "truth")
+    return got.withColumns({c: F.round(c, 5) for c in ("q1", "median", "q3", "low", "high", "mean")})
+
+
 def study_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spearman(_annotated(spark, sf_dir), "truth", "move_score").select("n", F.round("rho", 6).alias("rho"))
 
@@ -69,7 +75,7 @@ def metric_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, "run-00-00001").intersect(_metrics(spark, sf_dir, "run-00-00002"))
 
 
-QUERIES = {f.__name__: f for f in (study_frame, study_validation, study_groups, study_spearman, model_ranking, weights_compared, sample_slice, metric_union, metric_intersection)}
+QUERIES = {f.__name__: f for f in (study_frame, study_validation, study_groups, study_boxes, study_spearman, model_ranking, weights_compared, sample_slice, metric_union, metric_intersection)}
 
 _STUDY = f"""(SELECT f.run_id, f.sample_index, n.conversation_id, n.qid, n.teacher_move, n.move_score, n.turn_index, f.truth, f.faithfulness, s.answer FROM {J._FRAME} f
  JOIN (SELECT * FROM {Q.SAMPLES} WHERE source = 'mathdial') s USING (sample_index)
@@ -81,6 +87,7 @@ ORACLE = {
     "study_frame": f"SELECT run_id, sample_index, conversation_id, qid, teacher_move, move_score, turn_index, truth, faithfulness, substring(answer, 1, 200) AS response_text FROM {_STUDY}",
     "study_groups": f"""SELECT l.teacher_move, l.position, g.* EXCLUDE (o) FROM (VALUES (0, 'probing'), (1, 'focus'), (2, 'generic'), (3, 'telling')) l(position, teacher_move) LEFT JOIN
  (SELECT teacher_move AS o, count(truth) AS count, round(round(avg(truth), 4), 3) AS mean, round(round(median(truth), 4), 3) AS median, round(round(stddev_samp(truth), 4), 3) AS std, round(round(min(truth), 4), 3) AS min, round(round(max(truth), 4), 3) AS max FROM {_STUDY} GROUP BY 1) g ON g.o = l.teacher_move""",
+    "study_boxes": f"SELECT teacher_move, round(quantile_cont(truth, 0.25), 5) AS q1, round(quantile_cont(truth, 0.5), 5) AS median, round(quantile_cont(truth, 0.75), 5) AS q3, round(min(truth), 5) AS low, round(max(truth), 5) AS high, round(avg(truth), 5) AS mean, count(truth) AS n FROM {_STUDY} GROUP BY 1",
     "study_spearman": f"SELECT count(*) AS n, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho FROM (SELECT {_RANK.format('truth')} AS a, {_RANK.format('move_score')} AS b FROM {_STUDY}) HAVING count(*) >= 3",
     "model_ranking": f"SELECT model_name, round(avg(score), 6) AS mean_score, count(score) AS n FROM {Q.RESULTS} JOIN (SELECT DISTINCT run_id, model_name FROM runs WHERE run_id IS NOT NULL) USING (run_id) GROUP BY 1",
     "weights_compared": f"SELECT state, round(avg({_RE.format('0.33', '0.33', '0.34')}), 5) AS default_mean, round(avg({_RE.format('0.0', '0.3', '0.7')}), 5) AS best_mean, count(*) AS n, round(avg({_RE.format('0.0', '0.3', '0.7')}) - avg({_RE.format('0.33', '0.33', '0.34')}), 5) AS delta FROM {J._FRAME} WHERE truth IS NOT NULL GROUP BY 1",

@@ -87,7 +87,7 @@ def install(r: Registry) -> None:
     r.register("semantic_similarity", lambda **k: vectors.semantic_similarity(a(), t(), **k), "embedding", ("encoder",))
     r.register("bert_score", lambda **k: vectors.bert_score(a(), t(), **k), "embedding", ("encoder",))
     r.register("uptake", lambda **k: tutoring.uptake(F.col("question"), a(), F.col("contexts"), **k), "classifier", ("scorer", "stop"))
-    r.register("linguistic_adaptation", lambda **k: tutoring.linguistic_adaptation(a(), **k), "classifier", ("sentiment",))
+    r.register("linguistic_adaptation", lambda **k: tutoring.linguistic_adaptation(a(), **k), "classifier", ("sentiment", "lemmas"))
     for m in (*judges.SCORES, "no_immediate_disclosure", "pes"):
         r.register(m, None, "judge")
 

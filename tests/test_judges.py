@@ -223,3 +223,14 @@ def test_cache_table(spark, tmp_path):
     assert [tuple(r) for r in usage.load(spark, path).collect()] == [("a", "two", 2.0)]
     usage.clear(spark, path)
     assert usage.load(spark, path).count() == 0
+
+
+def test_lemmas_reach_the_tentative_words(spark):
+    from gradeloom.registry import Registry, install
+
+    r = Registry()
+    install(r)
+    df = spark.createDataFrame([("It seems right. This appears fine.",)], "answer string")
+    plain = df.select(r.create("linguistic_adaptation").alias("m")).first()["m"]["score"]
+    lemmas = lambda texts: [t.replace("seems", "seem").replace("appears", "appear") for t in texts]
+    assert df.select(r.create("linguistic_adaptation", lemmas=lemmas, scorer=None).alias("m")).first()["m"]["score"] > plain
