@@ -36,7 +36,7 @@ from gradeloom.session import cut
 SHARE, LEAST_DOCS = 1e-4, 2
 #: Anchors that the scale is fitted on. The sums of the anchors and those of all other documents of a language are each
 #: scaled to MASS words, so that the priors weigh the same at any size.
-ANCHOR_ROWS, MASS = 5000, 10_000.0
+ANCHOR_ROWS, MASS = 5000, 30_000.0
 #: Rounds go on until the mean move of a level is at most REST (4 to 8 rounds); ROUNDS is a stop for models that oscillate.
 ROUNDS, REST = 30, 0.02
 SHAPE_WEIGHT, LENGTHS = 0.25, 16
