@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeloom.sources import canonical, sinks
 from gradeloom.operators import results as R
 from gradeloom.plans import sqltext as Q
+from gradeloom.plans.lexical_queries import ORACLE as LEXICAL
 from gradeloom.plans.wide_queries import METRICS
 from gradeloom.session import ensure_checkpoint_dir, kept, read
 from gradeloom.streaming import incremental
@@ -59,11 +60,12 @@ def plot_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evaluator over all samples with the column metrics: one wide pass, then long results and their means."""
+    """The evaluator over all samples with column metrics: one wide pass, then long results and their statistics."""
     from gradeloom.evaluator import evaluate
 
     s = canonical.samples(read(spark, sf_dir, "samples"))
-    return R.summary(evaluate(s, ["exact_match", "token_f1", "bleu-4", "rougeL"]))
+    got = R.summary(evaluate(s, ["exact_match", "token_f1", "bleu-4"]))
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "median", "stdev", "min", "max")})
 
 
 QUERIES = {f.__name__: f for f in (stream_call_rates, stream_window_rates, call_rates, csv_wide, plot_quartiles, evaluate_lexical)}
@@ -71,6 +73,9 @@ QUERIES = {f.__name__: f for f in (stream_call_rates, stream_window_rates, call_
 _RATES = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS calls, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
 ORACLE = {
     "stream_call_rates": _RATES,
+    "evaluate_lexical": "SELECT metric_name, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(coalesce(stddev_samp(score), 0.0), 6) AS stdev, round(min(score), 6) AS min, round(max(score), 6) AS max FROM ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric_name, score FROM ({LEXICAL[k]})" for m, k in (("exact_match", "exact_match"), ("token_f1", "token_f1"), ("bleu-4", "bleu4")))
+    + ") GROUP BY 1",
     "stream_window_rates": _RATES,
     "call_rates": _RATES,
     "csv_wide": f"""SELECT run_id AS "Run_Id", sample_index AS "Sample_Index", {", ".join(f"coalesce((max(score) FILTER (metric_name = '{m}'))::VARCHAR, '') AS {m}_Score, coalesce(max(reason) FILTER (metric_name = '{m}'), '') AS {m}_Reason" for m in METRICS)}

@@ -29,6 +29,12 @@ def study_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def study_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all tests of the study."""
+    return study_validation_p(spark, sf_dir).select("test", "name", F.round("statistic", 5).alias("statistic"), "n")
+
+
+def study_validation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With their p-values."""
     return study.validation(_annotated(spark, sf_dir), "truth", "teacher_move", "move_score", study.MOVES)
 
 
@@ -75,7 +81,7 @@ def metric_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, "run-00-00001").intersect(_metrics(spark, sf_dir, "run-00-00002"))
 
 
-QUERIES = {f.__name__: f for f in (study_frame, study_validation, study_groups, study_boxes, study_spearman, model_ranking, weights_compared, sample_slice, metric_union, metric_intersection)}
+QUERIES = {f.__name__: f for f in (study_frame, study_validation, study_validation_p, study_groups, study_boxes, study_spearman, model_ranking, weights_compared, sample_slice, metric_union, metric_intersection)}
 
 _STUDY = f"""(SELECT f.run_id, f.sample_index, n.conversation_id, n.qid, n.teacher_move, n.move_score, n.turn_index, f.truth, f.faithfulness, s.answer FROM {J._FRAME} f
  JOIN (SELECT * FROM {Q.SAMPLES} WHERE source = 'mathdial') s USING (sample_index)
@@ -87,6 +93,19 @@ ORACLE = {
     "study_frame": f"SELECT run_id, sample_index, conversation_id, qid, teacher_move, move_score, turn_index, truth, faithfulness, substring(answer, 1, 200) AS response_text FROM {_STUDY}",
     "study_groups": f"""SELECT l.teacher_move, l.position, g.* EXCLUDE (o) FROM (VALUES (0, 'probing'), (1, 'focus'), (2, 'generic'), (3, 'telling')) l(position, teacher_move) LEFT JOIN
  (SELECT teacher_move AS o, count(truth) AS count, round(round(avg(truth), 4), 3) AS mean, round(round(median(truth), 4), 3) AS median, round(round(stddev_samp(truth), 4), 3) AS std, round(round(min(truth), 4), 3) AS min, round(round(max(truth), 4), 3) AS max FROM {_STUDY} GROUP BY 1) g ON g.o = l.teacher_move""",
+    "study_validation": f"""WITH f AS (SELECT teacher_move AS g, truth AS v, move_score AS m FROM {_STUDY}),
+ r AS (SELECT *, {_RANK.format("v")} AS rv, {_RANK.format("m")} AS rm FROM f),
+ g AS (SELECT g, count(*) AS c, avg(v) AS m, var_pop(v) AS x, sum(rv) AS s FROM r GROUP BY 1),
+ a AS (SELECT count(*) AS k, sum(c)::DOUBLE AS n, sum(c * x) AS w, sum(c * m * m) - pow(sum(c * m), 2) / sum(c) AS b, sum(s * s / c::DOUBLE) AS q FROM g),
+ t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM f GROUP BY v)),
+ o(i, g) AS (VALUES {", ".join(f"({i}, '{m}')" for i, m in enumerate(study.MOVES))}),
+ p AS (SELECT x.g AS ga, y.g AS gb, x.i AS i, y.i AS j FROM o x JOIN o y ON x.i < y.i),
+ u AS (SELECT ga, gb, f.g, rank() OVER (PARTITION BY ga, gb ORDER BY v) + (count(*) OVER (PARTITION BY ga, gb, v) - 1) / 2.0 AS r FROM f JOIN p ON f.g IN (ga, gb)),
+ w AS (SELECT ga, gb, count(*) FILTER (g = ga) AS na, count(*) FILTER (g = gb) AS nb, sum(r) FILTER (g = ga) AS s FROM u GROUP BY 1, 2)
+ SELECT 'spearman' AS test, 'move_score' AS name, round(covar_pop(rv, rm) / nullif(stddev_pop(rv) * stddev_pop(rm), 0), 5)::DOUBLE AS statistic, count(*)::BIGINT AS n FROM r HAVING count(*) >= 3
+ UNION ALL SELECT 'anova', 'teacher_move', round((b / (k - 1)) / nullif(w / nullif(n - k, 0), 0), 5), n::BIGINT FROM a WHERE k >= 2 UNION ALL SELECT 'eta_squared', 'teacher_move', round(coalesce(b / nullif(b + w, 0), 0.0), 5), n::BIGINT FROM a WHERE k >= 2
+ UNION ALL SELECT 'kruskal', 'teacher_move', round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - ties / nullif(n * n * n - n, 0), 0), 5), n::BIGINT FROM a, t WHERE k >= 2
+ UNION ALL SELECT 'mannwhitney', ga || ' / ' || gb, round(s - na * (na + 1) / 2.0, 5), (na + nb)::BIGINT FROM w WHERE na > 0 AND nb > 0""",
     "study_boxes": f"SELECT teacher_move, round(quantile_cont(truth, 0.25), 5) AS q1, round(quantile_cont(truth, 0.5), 5) AS median, round(quantile_cont(truth, 0.75), 5) AS q3, round(min(truth), 5) AS low, round(max(truth), 5) AS high, round(avg(truth), 5) AS mean, count(truth) AS n FROM {_STUDY} GROUP BY 1",
     "study_spearman": f"SELECT count(*) AS n, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho FROM (SELECT {_RANK.format('truth')} AS a, {_RANK.format('move_score')} AS b FROM {_STUDY}) HAVING count(*) >= 3",
     "model_ranking": f"SELECT model_name, round(avg(score), 6) AS mean_score, count(score) AS n FROM {Q.RESULTS} JOIN (SELECT DISTINCT run_id, model_name FROM runs WHERE run_id IS NOT NULL) USING (run_id) GROUP BY 1",
