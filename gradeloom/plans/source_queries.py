@@ -131,6 +131,19 @@ def similarity_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("answer <> '' and ground_truth <> ''").select("sample_index", F.round("m.score", 6).alias("score"))
 
 
+def _unit_encoder(texts: list[str]) -> np.ndarray:
+    v = np.array([[1.0, len(t) % 5] for t in texts]).reshape(-1, 2)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def alignment_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token alignment with an encoder given from outside: unit vectors along (1, length modulo 5)."""
+    r = Registry()
+    install(r)
+    got = _samples(spark, sf_dir).where("answer <> '' and ground_truth <> ''").select("sample_index", r.create("bert_score", encoder=_unit_encoder).alias("m"))
+    return got.select("sample_index", *[F.round(f"m.{c}", 6).alias(c) for c in ("score", "precision", "recall")])
+
+
 def uptake_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tutoring.uptake(F.col("question"), F.col("answer"), F.col("contexts"))
     return _samples(spark, sf_dir).select("sample_index", m.alias("m")).select("sample_index", F.round("m.score", 6).alias("score"))
@@ -167,13 +180,15 @@ _NAMES = ("hotpotqa", "nq", "triviaqa", "squad2", "rgb", "recall")
 QUERIES = {
     **{f"benchmark_{n}": _adapter(n) for n in _NAMES},
     **{f"load_{k}": _written(k) for k in ("jsonl", "csv")},
-    **{f.__name__: f for f in (load_mapped, load_array, dataset_validation, report_roundtrip, evaluate_batches, evaluate_judged, evaluate_means, similarity_injected, uptake_overlap, responses_parse, chain_capture)},
+    **{f.__name__: f for f in (load_mapped, load_array, dataset_validation, report_roundtrip, evaluate_batches, evaluate_judged, evaluate_means, similarity_injected, alignment_injected, uptake_overlap, responses_parse, chain_capture)},
 }
 
 _BENCH = "SELECT sample_index AS seq, question, '' AS answer, {} AS ground_truth, {} AS contexts, {} AS metadata FROM " + Q.SAMPLES + " {}"
 _LOADED = f"SELECT question, answer, ground_truth, contexts, coalesce(metadata, '{{}}') AS metadata FROM {Q.SAMPLES}"
 _SET = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 _ROUTE = f"(SELECT *, CASE WHEN answer = '' THEN NULL WHEN len({Q.words('question')}) >= 5 THEN question WHEN array_to_string(contexts, ' ') <> '' THEN array_to_string(contexts, ' ') END AS src FROM {Q.SAMPLES})"
+_TOKEN = r"[\p{L}\p{N}_]+"
+_COS = "(1 + (length(x) % 5) * (length(y) % 5)) / sqrt((1.0 + pow(length(x) % 5, 2)) * (1.0 + pow(length(y) % 5, 2)))"
 _LABEL = "list_extract(['Yes', 'To some extent', 'No'], ((sample_index + {}) % 3 + 1)::INT)"
 _VALUE = "list_extract([1.0, 0.5, 0.0], ((sample_index + {}) % 3 + 1)::INT)::DOUBLE"
 
@@ -203,6 +218,9 @@ ORACLE = {
  FROM (SELECT sample_index, answer, {_prompt_sql("answer_relevance")} AS p FROM {Q.SAMPLES})""",
     "evaluate_means": " UNION ALL ".join(f"SELECT '{m}' AS metric_name, round(avg(score), 6) AS mean_score FROM ({LEXICAL[k]})" for m, k in (("exact_match", "exact_match"), ("token_f1", "token_f1"), ("bleu-4", "bleu4"))),
     "similarity_injected": f"SELECT sample_index, round((1 + a * b) / sqrt((1.0 + a * a) * (1.0 + b * b)), 6) AS score FROM (SELECT sample_index, length(answer) % 7 AS a, length(ground_truth) % 7 AS b FROM {Q.SAMPLES} WHERE answer <> '' AND ground_truth <> '')",
+    "alignment_injected": rf"""WITH w AS (SELECT sample_index, regexp_extract_all(lower(answer), '{_TOKEN}') AS a, regexp_extract_all(lower(ground_truth), '{_TOKEN}') AS t FROM {Q.SAMPLES} WHERE answer <> '' AND ground_truth <> ''),
+ p AS (SELECT sample_index, coalesce(list_avg(list_transform(a, lambda x: list_max(list_transform(t, lambda y: {_COS})))), 0.0) AS p, coalesce(list_avg(list_transform(t, lambda x: list_max(list_transform(a, lambda y: {_COS})))), 0.0) AS r FROM w)
+ SELECT sample_index, round(CASE WHEN p + r > 0 THEN least(1.0, greatest(0.0, 2 * p * r / (p + r))) ELSE 0.0 END, 6) AS score, round(p, 6) AS precision, round(r, 6) AS recall FROM p""",
     "uptake_overlap": f"""SELECT sample_index, round(CASE WHEN src IS NULL OR len({_SET.format("src")}) = 0 THEN 0.0 ELSE len(list_intersect({_SET.format("src")}, {_SET.format("answer")}))::DOUBLE / len({_SET.format("src")}) END, 6) AS score FROM {_ROUTE}""",
     "responses_parse": _response("A", 0, "answer") + " UNION ALL " + _response("B", 1, "ground_truth"),
     "chain_capture": f"SELECT 'run-' || sample_index AS root_id, question, answer, list_transform(list_filter(list_transform(contexts, lambda c, i: {{'c': c, 'first': list_position(contexts, c) = i}}), lambda x: x.first), lambda x: x.c) AS contexts FROM {Q.SAMPLES}",

@@ -18,6 +18,7 @@ def get_spark(app: str = "gradeloom", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
