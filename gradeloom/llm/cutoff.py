@@ -295,10 +295,12 @@ def judge_tails(per: DataFrame, grams: DataFrame) -> DataFrame:
     """KEYS with what the n-grams and the trie say about every distinct end of the open texts ``per``."""
     # Repetition says nothing about an end: of the rows that end alike, all but one per text are ``extra``.
     distinct = per.groupBy("same", *KEYS).agg((F.sum("n") - 1).alias("extra")).groupBy(*KEYS).agg(F.sum("extra").alias("extra"))
-    distinct = distinct.withColumn("extra", F.sum("extra").over(Window.partitionBy("k3")))
+    distinct = cut(distinct.withColumn("extra", F.sum("extra").over(Window.partitionBy("k3"))))
     asked = distinct.select(*KEYS, "extra", F.posexplode(F.array("k1", "k2", "k3", "k32")).alias("i", "k"))
-    got = asked.join(grams.drop("word"), "k", "left").groupBy(*KEYS, "extra").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
-    got = got.join(trie_nodes(grams, per), "word", "left")
+    # A last word, or a gram, may be that of a large part of the texts.
+    got = join_spread(asked, grams.drop("word"), ["k"], asked.groupBy("k").agg(F.count("*").alias("times")), F.col("k3"), n="times")
+    got = got.groupBy(*KEYS, "extra").pivot("i", [0, 1, 2, 3]).agg(F.max("n").alias("n"), F.max("ends").alias("e"), F.max("opens").alias("o"))
+    got = join_spread(got, trie_nodes(grams, per), ["word"], distinct.groupBy("word").agg(F.count("*").alias("n")), F.col("k3"))
 
     def inside(i: int) -> F.Column:  # occurrences that don't end an open text, which may itself be cut
         return F.coalesce(F.col(f"{i}_n") - F.col(f"{i}_o"), F.lit(0))
